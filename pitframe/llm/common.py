@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,3 +40,13 @@ def cut(df: DataFrame) -> DataFrame:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path for a written table in the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def without_ids(docs: DataFrame, ids: DataFrame, broadcast_rows: int) -> DataFrame:
+    """``docs`` without the rows whose ``doc_id`` is in ``ids``.
+
+    The ids are broadcast where a count shows them to be few enough; else both
+    sides are shuffled.  A row with a null doc_id stays.
+    """
+    few = ids.count() <= broadcast_rows
+    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_anti")

@@ -26,12 +26,30 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_language(docs.select("doc_id", "text", out.alias("held_out")), model).drop("text")
 
 
+def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pitframe.llm.embeddings import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pitframe.llm.packing import byte_tokens, pack
 
     return pack(byte_tokens(table(spark, sf_dir, "documents")))
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pitframe.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pitframe.llm.urls import judge
+
+    return judge(table(spark, sf_dir, "pages"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -41,6 +59,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op3_langid": op3_langid,
+    "op4_neardup": op4_neardup,
     "op8_packing": op8_packing,
+    "op9_minhash": op9_minhash,
+    "op10_urls": op10_urls,
+    "pipeline": pipeline,
 }
 ORACLES: dict[str, str] = {}
