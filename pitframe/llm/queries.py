@@ -32,6 +32,19 @@ def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op5_mpegts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pitframe.llm.mpegts import probe, store
+
+    return probe(store(table(spark, sf_dir, "documents"))).drop("timeline")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pitframe.llm.toxicity import fit_toxicity, grade
+
+    docs = table(spark, sf_dir, "documents")
+    return grade(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pitframe.llm.packing import byte_tokens, pack
 
@@ -60,6 +73,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op3_langid": op3_langid,
     "op4_neardup": op4_neardup,
+    "op5_mpegts": op5_mpegts,
+    "op7_toxicity": op7_toxicity,
     "op8_packing": op8_packing,
     "op9_minhash": op9_minhash,
     "op10_urls": op10_urls,
