@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitframe.llm.common import table
+from pitframe.llm.common import scratch, table
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,14 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(docs, table(spark, sf_dir, "labels"), F.col("source"), F.concat_ws("/", "source", "lang"))
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from pitframe.llm.bpe import digests
+
+    return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pitframe.llm.langid import fit_language, held_out, predict_language
 
@@ -38,6 +46,16 @@ def op5_mpegts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probe(store(table(spark, sf_dir, "documents"))).drop("timeline")
 
 
+def op6_bitpack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from pitframe.llm.bitpack import read_documents, write_ids
+
+    path = scratch(spark, "token-ids")
+    write_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 50_257, 0, path)
+    return read_documents(spark, path)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pitframe.llm.toxicity import fit_toxicity, grade
 
@@ -71,9 +89,11 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
+    "op2_bpe": op2_bpe,
     "op3_langid": op3_langid,
     "op4_neardup": op4_neardup,
     "op5_mpegts": op5_mpegts,
+    "op6_bitpack": op6_bitpack,
     "op7_toxicity": op7_toxicity,
     "op8_packing": op8_packing,
     "op9_minhash": op9_minhash,
