@@ -121,7 +121,8 @@ def fit_language(labelled: DataFrame, fit_rows: int = FIT_ROWS, k: int = CENTROI
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, 1.2 * fit_rows / n + 50 / n))).otherwise(share)
     h = F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1_000_003))
     sample = rows.withColumn("h", h).where(F.col("h") < share * 1_000_003)
-    model = sample.groupBy("lang").applyInPandas(clustered, "lang string, centroid array<double>, reach double").orderBy("lang").collect()
+    model = sample.groupBy("lang").applyInPandas(clustered, "lang string, centroid array<double>, reach double").collect()
+    model.sort(key=lambda r: (r["lang"], r["centroid"]))
     return LanguageModel(
         idf.astype(np.float32), np.array([r["centroid"] for r in model], dtype=np.float32).reshape(len(model), SLOTS), [r["lang"] for r in model], np.array([r["reach"] for r in model])
     )
