@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pitframe.plans import series
+from pitframe.plans import relational, series
 
-MODULES = (series,)
+MODULES = (series, relational)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
