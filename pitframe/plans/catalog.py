@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pitframe.plans import relational, series
+from pitframe.plans import relational, research, series, warehouse
 
-MODULES = (series, relational)
+MODULES = (series, relational, warehouse, research)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
