@@ -106,7 +106,7 @@ def detect(rows: DataFrame, names: Sequence[str], market: str = "market", states
         part = part.sort_values("date", ignore_index=True)
         x = part[list(names)].to_numpy(float)
         if len(x) < LEAST_ROWS:
-            return pd.DataFrame({market: [], "date": [], "state": [], "confidence": []})
+            return pd.DataFrame(columns=[market, "date", "state", "confidence"])
         at, conf = _fit((x - x.mean(0)) / np.where(x.std(0) > 0, x.std(0), 1), states, rounds, seed)
         return pd.DataFrame({market: part[market], "date": part["date"], "state": at, "confidence": conf})
 
