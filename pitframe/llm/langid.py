@@ -146,8 +146,9 @@ def predict_language(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     new = ("lang_pred", "score", "rejected")
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in new]
-    out = docs.select(*kept, predicted("text").alias("_p"))
-    return out.select(*kept, *(F.col(f"_p.{c}").alias(c) for c in new))
+    own = "_" + "_".join(docs.columns)  # a name that no column has
+    out = docs.select(*kept, predicted("text").alias(own))
+    return out.select(*kept, *(F.col(f"`{own}`.{c}").alias(c) for c in new))
 
 
 def held_out(doc_id: Column) -> Column:
