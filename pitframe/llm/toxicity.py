@@ -36,7 +36,7 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.cuts - sum(self.weights[w] for w in found), -500, 500)))
 
 
-def fit_ordinal(rows: np.ndarray, cols: np.ndarray, n: int, m: int, grade: np.ndarray, levels: int, l2: float = 1e-4, rounds: int = 400) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(rows: np.ndarray, cols: np.ndarray, n: int, m: int, grade: np.ndarray, levels: int, l2: float = 1e-5, rounds: int = 800) -> tuple[np.ndarray, np.ndarray]:
     """Weights and rising cut points by full gradient with adaptive steps (Adam).
 
     ``rows`` and ``cols`` are the places of the ones in an ``n`` by ``m``
