@@ -18,7 +18,7 @@ CENTROIDS = 4
 FIT_ROWS = 1500
 #: A text is rejected when its cosine lies below this share of its language's
 #: typical cosine to the nearest centroid.
-REJECT_SHARE = 0.2
+REJECT_SHARE = 0.1
 _ROUNDS = 12
 
 
