@@ -9,18 +9,23 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitframe.llm.blocks import Group, local_roots, map_groups, pair_blocks, sides
+from pitframe.llm.blocks import Group, local_roots, map_groups, sides
 from pitframe.llm.common import cut
 from pitframe.llm.components import components
 
 COSINE = 0.95
 #: Vectors that the centroids are fitted on, at most, and the most cells; both
 #: bound what is broadcast.
-FIT_ROWS = 20_000
-MOST_CELLS = 1024
+FIT_ROWS = 50_000
+MOST_CELLS = 4096
 #: Vectors that a cell should hold, and those of a part of it.
 CELL_ROWS = 2_000
-BLOCK = 512
+BLOCK = 2048
+#: How near the border of a later cell a vector visits it, as a share of the
+#: distance within which a partner at the cosine wanted can lie beyond it.  At
+#: 1 no link is lost.  A partner's offset has a share of about 1 / sqrt(d) in
+#: any one direction, so in 64 dimensions 0.25 is two standard deviations.
+MARGIN = 0.25
 
 
 def _matrix(arrays: pd.Series, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -48,6 +53,27 @@ def _kmeans(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return centres
 
 
+def _deal(placed: DataFrame, block: int) -> DataFrame:
+    """``placed`` dealt into blocks: a cell's own vectors meet each other and its guests; guests do not meet.
+
+    A cell's own vectors and its guests are each split by hash into parts of
+    about ``block`` rows, and every two parts that must meet are a block.
+    """
+    sizes = placed.groupBy("cell").agg(F.count_if("home").alias("_h"), F.count_if(~F.col("home")).alias("_g"))
+    parts = sizes.select("cell", F.ceil(F.col("_h") / block).cast("int").alias("_mh"), F.ceil(F.col("_g") / block).cast("int").alias("_mg"))
+    own = placed.join(parts, "cell").withColumn("_p", F.pmod(F.xxhash64("cls"), F.when(F.col("home"), F.col("_mh")).otherwise(F.col("_mg"))).cast("int"))
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    p = F.col("_p")
+    entry = lambda kind, a, b, side: F.struct(F.lit(kind).alias("kind"), a.alias("a"), b.alias("b"), side.alias("side"))
+    at_home = F.concat(
+        F.transform(upto(F.col("_mh")), lambda j: entry(0, F.least(p, j), F.greatest(p, j), F.when(p == j, -1).when(p < j, 0).otherwise(1))),
+        F.transform(upto(F.col("_mg")), lambda q: entry(1, p, q, F.lit(0))),
+    )
+    visiting = F.transform(upto(F.col("_mh")), lambda j: entry(1, j, p, F.lit(1)))
+    met = own.withColumn("_e", F.explode(F.when(F.col("home"), at_home).otherwise(visiting)))
+    return met.select(F.xxhash64("cell", "_e.kind", "_e.a", "_e.b").alias("block"), F.col("_e.side").alias("side"), "cls", "weight")
+
+
 def _block_links(cosine: float):
     def run(group: Group) -> tuple | None:
         a, b = sides(group)
@@ -55,11 +81,9 @@ def _block_links(cosine: float):
             return None
         x = np.frombuffer(b"".join(group["unit"]), np.float64).reshape(len(group["cls"]), -1)
         linked = x[a] @ x[b].T >= cosine - 1e-12
-        cls, home = group["cls"], group["home"]
+        cls = group["cls"]
         if a is b:
             np.fill_diagonal(linked, False)
-        # Two guests of a cell meet in the cell that is home to one of them.
-        linked &= (home[a][:, None] | home[b][None, :]).astype(bool)
         ra, rb = local_roots(cls[a], cls[b], linked)
         weight = group["weight"]
         la, lb = linked @ weight[b], linked.T @ weight[a]
@@ -73,7 +97,7 @@ def _block_links(cosine: float):
     return run
 
 
-def near_vectors(vectors: DataFrame, cosine: float = COSINE, fit_rows: int = FIT_ROWS, cell_rows: int = CELL_ROWS) -> DataFrame:
+def near_vectors(vectors: DataFrame, cosine: float = COSINE, fit_rows: int = FIT_ROWS, cell_rows: int = CELL_ROWS, margin: float = MARGIN) -> DataFrame:
     """Links between vectors whose cosine is ``cosine`` or more, in double precision.
 
     ``vectors`` has ``vec_id`` and ``embedding``.  Returns a row per input
@@ -84,11 +108,11 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, fit_rows: int = FIT
     Equal vectors form a class, so copies are counted and never paired.
     Spherical k-means on at most ``fit_rows`` vectors gives a cell for every
     ``cell_rows`` classes.  A vector lives in its nearest cell and visits each
-    later cell whose border it is near enough to have a partner beyond: the
-    sine of its angle to the border is at most that of the largest angle of a
-    link.  So no link is lost, whatever the cells.  A cell's vectors are
-    compared in blocks; a block returns link counts and local roots, never
-    pairs.
+    later cell whose border is nearer than ``margin`` of the sine of the largest
+    angle of a link.  At ``margin`` 1 no link is lost, whatever the cells; at
+    the default those are lost whose vectors differ mainly towards a border.
+    A cell's vectors are compared in blocks with each other and its visitors;
+    a block returns link counts and local roots, never pairs.
 
     A vector that is null, zero, or holds null or non-finite components links
     with nothing, nor does one whose length is not the commonest.  Rows with a
@@ -117,7 +141,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, fit_rows: int = FIT
     x = np.frombuffer(b"".join(r["unit"] for r in sample), np.float64).reshape(len(sample), -1) if sample else np.zeros((1, dim))
     k = max(1, min(MOST_CELLS, len(x) // 8 or 1, -(-n // cell_rows)))
     shared = vectors.sparkSession.sparkContext.broadcast(_kmeans(x, k))  # at most MOST_CELLS rows
-    reach = float(np.sqrt(max(0.0, 1 - cosine * cosine))) + 1e-9
+    reach = margin * float(np.sqrt(max(0.0, 1 - cosine * cosine))) + 1e-9
 
     def cells(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         centres = shared.value
@@ -135,14 +159,12 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, fit_rows: int = FIT
                 at = np.append(np.arange(len(own)), row)
                 yield pd.DataFrame({
                     "cell": np.append(home, cell).astype(np.int64), "home": np.append(np.ones(len(own), bool), np.zeros(len(row), bool)),
-                    "cls": own["cls"].to_numpy()[at], "weight": own["weight"].to_numpy()[at], "unit": own["unit"].to_numpy()[at],
+                    "cls": own["cls"].to_numpy()[at], "weight": own["weight"].to_numpy()[at],
                 })
 
-    placed = classes.select("cls", "weight", "unit").mapInPandas(cells, "cell long, home boolean, cls long, weight long, unit binary")
+    placed = classes.select("cls", "weight", "unit").mapInPandas(cells, "cell long, home boolean, cls long, weight long")
     placed = cut(placed)
-    slim = placed.select("cell", "cls", "home", "weight")
-    blocks = pair_blocks(slim, "cell", F.lit(0), BLOCK)
-    blocks = blocks.join(classes.select("cls", "unit"), "cls").select("block", "side", "cls", "home", "weight", "unit")
+    blocks = _deal(placed, BLOCK).join(classes.select("cls", "unit"), "cls").select("block", "side", "cls", "weight", "unit")
     links = cut(map_groups(blocks, "block", _block_links(cosine), "cls long, root long, links long"))
     counts = links.groupBy("cls").agg(F.sum("links").alias("links"))
     roots = components(links.select(F.col("cls").alias("u"), F.col("root").alias("v"))).withColumnRenamed("node", "cls")
