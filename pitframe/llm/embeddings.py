@@ -23,9 +23,8 @@ CELL_ROWS = 2_000
 BLOCK = 2048
 #: How near the border of a later cell a vector visits it, as a share of the
 #: distance within which a partner at the cosine wanted can lie beyond it.  At
-#: 1 no link is lost.  A partner's offset has a share of about 1 / sqrt(d) in
-#: any one direction, so in 64 dimensions 0.25 is two standard deviations.
-MARGIN = 0.25
+#: 1 no link is lost; any less loses links.
+MARGIN = 1.0
 
 
 def _matrix(arrays: pd.Series, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -109,8 +108,8 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, fit_rows: int = FIT
     Spherical k-means on at most ``fit_rows`` vectors gives a cell for every
     ``cell_rows`` classes.  A vector lives in its nearest cell and visits each
     later cell whose border is nearer than ``margin`` of the sine of the largest
-    angle of a link.  At ``margin`` 1 no link is lost, whatever the cells; at
-    the default those are lost whose vectors differ mainly towards a border.
+    angle of a link.  At the default of 1 no link is lost, whatever the cells;
+    below it those are lost whose vectors differ mainly towards a border.
     A cell's vectors are compared in blocks with each other and its visitors;
     a block returns link counts and local roots, never pairs.
 

@@ -82,6 +82,19 @@ def test_vectors(spark, sf_dir):
             assert got == {i: (int(linked[i].sum()), root[i]) for i in range(len(x))}
 
 
+def test_vectors_across_borders(spark):
+    """In three dimensions links lie across many borders, and none may be lost by default."""
+    x = np.random.default_rng(6).normal(size=(400, 3))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = unit @ unit.T >= 0.95
+    np.fill_diagonal(linked, False)
+    from pitframe.llm.embeddings import near_vectors
+
+    df = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in near_vectors(df, cell_rows=10).collect()}
+    assert got == dict(enumerate(linked.sum(axis=1).tolist()))
+
+
 def test_bpe(spark, sf_dir, texts):
     import public_tokenizers
     import tiktoken
