@@ -15,12 +15,9 @@ RULES = (
     ("com", "/fr/", "allow"),
     ("com", "/de/", "block"),
 )
-#: Levels of the tree; what lies deeper is one wildcard.
-LEVELS = 4
-#: A segment stays literal with this many urls and this share of its parent's.
+#: A segment stays literal with this many urls, whatever its siblings have.
 LITERAL_ROWS = 3
-LITERAL_SHARE = 0.02
-#: Pseudo-counts that draw a template to its host, and a host to all labels.
+#: Pseudo-counts that draw a node to its parent, and a host to all labels.
 STRENGTH = 10.0
 #: A template is rejected from this smoothed share of blocked labels on.
 REJECT = 0.5
@@ -45,52 +42,88 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def _templates(paths: DataFrame) -> DataFrame:
-    """``paths`` (host, path, n, blocked, allowed) with ``template``, level by level.
+def _share(b: Column, a: Column, prior: Column) -> Column:
+    return (b + F.lit(STRENGTH) * prior) / (b + a + F.lit(STRENGTH))
 
-    At each level a node's segments are counted; those that are rare within
-    the node are its variable part and become ``*``.  A node keeps at most
-    1 / LITERAL_SHARE literal segments, however many urls it has.
-    """
-    state = paths.withColumn("segs", F.split(F.regexp_replace("path", "^/", ""), "/")).withColumn("template", F.lit(""))
-    for level in range(1, LEVELS + 1):
-        seg = F.get("segs", F.lit(level - 1))
-        state = state.withColumn("seg", F.when(F.col("path") == "", F.lit(None)).otherwise(seg))
-        counts = state.where("seg is not null").groupBy("host", "template", "seg").agg(F.sum("n").alias("c"))
-        totals = counts.groupBy("host", "template").agg(F.sum("c").alias("t"))
-        literal = counts.join(totals, ["host", "template"]).where((F.col("c") >= LITERAL_ROWS) & (F.col("c") >= LITERAL_SHARE * F.col("t")))
-        literal = literal.select("host", "template", "seg", F.lit(True).alias("literal"))
-        step = F.when(F.col("seg").isNull(), F.lit("")).when(F.col("literal"), F.concat(F.lit("/"), "seg")).otherwise("/*")
-        state = cut(state.join(literal, ["host", "template", "seg"], "left").withColumn("template", F.concat("template", step)).drop("literal"))
-    deeper = F.size("segs") > LEVELS
-    return state.withColumn("template", F.when(deeper, F.concat("template", F.lit("/**"))).otherwise(F.col("template"))).drop("segs", "seg")
-
-
-def _merged(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``branch``: first segments whose urls look alike share one.
-
-    A first-level branch is described by the shares of what follows it: the
-    shape of the rest (digits as 9, letters as a), and the label.  It joins
-    the host's pooled branch when its Hellinger distance from the shares of
-    the whole host is no more than chance allows for its number of urls.
+
+def _merged(rows: DataFrame, literal: DataFrame) -> DataFrame:
+    """``host, template, seg, group``: literal siblings that look alike share a group.
+
+    A child is described by the shares of what follows it (the next segment
+    where it has support among all siblings, else its shape; the shape of the
+    rest, digits as 9 and letters as a; the label) and by its labels.
+    Siblings with the same majority label and commonest kind are pooled; one
+    joins its pool when its Hellinger distances from both the pool's kinds and
+    the pool's labels are no more than chance allows for its counts.  A group
+    is named for its least member; a sibling without a match is left out.
     """
-    first = F.regexp_extract("template", "^(/[^/]*)", 1)
-    rest = F.regexp_replace(F.regexp_replace(F.regexp_replace("path", "^/[^/]*", ""), "[0-9]+", "9"), "[^0-9/.]+", "a")
-    marked = rows.withColumn("first", first).withColumn(
-        "kind", F.concat_ws("|", F.left(rest, F.lit(64)), F.when(F.col("blocked") > 0, "b").when(F.col("allowed") > 0, "a").otherwise("-"))
-    )
-    kinds = marked.groupBy("host", "first", "kind").agg(F.sum("n").cast("double").alias("k"))
-    pooled = kinds.groupBy("host", "kind").agg(F.sum("k").alias("pk"))
-    hosts = pooled.groupBy("host").agg(F.sum("pk").alias("pn"), F.count("*").alias("kinds"))
-    sizes = kinds.groupBy("host", "first").agg(F.sum("k").alias("bn"))
+    node, child = ["host", "template"], ["host", "template", "seg"]
+    shape = lambda c: F.regexp_replace(F.regexp_replace(c, "[0-9]+", "9"), "[^0-9/.]+", "a")
+    known = rows.groupBy(*node, "next").agg(F.sum("n").alias("nn")).where(F.col("nn") >= LITERAL_ROWS).select(*node, "next", F.lit(True).alias("supported"))
+    label = F.when(F.col("blocked") > F.col("allowed"), "b").when(F.col("allowed") > 0, "a").otherwise("-")
+    kind = F.concat_ws("|", F.when(F.col("supported"), F.col("next")).otherwise(shape("next")), shape("rest"), label)
+    kinds = rows.join(known, [*node, "next"], "left").withColumn("kind", kind).join(literal.select(*child), child).groupBy(*child, "kind").agg(F.sum("n").cast("double").alias("k"))
+    kinds = cut(kinds)
+    most = kinds.groupBy(*child).agg(F.max(F.struct("k", "kind"))["kind"].alias("most"), F.sum("k").alias("bn"))
+    pool = [*node, "sign", "most"]
+    sized = literal.join(most, child).withColumn("sign", F.signum(F.col("b") - F.col("a")))
+    totals = sized.groupBy(*pool).agg(F.sum("b").alias("pb"), F.sum("a").alias("pa"), F.sum("bn").alias("pn"), F.count("*").alias("members")).where("members > 1")
+    sized = cut(sized.join(totals, pool))
+    counted = cut(kinds.join(sized, child))
+    pooled = counted.groupBy(*pool, "kind").agg(F.sum("k").alias("pk"))
+    many = pooled.groupBy(*pool).agg(F.count("*").alias("kinds"))
+    labelled, every = F.col("b") + F.col("a"), F.col("pb") + F.col("pa")
+    same = F.when(labelled > 0, F.sqrt(F.col("b") / labelled * F.col("pb") / every) + F.sqrt(F.col("a") / labelled * F.col("pa") / every)).otherwise(1.0)
     close = (
-        kinds.join(pooled, ["host", "kind"]).join(sizes, ["host", "first"]).join(hosts, "host")
-        .groupBy("host", "first", "bn", "kinds").agg(F.sum(F.sqrt(F.col("k") / F.col("bn") * F.col("pk") / F.col("pn"))).alias("bc"))
-        .where(1 - F.col("bc") <= 0.02 + 3 * (F.col("kinds") - 1) / (8 * F.col("bn")))
-        .select("host", "first", F.lit(True).alias("alike"))
+        counted.join(pooled, [*pool, "kind"]).join(many, pool)
+        .groupBy(*child, "sign", "most", "b", "a", "pb", "pa", "bn", "kinds").agg(F.sum(F.sqrt(F.col("k") / F.col("bn") * F.col("pk") / F.col("pn"))).alias("bc"))
+        .where((1 - F.col("bc") <= 0.02 + 3 * (F.col("kinds") - 1) / (8 * F.col("bn"))) & (1 - same <= 0.02 + 3 / (8 * F.greatest(labelled, F.lit(1)))))
     )
-    same = F.when(F.col("alike"), F.regexp_replace("template", "^/[^/]*", "/{}")).otherwise(F.col("template"))
-    return marked.join(close, ["host", "first"], "left").withColumn("branch", same).drop("first", "kind", "alike")
+    named = close.groupBy(*pool).agg(F.min("seg").alias("group"), F.count("*").alias("alike")).where("alike > 1").drop("alike")
+    return close.select(*child, "sign", "most").join(named, pool).select(*child, "group")
+
+
+def _tree(paths: DataFrame, everywhere: float) -> DataFrame:
+    """``paths`` (host, path, n, blocked, allowed) with ``template``, ``purity`` and ``known``.
+
+    Level by level, a node's segments with ``LITERAL_ROWS`` urls or more are
+    literal, the others are its variable part ``*``; literal siblings that
+    look alike become one node ``{least of them}``.  The purity of a node is
+    drawn to its parent's.  A node with fewer urls than a literal segment
+    needs, or with one path, is not split: what follows is ``**``.  The tree
+    is as deep as the paths are.
+    """
+    segs = F.when(F.col("path") == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace("path", "^/", ""), "/"))
+    hosts = paths.groupBy("host").agg(F.sum("blocked").alias("hb"), F.sum("allowed").alias("ha"))
+    hosts = hosts.select("host", _share(F.col("hb"), F.col("ha"), F.lit(everywhere)).alias("purity"), (F.col("hb") + F.col("ha") > 0).alias("known"))
+    live = cut(paths.withColumn("segs", segs).withColumn("template", F.lit("")).join(hosts, "host"))
+    columns = ["host", "path", "n", "blocked", "allowed", "segs", "known"]
+    done, level = None, 0
+    while True:
+        nodes = live.groupBy("host", "template").agg(F.sum("n").alias("t"), F.count("*").alias("paths"))
+        left, seg = F.size("segs") - level, F.get("segs", F.lit(level))
+        stop = (F.col("t") < LITERAL_ROWS) | (F.col("paths") == 1)
+        rows = live.join(nodes, ["host", "template"]).select(
+            *columns, "template", "purity", "t", left.alias("left"), seg.alias("seg"), ((left <= 0) | stop).alias("ended"),
+            F.coalesce(F.get("segs", F.lit(level + 1)), F.lit("")).alias("next"), F.array_join(F.slice("segs", level + 3, F.greatest(left - 2, F.lit(0))), "/").alias("rest"),
+        )
+        going = rows.where("not ended")
+        literal = going.groupBy("host", "template", "seg").agg(F.sum("n").alias("c"), F.sum("blocked").alias("b"), F.sum("allowed").alias("a")).where(F.col("c") >= LITERAL_ROWS)
+        literal = cut(literal)
+        steps = literal.select("host", "template", "seg", F.lit(True).alias("literal"))
+        siblings = literal.groupBy("host", "template").count().where("count > 1").take(1)
+        steps = steps.join(_merged(going, literal), ["host", "template", "seg"], "left") if siblings else steps.withColumn("group", F.lit(None).cast("string"))
+        whole = F.when(F.col("left") <= 0, "").when(F.col("left") > 1, "/**").when(F.col("t") < LITERAL_ROWS, "/*").otherwise(F.concat(F.lit("/"), "seg"))
+        split = F.when(F.col("group").isNotNull(), F.concat(F.lit("/{"), "group", F.lit("}"))).when(F.col("literal"), F.concat(F.lit("/"), "seg")).otherwise("/*")
+        rows = rows.join(steps, ["host", "template", "seg"], "left").withColumn("template", F.concat("template", F.when(F.col("ended"), whole).otherwise(split)))
+        rows = cut(rows.select(*columns, "template", "purity", "ended"))
+        sums = rows.groupBy("host", "template", "ended").agg(_share(F.sum("blocked"), F.sum("allowed"), F.first("purity")).alias("purity"))
+        rows = cut(rows.drop("purity").join(sums, ["host", "template", "ended"]))
+        ready = rows.where("ended").select("host", "path", "template", "purity", "known")
+        done = ready if done is None else done.unionByName(ready)
+        live, level = rows.where("not ended").drop("ended"), level + 1
+        if not live.take(1):
+            return done
 
 
 def judge(pages: DataFrame, rules=RULES, labels: DataFrame | None = None) -> DataFrame:
@@ -119,14 +152,9 @@ def judge(pages: DataFrame, rules=RULES, labels: DataFrame | None = None) -> Dat
     paths = cut(known.groupBy("host", "path").agg(
         F.count("*").alias("n"), F.count_if(F.col("label") == "block").alias("blocked"), F.count_if(F.col("label") == "allow").alias("allowed")
     ))
-    rows = cut(_merged(_templates(paths)))
-    share = lambda b, a, prior: (b + F.lit(STRENGTH) * prior) / (b + a + F.lit(STRENGTH))
-    blocked, allowed = rows.agg(F.coalesce(F.sum("blocked"), F.lit(0)), F.coalesce(F.sum("allowed"), F.lit(0))).first()
+    blocked, allowed = paths.agg(F.coalesce(F.sum("blocked"), F.lit(0)), F.coalesce(F.sum("allowed"), F.lit(0))).first()
     everywhere = blocked / (blocked + allowed) if blocked + allowed else 0.0
-    branches = rows.groupBy("host", "branch").agg(F.sum("blocked").alias("b"), F.sum("allowed").alias("a"))
-    hosts = branches.groupBy("host").agg(F.sum("b").alias("hb"), F.sum("a").alias("ha"))
-    purity = branches.join(hosts, "host").select("host", "branch", share(F.col("b"), F.col("a"), share(F.col("hb"), F.col("ha"), F.lit(everywhere))).alias("purity"), (F.col("hb") + F.col("ha") > 0).alias("known"))
-    judged = rows.select("host", "path", "branch").join(purity, ["host", "branch"])
+    judged = _tree(paths, everywhere)
     out = urls.join(judged, ["host", "path"], "left")
     method = F.when(F.col("known") & (F.col("purity") >= REJECT), "block").otherwise("allow")
-    return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", method).alias("verdict"), F.col("branch").alias("template"), "purity")
+    return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", method).alias("verdict"), "template", "purity")

@@ -291,6 +291,19 @@ def test_url_templates_follow_labels(spark):
     assert {got[i] for i in range(0, 200, 2)} == {("/good/*", "allow")} and {got[i] for i in range(1, 200, 2)} == {("/bad/*", "block")}
 
 
+def test_small_and_deep_branches_keep_their_labels(spark):
+    from pitframe.llm.urls import judge
+
+    small = [(f"http://s.net/{'bad' if k == 0 else f's{k}'}/{i}", "block" if k == 0 else "allow") for k in range(100) for i in range(20)]
+    deep = [(f"http://d.net/2024/05/17/x/{part}/{i}", label) for part, label in (("ads", "block"), ("news", "allow")) for i in range(40)]
+    rows = [(i, url, label) for i, (url, label) in enumerate(small + deep)]
+    labels = spark.createDataFrame([(i, label) for i, _, label in rows if i % 4], "page_id long, label string")
+    got = {r["page_id"]: r for r in judge(spark.createDataFrame([r[:2] for r in rows], "page_id long, url string"), labels=labels).collect()}
+    assert all(got[i]["verdict"] == label for i, _, label in rows)
+    assert {got[i]["template"] for i in range(20)} == {"/bad/*"} and {got[i]["template"].split("/")[1] for i in range(20, 2000)} == {"{s1}"}
+    assert {got[i]["template"] for i in range(2000, 2080)} == {"/2024/05/17/x/ads/*", "/2024/05/17/x/news/*"}
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline as cp
 
