@@ -98,6 +98,15 @@ def signatures(sets: list[np.ndarray], n: int) -> np.ndarray:
     return out
 
 
+def _hashes(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each set, 0 for an empty one."""
+    h1, h2 = np.zeros(len(sets), np.int64), np.zeros(len(sets), np.int64)
+    for i, s in enumerate(sets):
+        if len(s):
+            h1[i], h2[i] = np.bitwise_xor.reduce(_mix(s)).view(np.int64), _mix(s + _MULT).sum(dtype=np.uint64).view(np.int64)
+    return h1, h2
+
+
 def sketch(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """``doc_id, h1, h2, size, bytes, sig`` of every row: the set's hash, its size, its forest paths."""
 
@@ -107,10 +116,8 @@ def sketch(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 texts = part["text"].iloc[lo : lo + 256]
                 sets = [shingles(t, words) for t in texts]
                 full = [i for i, s in enumerate(sets) if len(s)]
-                h1, h2, sig = np.zeros(len(sets), np.int64), np.zeros(len(sets), np.int64), np.full(len(sets), None, object)
+                (h1, h2), sig = _hashes(sets), np.full(len(sets), None, object)
                 if full:
-                    h1[full] = [np.bitwise_xor.reduce(_mix(sets[i])).view(np.int64) for i in full]
-                    h2[full] = [_mix(sets[i] + _MULT).sum(dtype=np.uint64).view(np.int64) for i in full]
                     sig[full] = [row.tobytes() for row in signatures([sets[i] for i in full], TREES * DEPTH)]
                 yield pd.DataFrame({
                     "doc_id": part["doc_id"].iloc[lo : lo + 256].to_numpy(), "h1": h1, "h2": h2, "size": np.array([len(s) for s in sets], np.int32),
@@ -231,6 +238,11 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int =
     are counted as other documents are; of different texts under one doc_id,
     one is compared and the others link with nothing but their copies.
     """
+    return _linked(docs, threshold, words, recall).drop("h1", "h2")
+
+
+def _linked(docs: DataFrame, threshold: float, words: int, recall: float) -> DataFrame:
+    """As :func:`near_duplicates`, with the hashes ``h1, h2`` of each row's set."""
     rows = cut(sketch(docs, words))
     sets = rows.where("size > 0 and doc_id is not null").groupBy("h1", "h2").agg(
         F.min("doc_id").alias("cls"), F.count("*").alias("weight"), F.first("size").alias("size"), F.max("bytes").alias("bytes"), F.first("sig").alias("sig")
@@ -269,15 +281,31 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int =
         F.coalesce("root", "cls", "doc_id").alias("class_id"),
         (F.coalesce("weight", F.lit(1)) - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
         F.coalesce(F.col("doc_id") == F.coalesce("root", "cls", "doc_id"), F.lit(True)).alias("kept"),
-    )
+        "h1", "h2",
+    )
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the near duplicates of a document with a smaller doc_id.
 
-    Of rows that repeat a doc_id one stays.
+    Rows with a null doc_id stay.  Of rows that repeat a doc_id each text is
+    judged by itself, and one row of each set of n-grams (of each text, where
+    it has no words) stays.
     """
-    found = cut(near_duplicates(docs, threshold))
-    out = without_ids(docs, found.where("not kept").select("doc_id").distinct(), BROADCAST_ROWS)
-    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return out.dropDuplicates(["doc_id"]) if repeated else out
+    found = cut(_linked(docs, threshold, WORDS, RECALL))
+    dropped = found.where("not kept").select("doc_id").distinct()
+    repeated = cut(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if not repeated.take(1):
+        return without_ids(docs, dropped, BROADCAST_ROWS)
+
+    @F.pandas_udf("struct<h1: long, h2: long, full: boolean>")
+    def own(texts: pd.Series) -> pd.DataFrame:
+        sets = [shingles(t) for t in texts]
+        h1, h2 = _hashes(sets)
+        return pd.DataFrame({"h1": h1, "h2": h2, "full": [len(s) > 0 for s in sets]})
+
+    many = docs.join(repeated, "doc_id").withColumn("_own", own("text"))
+    many = many.select(*docs.columns, F.col("_own.h1").alias("_h1"), F.col("_own.h2").alias("_h2"), F.when(~F.col("_own.full"), F.col("text")).alias("_blank"))
+    kept = found.where("kept").select("doc_id", F.col("h1").alias("_h1"), F.col("h2").alias("_h2")).distinct()
+    many = many.join(kept, ["doc_id", "_h1", "_h2"]).dropDuplicates(["doc_id", "_h1", "_h2", "_blank"]).select(*docs.columns)
+    return without_ids(docs, dropped.unionByName(repeated).distinct(), BROADCAST_ROWS).unionByName(many)

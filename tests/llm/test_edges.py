@@ -170,6 +170,14 @@ def test_near_duplicates_of_blank_and_null(docs, labels):
     assert got[106]["n_links"] == 1
 
 
+def test_keep_one_of_repeated_and_null_ids(spark):
+    from pitframe.llm.minhash import keep_one
+
+    rows = [(None, prose(1)), (None, prose(2)), (3, prose(3)), (5, prose(3)), (5, prose(4)), (5, prose(4)), (5, None), (5, ""), (6, prose(5)), (6, prose(6))]
+    got = [(r["doc_id"], r["text"]) for r in keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got, key=repr) == sorted([r for i, r in enumerate(rows) if i not in (3, 5)], key=repr)
+
+
 def test_vectors(spark):
     from pitframe.llm.embeddings import near_vectors
 
