@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import compress
 
 import numpy as np
 import pandas as pd
@@ -14,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitframe.llm.chunks import ChunkEncoder
+from pitframe.llm.chunks import ChunkEncoder, as_objects, encode_words, slices
 
 MAGIC = b"PKID"
 #: Ids of a block, a multiple of 8, and of an image, about.
@@ -93,35 +95,52 @@ class Image:
         return self.ids(int(self.ends[i - 1]) if i else 0, int(self.ends[i]))
 
 
+def _letters() -> dict[int, int]:
+    """The letters by which byte-level models name bytes: a printable one itself, the others counted up from 256."""
+    shown = [b for b in range(33, 256) if not 127 <= b <= 160 and b != 173]
+    return {b: b for b in shown} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(shown))}
+
+
+#: Below this letter the pattern splits alike in all versions of Unicode.
+_SETTLED = "\u0370"
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
 @lru_cache(maxsize=2)
 def _encoder(path: str) -> ChunkEncoder:
-    """A worker's encoder: ``tokenizers`` on the parts that it has not met before."""
+    """A worker's encoder: the ``tokenizers`` library on what it has not met before.
+
+    A byte-level tokenizer splits a text at its added tokens, then by its
+    pattern into words, and its model encodes each word by itself.  So parts of
+    settled letters are split here and each distinct word goes to the
+    library's model once; parts with other letters, or with an added token, go
+    to the whole tokenizer.
+    """
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    import regex
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
-    blank = np.zeros(tok.get_vocab_size(), bool)
-    blank[[i for w, i in tok.get_vocab().items() if w.startswith("Ġ")]] = True
+    setting = json.loads(tok.to_str())
+    byte_level = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+    by_words = setting["normalizer"] is None and setting["pre_tokenizer"] == byte_level
+    added = [t["content"] for t in setting["added_tokens"]]
+    if any(map(str.isspace, "".join(added))):
+        raise ValueError("an added token holds white space, at which texts are parted")
+    pattern, letters, model = regex.compile(_PATTERN), _letters(), tok.model
+
+    def words(found: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [[t.id for t in model.tokenize(w.encode().decode("latin-1").translate(letters))] for w in found]
+        return np.array([len(x) for x in ids], np.int64), np.fromiter((i for x in ids for i in x), np.int32)
 
     def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Parts that begin with a blank and hold no other go to the library joined, as a text would be."""
-        counts, out = np.zeros(len(texts), np.int64), []
-        joined = len(texts) > 1 and all(t[:1] == " " or not t for t in texts)
-        if not joined:
-            found = tok.encode_batch_fast(texts, add_special_tokens=False)
-            ids = [np.array(e.ids, np.int32) for e in found]
-            return np.array([len(x) for x in ids], np.int64), np.concatenate([np.empty(0, np.int32), *ids])
-        full = np.array([i for i, t in enumerate(texts) if t])
-        groups = [full[i : i + 1000] for i in range(0, len(full), 1000)]
-        for group, e in zip(groups, tok.encode_batch_fast(["".join(texts[i] for i in g) for g in groups], add_special_tokens=False)):
-            ids = np.array(e.ids, np.int32)
-            starts = np.flatnonzero(blank[ids])
-            if len(starts) != len(group):
-                raise ValueError("the tokenizer does not begin a token at each blank")
-            counts[group] = np.diff(np.append(starts, len(ids)))
-            out.append(ids)
-        return counts, np.concatenate([np.empty(0, np.int32), *out])
+        plain = np.array([by_words and (not t or max(t) < _SETTLED) and not any(a in t for a in added) for t in texts], bool)
+        counts, held = np.zeros(len(texts), np.int64), np.empty(len(texts), object)
+        counts[plain], flat = encode_words(list(compress(texts, plain)), pattern, words)
+        held[plain] = as_objects(np.split(flat, np.cumsum(counts[plain])[:-1]))
+        rest = [np.array(e.ids, np.int32) for e in tok.encode_batch_fast(list(compress(texts, ~plain)), add_special_tokens=False)]
+        counts[~plain], held[~plain] = [len(x) for x in rest], as_objects(rest)
+        return counts, np.concatenate([np.empty(0, np.int32), *held])
 
     return ChunkEncoder(encode)
 
@@ -129,8 +148,11 @@ def _encoder(path: str) -> ChunkEncoder:
 def write_ids(docs: DataFrame, tokenizer: str, vocab: int, end_id: int, path: str) -> None:
     """Writes all documents' ids to ``path``, in ascending ``doc_id``.
 
-    ``docs`` has ``doc_id`` and ``text`` (null: empty); each document ends
-    with ``end_id``.  Rows are dealt into ranges of ``doc_id``, the shards;
+    ``docs`` has ``doc_id`` and ``text`` (null: empty; other columns are
+    ignored); each document ends with ``end_id``, so an empty one is that id
+    alone.  An added token's string in a text is that token, as the library
+    has it.  Repeated rows are written as often as they come; an empty table
+    gives no images.  A text is encoded whole, however long.  Rows are dealt into ranges of ``doc_id``, the shards;
     ties go by text, null ids come first.  A shard is a run of images of
     about ``IMAGE_IDS`` ids in Parquet rows ``shard, image, n_ids, data``, so
     writing is atomic per task and works on any store that Spark reaches.
@@ -152,8 +174,7 @@ def write_ids(docs: DataFrame, tokenizer: str, vocab: int, end_id: int, path: st
             return row
 
         for part in parts:
-            for lo in range(0, len(part), 256):
-                own = part.iloc[lo : lo + 256]
+            for own in slices(part, chars=4_000_000):
                 counts, ids = encode(own["text"].tolist())
                 ends = np.cumsum(counts)
                 doc_ids = own["doc_id"].astype("Int64").fillna(np.iinfo(np.int64).min).to_numpy(np.int64)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 
 #: Distinct parts that a worker remembers, at most; then it starts anew.
 MOST_CHUNKS = 700_000
@@ -27,6 +28,25 @@ def gather(codes: np.ndarray, starts: np.ndarray, lens: np.ndarray, flat: np.nda
     return flat[np.repeat(starts[codes] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
 
 
+def as_objects(arrays: list[np.ndarray]) -> np.ndarray:
+    """A list as an array of objects, whatever its items' shapes."""
+    out = np.empty(len(arrays), object)
+    out[:] = arrays
+    return out
+
+
+def encode_words(texts: list[str], pattern, words: Encoder) -> tuple[np.ndarray, np.ndarray]:
+    """Id counts per text, and all ids, from ``words`` on the distinct matches of ``pattern``."""
+    number = _Codes()
+    split = [[number[w] for w in pattern.findall(t)] for t in texts]
+    lens, flat = words(list(number))
+    n = np.array([len(x) for x in split], np.int64)
+    codes = np.fromiter((c for x in split for c in x), np.int64, int(n.sum()))
+    per = np.append(0, np.cumsum(lens[codes]))
+    ends = np.cumsum(n)
+    return per[ends] - per[ends - n], gather(codes, np.cumsum(lens) - lens, lens, flat)
+
+
 class ChunkEncoder:
     """Encodes texts through ``encode``, which takes strings and returns id counts and ids.
 
@@ -56,8 +76,12 @@ class ChunkEncoder:
             heads.append(self.first[parts[0]])
             tails.append(np.fromiter(map(self.codes.__getitem__, parts[1:]), np.int64, len(parts) - 1))
         head, tail = self.tables
-        head.extend(self.first, "", self.encode)
-        tail.extend(self.codes, " ", self.encode)
+        new_first, new_codes = head.take(self.first, ""), tail.take(self.codes, " ")
+        if new_first or new_codes:
+            lens, flat = self.encode(new_first + new_codes)
+            at = int(lens[: len(new_first)].sum())
+            head.extend(lens[: len(new_first)], flat[:at])
+            tail.extend(lens[len(new_first) :], flat[at:])
         counts = np.zeros(len(texts), np.int64)
         out, whole = [], []
         for i, (h, t) in enumerate(zip(heads, tails)):
@@ -69,9 +93,11 @@ class ChunkEncoder:
                 ids = np.append(head.flat[head.starts[h] : head.starts[h] + head.lens[h]], gather(t, tail.starts, tail.lens, tail.flat))
                 counts[i] = len(ids)
                 out.append(ids)
-        for i in whole:
-            n, ids = self.encode([texts[i]])
-            counts[i], out[i] = n[0], ids
+        if whole:
+            n, ids = self.encode([texts[i] for i in whole])
+            counts[whole] = n
+            for i, own in zip(whole, np.split(ids, np.cumsum(n)[:-1])):
+                out[i] = own
         return counts, np.concatenate([np.empty(0, np.int64), *out])
 
 
@@ -87,18 +113,18 @@ class _Table:
     def _room(a: np.ndarray, n: int) -> np.ndarray:
         return a if n <= len(a) else np.append(a, np.zeros(max(n, 2 * len(a)) - len(a), a.dtype))
 
-    def extend(self, codes: dict[str, int], lead: str, encode: Encoder) -> None:
-        """Takes in the parts that were numbered since the last call."""
-        new = list(codes)[self.n :] if len(codes) - self.n > len(codes) // 4 else _tail(codes, len(codes) - self.n)
-        if not new:
-            return
+    def take(self, codes: dict[str, int], lead: str) -> list[str]:
+        """The parts numbered since the last call, as they are to be encoded; :meth:`extend` follows with their ids."""
         n = len(codes)
+        new = list(codes)[self.n :] if n - self.n > n // 4 else _tail(codes, n - self.n)
         self.starts, self.lens, self.clean = self._room(self.starts, n), self._room(self.lens, n), self._room(self.clean, n)
-        ok = np.array([bool(c) and not c[0].isspace() and not c[-1].isspace() for c in new])
-        if not lead:  # a text of one part is encoded as it stands
-            ok = np.array([bool(c) and not c[-1].isspace() for c in new])
+        # A text's first part is encoded as it stands; a blank that leads a part may touch no other white space.
+        ok = [bool(c) and not c[-1].isspace() and not (lead and c[0].isspace()) for c in new]
         self.clean[self.n : n] = ok
-        counts, flat = encode([lead + c if k or not lead else "" for c, k in zip(new, ok)])
+        return [lead + c if k or not lead else "" for c, k in zip(new, ok)]
+
+    def extend(self, counts: np.ndarray, flat: np.ndarray) -> None:
+        n = self.n + len(counts)
         self.lens[self.n : n] = counts
         self.starts[self.n : n] = self.used + np.cumsum(counts) - counts
         self.flat = self._room(self.flat, self.used + len(flat))
@@ -110,3 +136,14 @@ def _tail(codes: dict[str, int], k: int) -> list[str]:
     """The last ``k`` keys, without a walk through all."""
     keys = reversed(codes)
     return [next(keys) for _ in range(k)][::-1]
+
+
+def slices(part: pd.DataFrame, chars: int = 8_000_000, rows: int = 2_000) -> Iterator[pd.DataFrame]:
+    """``part``, which has ``text``, in runs of at most ``rows`` rows and about ``chars`` characters."""
+    ends = part["text"].str.len().cumsum().to_numpy()
+    lo = 0
+    while lo < len(part):
+        before = ends[lo - 1] if lo else 0
+        hi = min(lo + rows, max(lo + 1, int(np.searchsorted(ends, before + chars, side="right"))))
+        yield part.iloc[lo:hi]
+        lo = hi

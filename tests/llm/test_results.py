@@ -128,11 +128,56 @@ def test_encoders_agree_with_libraries(more):
     assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [enc.encode_ordinary(t) for t in texts]
     assert bpe.decode(counts, ids) == [t.encode() for t in texts]
     tok = Tokenizer.from_file(p.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     counts, ids = bitpack._encoder(p.path("byte_bpe_50k.json"))(texts)
     assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_long_words_take_few_rounds():
+    """Words of a hundred thousand letters, runs, and words of whole tokens, against the library."""
+    import random
+
+    import public_tokenizers as p
+    import tiktoken
+
+    from pitframe.llm.bpe import _worker
+
+    bpe, rng = _worker(p.path("byte_bpe_multi_50k.tiktoken"), p.PATTERN), random.Random(1)
+    enc = tiktoken.Encoding("own", pat_str=p.PATTERN, mergeable_ranks=bpe.whole, special_tokens={})
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    long = ["".join(rng.choices(letters, k=100_000)), "a" * 100_000, " " + "o" * 50_000, "".join(rng.choices([chr(c) for c in range(0x4E00, 0x5200)], k=40_000)), "漢字中文的是" * 9_000]
+    tokens = [t for t in bpe.whole if t.isalpha()]
+    found = [t.encode() for t in long] + [b"".join(rng.choices(tokens, k=rng.randint(4, 30))) for _ in range(800)]
+    found += [b"".join(bytes([rng.choice(b"oea-=_n\xb0\xd0")]) * rng.randint(1, 50) for _ in range(6)) for _ in range(300)] + [bytes([c]) * 90 for c in range(256)]
+    counts, ids = bpe.words(found)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [enc._core_bpe.encode_single_piece(w) for w in found]
+
+
+def test_decoding_of_nulls_and_unknown_ids(spark):
+    import public_tokenizers as p
+
+    from pitframe.llm.bpe import decode_documents, encode_documents
+
+    path = p.path("byte_bpe_multi_50k.tiktoken")
+    docs = spark.createDataFrame([(1, "Été, two  words"), (2, None), (None, "x")], "doc_id long, text string")
+    both = decode_documents(encode_documents(docs, path, p.PATTERN), path, p.PATTERN).collect()
+    assert {(r["doc_id"], bytes(r["bytes"]).decode()) for r in both} == {(1, "Été, two  words"), (2, ""), (None, "x")}
+    bare = spark.createDataFrame([(1, None), (2, []), (3, [65000])], "doc_id long, ids array<int>")
+    assert [bytes(r["bytes"]) for r in decode_documents(bare.where("doc_id < 3"), path, p.PATTERN).collect()] == [b"", b""]
+    with pytest.raises(Exception, match="no token"):
+        decode_documents(bare, path, p.PATTERN).collect()
+
+
+def test_added_tokens_are_as_in_the_library():
+    import public_tokenizers as p
+    from tokenizers import Tokenizer
+
+    texts = ["hi <|endoftext|> there", "<|endoftext|>", "a<|endoftext|><|endoftext|> b", "<|endof text|>", "\u0558 a\u0558b \u20c0 \U0001f600", " x" * 5000]
+    counts, ids = bitpack._encoder(p.path("byte_bpe_50k.json"))(texts)
+    tok = Tokenizer.from_file(p.path("byte_bpe_50k.json"))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert counts[0] == 4 and counts[1] == 1
+
+
 def test_chunk_memory_is_bounded():
     enc = ChunkEncoder(lambda xs: (np.array([len(x) for x in xs]), np.array([ord(c) for x in xs for c in x], np.int32)), most=5)
     for i in range(9):
@@ -147,7 +192,6 @@ def test_token_files(spark, sf_dir, texts):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     got, at = {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in QUERIES["op6_bitpack"](spark, sf_dir).collect()}, 0
     for k in sorted(texts):
         ids = [*tok.encode(texts[k] or "", add_special_tokens=False).ids, 0]
