@@ -27,17 +27,18 @@ BLOCK = 2048
 MARGIN = 1.0
 
 
-def _matrix(arrays: pd.Series, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """Unit rows in double precision, and which rows have a direction and ``dim`` components."""
-    out = np.zeros((len(arrays), dim))
-    good = np.zeros(len(arrays), bool)
-    for i, a in enumerate(arrays):
-        if a is not None and len(a) == dim:
+def _units(arrays: pd.Series) -> list[bytes | None]:
+    """Unit vectors in double precision as bytes; None for those without a direction."""
+    out: list[bytes | None] = []
+    for a in arrays:
+        unit = None
+        if a is not None and len(a):
             v = np.array([np.nan if x is None else x for x in a], np.float64) if getattr(a, "dtype", None) == object else np.asarray(a, np.float64)
-            if np.isfinite(v).all() and (top := np.abs(v).max(initial=0)) > 0:
+            if np.isfinite(v).all() and (top := np.abs(v).max()) > 0:
                 v = v / top
-                out[i], good[i] = v / np.sqrt(v @ v), True
-    return out, good
+                unit = (v / np.sqrt(v @ v) + 0.0).tobytes()  # one zero
+        out.append(unit)
+    return out
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
@@ -79,7 +80,7 @@ def _block_links(cosine: float):
         if not len(a) or not len(b):
             return None
         x = np.frombuffer(b"".join(group["unit"]), np.float64).reshape(len(group["cls"]), -1)
-        linked = x[a] @ x[b].T >= cosine - 1e-12
+        linked = x[a] @ x[b].T >= cosine
         cls = group["cls"]
         if a is b:
             np.fill_diagonal(linked, False)
@@ -113,63 +114,71 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, fit_rows: int = FIT
     A cell's vectors are compared in blocks with each other and its visitors;
     a block returns link counts and local roots, never pairs.
 
-    A vector that is null, zero, or holds null or non-finite components links
-    with nothing, nor does one whose length is not the commonest.  Rows with a
-    null vec_id link with nothing and keep a null component.  Of different
-    vectors under one vec_id, one is compared; the others link with nothing
-    but their copies.
+    A vector that is null, empty, zero, or holds null or non-finite components
+    links with nothing; vectors of different lengths do not link.  Rows with a
+    null vec_id link with nothing, have a null component and are kept.  Rows
+    that repeat a vec_id are vectors of their own.  An empty table gives an
+    empty one; other columns are ignored.
     """
     if not 0 < cosine <= 1:
         raise ValueError("cosine must be above 0 and at most 1")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    common = rows.where("embedding is not null and size(embedding) > 0").groupBy(F.size("embedding").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    dim = common["dim"] if common else 1
 
     def units(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            x, good = _matrix(part["embedding"], dim)
-            x += 0.0  # one zero
-            yield pd.DataFrame({"vec_id": part["vec_id"], "unit": [r.tobytes() if g else None for r, g in zip(x, good)]})
-
-    unit = cut(rows.mapInPandas(units, "vec_id long, unit binary").withColumn("key", F.sha2("unit", 256)))
-    same = unit.where("unit is not null and vec_id is not null").groupBy("key").agg(F.min("vec_id").alias("cls"), F.count("*").alias("weight"), F.first("unit").alias("unit"))
-    # One vector for each least vec_id: where ids repeat with other vectors, that of the lowest key.
-    classes = cut(same.groupBy("cls").agg(F.min(F.struct("key", "weight", "unit")).alias("s")).select("cls", "s.*").withColumn("uid", F.xxhash64("key")))
+            yield pd.DataFrame({"vec_id": part["vec_id"], "unit": _units(part["embedding"])})
+
+    unit = cut(rows.mapInPandas(units, "vec_id long, unit binary").select("*", F.sha2("unit", 256).alias("key"), F.monotonically_increasing_id().alias("rid")))
+    # A class is named by a row of it, as ids may repeat with other vectors.
+    classes = cut(unit.where("unit is not null and vec_id is not null").groupBy("key").agg(
+        F.min("rid").alias("cls"), F.min("vec_id").alias("least"), F.count("*").alias("weight"), F.first("unit").alias("unit")
+    ).withColumn("uid", F.xxhash64("key")))
     n = classes.count()
     sample = classes.orderBy("uid", "key").limit(fit_rows).select("unit").collect()
-    x = np.frombuffer(b"".join(r["unit"] for r in sample), np.float64).reshape(len(sample), -1) if sample else np.zeros((1, dim))
-    k = max(1, min(MOST_CELLS, len(x) // 8 or 1, -(-n // cell_rows)))
-    shared = vectors.sparkSession.sparkContext.broadcast(_kmeans(x, k))  # at most MOST_CELLS rows
+    lengths: dict[int, list[bytes]] = {}
+    for r in sample:
+        lengths.setdefault(len(r["unit"]), []).append(r["unit"])
+    centres = {}  # by length; a length outside the sample has one cell
+    for length, own in lengths.items():
+        k = max(1, min(MOST_CELLS, len(own) // 8, -(-n * len(own) // (len(sample) * cell_rows))))
+        centres[length] = _kmeans(np.frombuffer(b"".join(own), np.float64).reshape(len(own), -1), k)
+    shared = vectors.sparkSession.sparkContext.broadcast(centres)  # fit_rows / 8 rows at most
     reach = margin * float(np.sqrt(max(0.0, 1 - cosine * cosine))) + 1e-9
 
     def cells(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        centres = shared.value
-        gaps = np.sqrt(np.maximum(0, 2 - 2 * centres @ centres.T))
+        gaps = {length: np.sqrt(np.maximum(0, 2 - 2 * c @ c.T)) for length, c in shared.value.items()}
         for part in parts:
-            for lo in range(0, len(part), 2048):
-                own = part.iloc[lo : lo + 2048]
-                v = np.frombuffer(b"".join(own["unit"]), np.float64).reshape(len(own), -1)
-                near = v @ centres.T
-                home = near.argmax(axis=1)
-                behind = near[np.arange(len(own)), home][:, None] - near
-                visits = behind <= reach * gaps[home] + 1e-9
-                visits &= np.arange(near.shape[1])[None, :] > home[:, None]
-                row, cell = np.nonzero(visits)
-                at = np.append(np.arange(len(own)), row)
-                yield pd.DataFrame({
-                    "cell": np.append(home, cell).astype(np.int64), "home": np.append(np.ones(len(own), bool), np.zeros(len(row), bool)),
-                    "cls": own["cls"].to_numpy()[at], "weight": own["weight"].to_numpy()[at],
-                })
-
-    placed = classes.select("cls", "weight", "unit").mapInPandas(cells, "cell long, home boolean, cls long, weight long")
-    placed = cut(placed)
+            length_of = part["unit"].str.len()
+            for length, alike in part.groupby(length_of):
+                for lo in range(0, len(alike), 2048):
+                    own = alike.iloc[lo : lo + 2048]
+                    if length not in gaps:
+                        home, row, cell = np.zeros(len(own), np.int64), np.empty(0, int), np.empty(0, int)
+                    else:
+                        near = np.frombuffer(b"".join(own["unit"]), np.float64).reshape(len(own), -1) @ shared.value[length].T
+                        home = near.argmax(axis=1)
+                        behind = near[np.arange(len(own)), home][:, None] - near
+                        visits = behind <= reach * gaps[length][home] + 1e-9
+                        visits &= np.arange(near.shape[1])[None, :] > home[:, None]
+                        row, cell = np.nonzero(visits)
+                    at = np.append(np.arange(len(own)), row)
+                    yield pd.DataFrame({
+                        "cell": int(length) * (MOST_CELLS << 8) + np.append(home, cell).astype(np.int64), "home": np.append(np.ones(len(own), bool), np.zeros(len(row), bool)),
+                        "cls": own["cls"].to_numpy()[at], "weight": own["weight"].to_numpy()[at],
+                    })
+
+    placed = cut(classes.select("cls", "weight", "unit").mapInPandas(cells, "cell long, home boolean, cls long, weight long"))
     blocks = _deal(placed, BLOCK).join(classes.select("cls", "unit"), "cls").select("block", "side", "cls", "weight", "unit")
     links = cut(map_groups(blocks, "block", _block_links(cosine), "cls long, root long, links long"))
     counts = links.groupBy("cls").agg(F.sum("links").alias("links"))
     roots = components(links.select(F.col("cls").alias("u"), F.col("root").alias("v"))).withColumnRenamed("node", "cls")
-    known = classes.select("key", "cls", "weight").join(counts, "cls", "left").join(roots, "cls", "left").where("weight > 1 or links is not null").withColumn("ok", F.lit(True))
+    known = cut(
+        classes.select("key", "cls", "least", "weight").join(counts, "cls", "left").join(roots, "cls", "left")
+        .where("weight > 1 or links is not null").withColumn("root", F.coalesce("root", "cls"))
+    )
+    known = known.join(known.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("key", "component_id", "weight", "links", F.lit(True).alias("ok"))
     found = unit.select("vec_id", "key", F.col("vec_id").isNotNull().alias("ok")).join(known, ["key", "ok"], "left")
-    component = F.when(F.col("vec_id").isNotNull(), F.coalesce("root", "cls", "vec_id"))
+    component = F.coalesce("component_id", "vec_id")
     return found.select(
         "vec_id",
         (F.coalesce("weight", F.lit(1)) - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pitframe.llm.blocks import Group, local_roots, map_groups, pair_blocks, sides
@@ -20,9 +20,12 @@ TREES = 16
 DEPTH = 8
 #: The share of pairs at the threshold itself that must share a prefix.
 RECALL = 0.9995
-#: Rows of a part of a bucket, and of a part of a candidate group.
+#: Values of a signature that lie outside one tree, and the pairs at the threshold that are assumed unseen.
+OTHERS = (TREES - 1) * DEPTH
+UNSEEN = 10
+#: Rows of a part of a node, and of a part of a candidate group.
 BUCKET_BLOCK = 256
-GROUP_BLOCK = 128
+GROUP_BLOCK = 256
 GROUP_BYTES = 16_000_000
 #: Representatives whose ids may be broadcast to fetch their texts.
 BROADCAST_ROWS = 200_000
@@ -108,7 +111,7 @@ def _hashes(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketch(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """``doc_id, h1, h2, size, bytes, sig`` of every row: the set's hash, its size, its forest paths."""
+    """``doc_id, h1, h2, size, sig`` of every row: the set's hash, its size, its forest paths."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -120,34 +123,57 @@ def sketch(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 if full:
                     sig[full] = [row.tobytes() for row in signatures([sets[i] for i in full], TREES * DEPTH)]
                 yield pd.DataFrame({
-                    "doc_id": part["doc_id"].iloc[lo : lo + 256].to_numpy(), "h1": h1, "h2": h2, "size": np.array([len(s) for s in sets], np.int32),
-                    "bytes": [len(t) if t else 0 for t in texts], "sig": sig,
+                    "doc_id": part["doc_id"].iloc[lo : lo + 256].to_numpy(), "h1": h1, "h2": h2, "size": np.array([len(s) for s in sets], np.int32), "sig": sig,
                 })
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, h1 long, h2 long, size int, bytes int, sig binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, h1 long, h2 long, size int, sig binary")
 
 
 def prefix_depth(threshold: float, recall: float) -> int:
-    """How far prefixes are shortened: the first depth, from the deepest, with the recall wanted."""
+    """The first depth, from the deepest, at which pairs at the threshold itself meet with the recall wanted."""
     depth = DEPTH
     while depth > 1 and 1 - (1 - threshold**depth) ** TREES < recall:
         depth -= 1
     return depth
 
 
+def shortened(histogram: dict[int, dict[int, int]], threshold: float, recall: float) -> dict[int, int]:
+    """A depth for each level of set sizes, from the pairs that full-depth prefixes brought together.
+
+    ``histogram`` counts, by level and by agreement of the values outside the
+    tree that brought a pair together, how often pairs met.  A pair of
+    similarity s meets in ``TREES * s**DEPTH`` trees on average, which gives
+    the number of pairs of each similarity; the deepest prefix that is
+    expected to miss no more than ``1 - recall`` of them is taken.
+    ``UNSEEN`` more pairs at the threshold itself are assumed, so that a level
+    with few pairs has the depth that suits the threshold.
+    """
+    least = prefix_depth(threshold, recall)
+    out = {}
+    for level, seen in histogram.items():
+        share = np.array([min(1.0, k / OTHERS) for k in seen])
+        pairs = np.array(list(seen.values())) / (TREES * np.maximum(share, 1e-9) ** DEPTH)
+        share, pairs = np.append(share[share >= threshold], threshold), np.append(pairs[share >= threshold], UNSEEN)
+        missed = lambda d: float((pairs * (1 - share**d) ** TREES).sum() / pairs.sum())  # noqa: B023, E731
+        out[level] = next((d for d in range(DEPTH, least, -1) if missed(d) <= 1 - recall), least)
+    return out
+
+
 def _linked_signatures(threshold: float):
-    """Edges of a bucket: pairs whose signatures agree as often as pairs at the threshold may."""
-    n = TREES * DEPTH
-    least = max(0.0, threshold - 4.5 * (threshold * (1 - threshold) / n) ** 0.5) * n
+    """Of a node of a tree: edges of pairs whose signatures agree as often as pairs at the threshold may, and how often they agree."""
+    least = max(0.0, threshold - 4.5 * (threshold * (1 - threshold) / OTHERS) ** 0.5) * OTHERS
 
     def run(group: Group) -> tuple | None:
         a, b = sides(group)
         if not len(a) or not len(b):
             return None
-        sig = np.frombuffer(b"".join(group["sig"]), np.uint16).reshape(-1, n)
-        size = group["size"]
+        sig = np.frombuffer(b"".join(group["sig"]), np.uint16).reshape(-1, TREES * DEPTH)
+        own = np.arange(TREES * DEPTH) // DEPTH == group["tree"][0]
+        sig = sig[:, ~own]
+        size, root = group["size"], group["root"]
         sa, sb = size[a][:, None], size[b][None, :]
         near = np.minimum(sa, sb) >= threshold * np.maximum(sa, sb) - 1e-9
+        near &= root[a][:, None] != root[b][None, :]
         if not near.any():
             return None
         if len(a) * len(b) <= 4096:
@@ -160,7 +186,16 @@ def _linked_signatures(threshold: float):
         ra, rb = local_roots(group["cls"][a], group["cls"][b], near)
         u, v = np.append(group["cls"][a], group["cls"][b]), np.append(ra, rb)
         moved = u != v
-        return (u[moved], v[moved]) if moved.any() else None
+        if not moved.any():
+            return None
+        level = np.broadcast_to(np.minimum(group["level"][a][:, None], group["level"][b][None, :]), near.shape)[near].astype(np.int64)
+        kinds, n = np.unique(level * 256 + same[near], return_counts=True)
+        if a is b:
+            n = n // 2  # each pair stands twice
+        return (
+            np.append(u[moved], np.zeros(len(n), np.int64)), np.append(v[moved], np.zeros(len(n), np.int64)),
+            np.append(np.full(int(moved.sum()), -1), kinds), np.append(np.zeros(int(moved.sum()), np.int64), n),
+        )
 
     return run
 
@@ -190,14 +225,14 @@ def intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _verified(threshold: float, words: int):
+def _verified(threshold: float):
     """Exact similarities within a block: weighted links and a local root per row."""
 
     def run(group: Group) -> tuple | None:
         a, b = sides(group)
         if not len(a) or not len(b):
             return None
-        sets = [shingles(t, words) for t in group["text"]]
+        sets = [np.frombuffer(x, np.uint64) for x in group["grams"]]
         size = np.array([len(s) for s in sets], np.float64)
         meet = intersections([sets[i] for i in a], [sets[i] for i in b]).astype(np.float64)
         linked = meet >= threshold * (size[a][:, None] + size[b][None, :] - meet) - 1e-9
@@ -225,62 +260,105 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int =
     included) and ``kept`` (``doc_id = class_id``).
 
     Rows with the same set form a class, so copies are counted and never
-    paired.  Classes share a bucket where a tree's sorted paths agree on the
-    prefix; prefixes are shortened from the full depth until pairs at the
-    threshold meet with the wanted recall.  Buckets are compared in blocks by
-    signature, which leaves one edge per class and block; connected classes
-    form candidate groups, and within these all pairs are verified exactly on
-    their texts, again in blocks.  No pair is ever a row.
+    paired.  A class has a path of ``DEPTH`` values in each of ``TREES`` prefix
+    trees; a node is a tree, a depth and a prefix, and its members are compared
+    by signature, in blocks, which leaves one edge per class and block.  First
+    prefixes of the full depth are matched.  The similarities of the pairs
+    found tell, for each level of set sizes, what share of links that depth
+    misses, and the documents of the level shorten their prefixes until the
+    wanted recall is met (:func:`shortened`); shorter prefixes then join only
+    what is not yet connected.  Connected classes form candidate groups, and
+    within these all pairs are verified exactly on their sets of n-grams, again
+    in blocks.  No pair is ever a row.
 
     Texts that are null, empty or blank link with nothing.  A text of fewer
     than ``words`` words is one shingle.  A row with a null doc_id is returned
     with a null class and no links, and is kept.  Rows that repeat a doc_id
-    are counted as other documents are; of different texts under one doc_id,
-    one is compared and the others link with nothing but their copies.
+    are documents of their own: each is compared by its own text.  An empty
+    table gives an empty one; other columns are ignored.
     """
     return _linked(docs, threshold, words, recall).drop("h1", "h2")
 
 
+def _nodes(classes: DataFrame, depths: Column) -> DataFrame:
+    """``tree, node`` of each class at each of its ``depths``."""
+    spread = classes.select("cls", "root", "size", "level", "sig", F.explode(F.array_distinct(depths)).alias("depth"))
+    spread = spread.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))))
+    return spread.select("cls", "root", "size", "level", "tree", F.xxhash64("tree", "depth", F.substring("sig", F.col("tree") * (2 * DEPTH) + 1, 2 * F.col("depth"))).alias("node"))
+
+
+def _matched(classes: DataFrame, depths: Column, threshold: float) -> DataFrame:
+    """``u, v, kind, n``: edges (kind -1) and counts of agreements of the pairs that nodes bring together."""
+    nodes = _nodes(classes, depths)
+    full = nodes.groupBy("node").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a <> _b").select("node")
+    met = pair_blocks(nodes.join(full, "node"), "node", F.col("level"), BUCKET_BLOCK).drop("node")
+    met = met.join(classes.select("cls", "sig"), "cls")
+    return cut(map_groups(met.select("block", "side", "cls", "root", "size", "level", "tree", "sig"), "block", _linked_signatures(threshold), "u long, v long, kind long, n long"))
+
+
+def _candidates(classes: DataFrame, threshold: float, recall: float) -> DataFrame:
+    """``node, root``: classes connected by pairs that the forest brings together."""
+    edges = _matched(classes.withColumn("root", F.col("cls")), F.array(F.lit(DEPTH)), threshold)
+    histogram: dict[int, dict[int, int]] = {}
+    for r in edges.where("kind >= 0").groupBy("kind").agg(F.sum("n").alias("n")).collect():  # levels of size by shares: some thousands at most
+        histogram.setdefault(r["kind"] // 256, {})[r["kind"] % 256] = r["n"]
+    chosen, least = shortened(histogram, threshold, recall), prefix_depth(threshold, recall)
+    roots = components(edges.where("kind < 0").select("u", "v"))
+    if least == DEPTH:
+        return roots
+    of_level = F.create_map(*[F.lit(x) for pair in chosen.items() for x in pair]) if chosen else F.create_map().cast("map<int,int>")
+    depth = lambda level: F.coalesce(F.try_element_at(of_level, level.cast("int")), F.lit(least))
+    # A pair meets at the lesser of its two depths, so a document is at its neighbours' depths too.
+    depths = F.array(depth(F.col("level") - 1), depth(F.col("level")), depth(F.col("level") + 1))
+    joined = cut(classes.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls")))
+    more = _matched(joined, depths, threshold).where("kind < 0").select("u", "v")
+    return components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
+
+
+def _gram_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """``doc_id, h1, h2, grams`` of the rows of ``docs`` whose id is in ``ids``."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for lo in range(0, len(part), 256):
+                sets = [shingles(t, words) for t in part["text"].iloc[lo : lo + 256]]
+                h1, h2 = _hashes(sets)
+                yield pd.DataFrame({"doc_id": part["doc_id"].iloc[lo : lo + 256].to_numpy(), "h1": h1, "h2": h2, "grams": [x.tobytes() for x in sets]})
+
+    few = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(few, "doc_id").select("doc_id", "text")
+    return own.mapInPandas(run, "doc_id long, h1 long, h2 long, grams binary")
+
+
 def _linked(docs: DataFrame, threshold: float, words: int, recall: float) -> DataFrame:
     """As :func:`near_duplicates`, with the hashes ``h1, h2`` of each row's set."""
-    rows = cut(sketch(docs, words))
-    sets = rows.where("size > 0 and doc_id is not null").groupBy("h1", "h2").agg(
-        F.min("doc_id").alias("cls"), F.count("*").alias("weight"), F.first("size").alias("size"), F.max("bytes").alias("bytes"), F.first("sig").alias("sig")
-    )
-    # One set for each least doc_id: where ids repeat with other texts, the set of the lowest hash.
-    classes = cut(sets.groupBy("cls").agg(F.min(F.struct("h1", "h2", "weight", "size", "bytes", "sig")).alias("s")).select("cls", "s.*"))
-    depth = prefix_depth(threshold, recall)
-    paths = F.transform(
-        F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.xxhash64(t, F.substring(F.col("sig"), t * (2 * DEPTH) + 1, F.lit(2 * depth)))
-    )
-    buckets = classes.select("cls", "size", F.explode(paths).alias("bucket"))
-    full = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    met = buckets.join(full, "bucket")
-    level = F.floor(F.log(F.col("size")) / F.lit(-np.log(threshold)))
-    met = pair_blocks(met, "bucket", level, BUCKET_BLOCK).drop("bucket")
-    met = met.join(classes.select("cls", "sig"), "cls")
-    edges = map_groups(met.select("block", "side", "cls", "size", "sig"), "block", _linked_signatures(threshold), "u long, v long")
-    groups = cut(components(edges).join(classes.select(F.col("cls").alias("node"), "weight", "size", "bytes", "h1", "h2"), "node"))
-
-    members = groups.select(F.col("root").alias("grp"), F.col("node").alias("cls"), "weight", "size", "bytes")
-    blocks = pair_blocks(members, "grp", level, GROUP_BLOCK, F.col("bytes"), GROUP_BYTES).select("block", "side", "cls", "weight")
-    wanted = groups.select(F.col("node").alias("doc_id"))
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
-    compared = blocks.join(texts.withColumnRenamed("doc_id", "cls"), "cls")
-    links = cut(map_groups(compared, "block", _verified(threshold, words), "cls long, root long, links long"))
+    rows = cut(sketch(docs, words).withColumn("rid", F.monotonically_increasing_id()))
+    level = F.floor(F.log(F.col("size")) / F.lit(-np.log(threshold))).cast("int")
+    # A class is named by a row of it, as ids may repeat with other texts.
+    classes = cut(rows.where("size > 0 and doc_id is not null").groupBy("h1", "h2").agg(
+        F.min("rid").alias("cls"), F.min("doc_id").alias("least"), F.count("*").alias("weight"), F.first("size").alias("size"), F.first("sig").alias("sig")
+    ).withColumn("level", level))
+    found = _candidates(classes, threshold, recall)
+    groups = cut(found.join(classes.select(F.col("cls").alias("node"), "least", "weight", "size", "level", "h1", "h2"), "node"))
+
+    members = groups.select(F.col("root").alias("grp"), F.col("node").alias("cls"), "weight", "size", "level")
+    blocks = pair_blocks(members, "grp", F.col("level"), GROUP_BLOCK, 8 * F.col("size"), GROUP_BYTES).select("block", "side", "cls", "weight")
+    wanted = groups.select(F.col("least").alias("doc_id"), "h1", "h2", F.col("node").alias("cls"))
+    grams = _gram_sets(docs, cut(wanted.select("doc_id").distinct()), words).join(wanted, ["doc_id", "h1", "h2"]).groupBy("cls").agg(F.first("grams").alias("grams"))
+    links = cut(map_groups(blocks.join(grams, "cls"), "block", _verified(threshold), "cls long, root long, links long"))
     counts = links.groupBy("cls").agg(F.sum("links").alias("links"))
     roots = components(links.select(F.col("cls").alias("u"), F.col("root").alias("v")))
-    known = (
-        classes.select("h1", "h2", "cls", "weight").join(counts, "cls", "left").join(roots.withColumnRenamed("node", "cls"), "cls", "left")
-        .where("weight > 1 or links is not null")
+    known = cut(
+        classes.select("h1", "h2", "cls", "least", "weight").join(counts, "cls", "left").join(roots.withColumnRenamed("node", "cls"), "cls", "left")
+        .where("weight > 1 or links is not null").withColumn("root", F.coalesce("root", "cls"))
     )
-    found = rows.select("doc_id", "h1", "h2", (F.expr("size > 0 and doc_id is not null")).alias("ok")).join(known.withColumn("ok", F.lit(True)), ["h1", "h2", "ok"], "left")
-    return found.select(
+    known = known.join(known.groupBy("root").agg(F.min("least").alias("class_id")), "root").select("h1", "h2", "class_id", "weight", "links", F.lit(True).alias("ok"))
+    own = rows.select("doc_id", "h1", "h2", (F.expr("size > 0 and doc_id is not null")).alias("ok")).join(known, ["h1", "h2", "ok"], "left")
+    return own.select(
         "doc_id",
-        F.coalesce("root", "cls", "doc_id").alias("class_id"),
+        F.coalesce("class_id", "doc_id").alias("class_id"),
         (F.coalesce("weight", F.lit(1)) - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
-        F.coalesce(F.col("doc_id") == F.coalesce("root", "cls", "doc_id"), F.lit(True)).alias("kept"),
+        F.coalesce(F.col("doc_id") == F.coalesce("class_id", "doc_id"), F.lit(True)).alias("kept"),
         "h1", "h2",
     )
 

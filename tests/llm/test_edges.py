@@ -178,6 +178,23 @@ def test_keep_one_of_repeated_and_null_ids(spark):
     assert sorted(got, key=repr) == sorted([r for i, r in enumerate(rows) if i not in (3, 5)], key=repr)
 
 
+def test_near_duplicates_compare_each_text_of_a_repeated_id(spark):
+    from pitframe.llm.minhash import near_duplicates
+
+    t1, t2 = prose(1), " ".join(f"w{i}" for i in range(60))
+    rows = [(1, t1), (1, t2), (2, t2 + " z"), (3, t1 + " z"), (5, "a b c d e f"), (5, "g h i j k l m"), (7, "g h i j k l m")]
+    got = sorted((r["doc_id"], r["class_id"], r["n_links"], r["kept"]) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (5, 5, 0, True), (5, 5, 1, True), (7, 5, 1, False)]
+
+
+def test_vectors_of_repeated_ids_and_each_length(spark):
+    from pitframe.llm.embeddings import near_vectors
+
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (3, [1.0, 0.0]), (4, [0.0, 2.0])] + [(i, [1.0, 0.01 * (i - 9), 0.0]) for i in (10, 11)] + [(20, [0.95, math.sqrt(1 - 0.95**2) + 1e-9]), (21, [])]
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == [(1, 1, 1), (1, 1, 1), (3, 1, 1), (4, 1, 1), (10, 1, 10), (11, 1, 10), (20, 0, 20), (21, 0, 21)]
+
+
 def test_vectors(spark):
     from pitframe.llm.embeddings import near_vectors
 
@@ -191,7 +208,7 @@ def test_vectors(spark):
     assert got[4] == [(2, 4, True)] and got[11] == [(2, 4, False)] * 2
     for i in (5, 6, 7, 8, 9, 12):
         assert got[i] == [(0, i, True)]
-    assert got[10] == [(0, 10, True)] * 2 and got[None] == [(0, None, True)]
+    assert got[10] == [(1, 10, True)] * 2 and got[None] == [(0, None, True)]
     assert near_vectors(df.limit(0)).count() == 0
 
 

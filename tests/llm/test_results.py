@@ -61,6 +61,34 @@ def test_near_duplicates(spark, sf_dir, texts):
     assert got == {k: (ids[root[i]], degree[i], root[i] == i) for i, k in enumerate(ids)}
 
 
+def test_prefixes_shorten_with_the_pairs_found():
+    from pitframe.llm.minhash import DEPTH, OTHERS, prefix_depth, shortened
+
+    least = prefix_depth(0.8, 0.9995)
+    assert least == 4 and prefix_depth(1.0, 0.9995) == DEPTH
+    same, near, few = {OTHERS: 10**9}, {int(0.82 * OTHERS): 10**6}, {OTHERS: 3}
+    assert shortened({1: same, 2: near, 3: few}, 0.8, 0.9995) == {1: DEPTH, 2: 4, 3: least}
+    assert shortened({1: {int(0.86 * OTHERS): 10**6}}, 0.8, 0.9995) == {1: 6}
+
+
+def test_near_duplicates_at_each_similarity(spark):
+    """Pairs of every similarity about the threshold: just those that reach it are linked."""
+    from pitframe.llm.minhash import near_duplicates
+
+    rng, rows, want = np.random.default_rng(5), [], 0
+    for i in range(2000):
+        words = [f"q{rng.integers(10**9)}" for _ in range(int(rng.integers(30, 120)))]
+        other = list(words)
+        for at in rng.choice(len(words), int(rng.integers(0, 4)), replace=False):
+            other[at] = "changed"
+        a, b = ({tuple(x[k : k + 5]) for k in range(len(x) - 4)} for x in (words, other))
+        want += len(a & b) >= 0.8 * len(a | b)
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    linked = sum(got[2 * i + 1] == (2 * i, 1) for i in range(2000))
+    assert 0.999 * want <= linked <= want and want > 500
+
+
 def test_vectors(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding").collect()
     x = np.array([r["embedding"] for r in rows], float)
