@@ -46,30 +46,43 @@ def _share(b: Column, a: Column, prior: Column) -> Column:
     return (b + F.lit(STRENGTH) * prior) / (b + a + F.lit(STRENGTH))
 
 
+#: Parts that a hot node's paths are dealt into where they are joined with what is known of the node.
+SALTS = 8
+
+
+def _with(rows: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows``, which have ``path``, left joined with ``facts``, a row per key; one key's rows go to ``SALTS`` parts."""
+    spread = facts.withColumn("_s", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    return rows.withColumn("_s", F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int")).join(spread, [*keys, "_s"], "left").drop("_s")
+
+
+def _shape(c: str) -> Column:
+    """Digits as 9 and all else but dots and slashes as a."""
+    return F.regexp_replace(F.regexp_replace(c, "[0-9]+", "9"), "[^0-9/.]+", "a")
+
+
 def _merged(rows: DataFrame, literal: DataFrame) -> DataFrame:
     """``host, template, seg, group``: literal siblings that look alike share a group.
 
     A child is described by the shares of what follows it (the next segment
     where it has support among all siblings, else its shape; the shape of the
-    rest, digits as 9 and letters as a; the label) and by its labels.
-    Siblings with the same majority label and commonest kind are pooled; one
-    joins its pool when its Hellinger distances from both the pool's kinds and
-    the pool's labels are no more than chance allows for its counts.  A group
-    is named for its least member; a sibling without a match is left out.
+    rest; the label) and by its labels.  Siblings with the same majority label
+    and commonest kind are pooled; one joins its pool when its Hellinger
+    distances from both the pool's kinds and the pool's labels are no more than
+    chance allows for its counts.  A group is named for its least member; a
+    sibling without a match is left out.
     """
     node, child = ["host", "template"], ["host", "template", "seg"]
-    shape = lambda c: F.regexp_replace(F.regexp_replace(c, "[0-9]+", "9"), "[^0-9/.]+", "a")
-    known = rows.groupBy(*node, "next").agg(F.sum("n").alias("nn")).where(F.col("nn") >= LITERAL_ROWS).select(*node, "next", F.lit(True).alias("supported"))
     label = F.when(F.col("blocked") > F.col("allowed"), "b").when(F.col("allowed") > 0, "a").otherwise("-")
-    kind = F.concat_ws("|", F.when(F.col("supported"), F.col("next")).otherwise(shape("next")), shape("rest"), label)
-    kinds = rows.join(known, [*node, "next"], "left").withColumn("kind", kind).join(literal.select(*child), child).groupBy(*child, "kind").agg(F.sum("n").cast("double").alias("k"))
+    supported = rows.groupBy(*node, "next").agg(F.sum("n").alias("nn")).where(F.col("nn") >= LITERAL_ROWS).select(*node, "next", F.lit(True).alias("supported"))
+    kind = F.concat_ws("|", F.when(F.col("supported"), F.col("next")).otherwise(_shape("next")), _shape("rest"), label)
+    kinds = _with(rows, supported, [*node, "next"]).groupBy(*child, kind.alias("kind")).agg(F.sum("n").cast("double").alias("k")).join(literal.select(*child), child)
     kinds = cut(kinds)
     most = kinds.groupBy(*child).agg(F.max(F.struct("k", "kind"))["kind"].alias("most"), F.sum("k").alias("bn"))
     pool = [*node, "sign", "most"]
     sized = literal.join(most, child).withColumn("sign", F.signum(F.col("b") - F.col("a")))
     totals = sized.groupBy(*pool).agg(F.sum("b").alias("pb"), F.sum("a").alias("pa"), F.sum("bn").alias("pn"), F.count("*").alias("members")).where("members > 1")
-    sized = cut(sized.join(totals, pool))
-    counted = cut(kinds.join(sized, child))
+    counted = cut(kinds.join(sized, child).join(totals, pool))
     pooled = counted.groupBy(*pool, "kind").agg(F.sum("k").alias("pk"))
     many = pooled.groupBy(*pool).agg(F.count("*").alias("kinds"))
     labelled, every = F.col("b") + F.col("a"), F.col("pb") + F.col("pa")
@@ -94,17 +107,16 @@ def _tree(paths: DataFrame, everywhere: float) -> DataFrame:
     is as deep as the paths are.
     """
     segs = F.when(F.col("path") == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace("path", "^/", ""), "/"))
-    hosts = paths.groupBy("host").agg(F.sum("blocked").alias("hb"), F.sum("allowed").alias("ha"))
-    hosts = hosts.select("host", _share(F.col("hb"), F.col("ha"), F.lit(everywhere)).alias("purity"), (F.col("hb") + F.col("ha") > 0).alias("known"))
-    live = cut(paths.withColumn("segs", segs).withColumn("template", F.lit("")).join(hosts, "host"))
+    hosts = paths.groupBy("host").agg(F.sum("blocked").alias("hb"), F.sum("allowed").alias("ha"), F.sum("n").alias("t"), F.count("*").alias("paths"))
+    hosts = hosts.select("host", _share(F.col("hb"), F.col("ha"), F.lit(everywhere)).alias("purity"), (F.col("hb") + F.col("ha") > 0).alias("known"), "t", "paths")
+    live = cut(_with(paths.withColumn("segs", segs).withColumn("template", F.lit("")), hosts, ["host"]))
     columns = ["host", "path", "n", "blocked", "allowed", "segs", "known"]
     done, level = None, 0
     while True:
-        nodes = live.groupBy("host", "template").agg(F.sum("n").alias("t"), F.count("*").alias("paths"))
-        left, seg = F.size("segs") - level, F.get("segs", F.lit(level))
+        left = F.size("segs") - level
         stop = (F.col("t") < LITERAL_ROWS) | (F.col("paths") == 1)
-        rows = live.join(nodes, ["host", "template"]).select(
-            *columns, "template", "purity", "t", left.alias("left"), seg.alias("seg"), ((left <= 0) | stop).alias("ended"),
+        rows = live.select(
+            *columns, "template", "purity", "t", left.alias("left"), F.get("segs", F.lit(level)).alias("seg"), ((left <= 0) | stop).alias("ended"),
             F.coalesce(F.get("segs", F.lit(level + 1)), F.lit("")).alias("next"), F.array_join(F.slice("segs", level + 3, F.greatest(left - 2, F.lit(0))), "/").alias("rest"),
         )
         going = rows.where("not ended")
@@ -115,10 +127,12 @@ def _tree(paths: DataFrame, everywhere: float) -> DataFrame:
         steps = steps.join(_merged(going, literal), ["host", "template", "seg"], "left") if siblings else steps.withColumn("group", F.lit(None).cast("string"))
         whole = F.when(F.col("left") <= 0, "").when(F.col("left") > 1, "/**").when(F.col("t") < LITERAL_ROWS, "/*").otherwise(F.concat(F.lit("/"), "seg"))
         split = F.when(F.col("group").isNotNull(), F.concat(F.lit("/{"), "group", F.lit("}"))).when(F.col("literal"), F.concat(F.lit("/"), "seg")).otherwise("/*")
-        rows = rows.join(steps, ["host", "template", "seg"], "left").withColumn("template", F.concat("template", F.when(F.col("ended"), whole).otherwise(split)))
+        rows = _with(rows, steps, ["host", "template", "seg"]).withColumn("template", F.concat("template", F.when(F.col("ended"), whole).otherwise(split)))
         rows = cut(rows.select(*columns, "template", "purity", "ended"))
-        sums = rows.groupBy("host", "template", "ended").agg(_share(F.sum("blocked"), F.sum("allowed"), F.first("purity")).alias("purity"))
-        rows = cut(rows.drop("purity").join(sums, ["host", "template", "ended"]))
+        sums = rows.groupBy("host", "template", "ended").agg(
+            _share(F.sum("blocked"), F.sum("allowed"), F.first("purity")).alias("purity"), F.sum("n").alias("t"), F.count("*").alias("paths")
+        )
+        rows = cut(_with(rows.drop("purity"), sums, ["host", "template", "ended"]))
         ready = rows.where("ended").select("host", "path", "template", "purity", "known")
         done = ready if done is None else done.unionByName(ready)
         live, level = rows.where("not ended").drop("ended"), level + 1
@@ -137,8 +151,11 @@ def judge(pages: DataFrame, rules=RULES, labels: DataFrame | None = None) -> Dat
     Distinct paths are counted first, so a host or url with a third of all
     rows enters the tree as counts.  Urls without a rule have the verdict of
     their template: ``block`` where the smoothed share of blocked labels
-    reaches ``REJECT``; on a host without labels nothing is blocked.  A null url, or one
-    without ``://``, has the host and path ''.
+    reaches ``REJECT``; on a host without labels nothing is blocked.  A null
+    url, or one without ``://``, has the host and path ''.  Null and repeated
+    page_ids are rows like others; ties in purity cannot arise, as a share of
+    ``REJECT`` blocks; an empty table gives an empty one; other columns are
+    ignored; urls of any length are read whole.
     """
     urls = pages.select("page_id", F.col("url").cast("string").alias("url"))
     urls = urls.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
