@@ -187,6 +187,24 @@ def write_ids(docs: DataFrame, tokenizer: str, vocab: int, end_id: int, path: st
     rows.mapInPandas(run, "shard int, image int, n_ids long, data binary").write.option("compression", "zstd").parquet(path)
 
 
+def read_tokens(spark: SparkSession, path: str) -> DataFrame:
+    """``doc_id, tokens`` of every document in the files at ``path``: its ids as little-endian unsigned 32-bit integers."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for data in part["data"]:
+                image = Image(data)
+                ids = image.ids().astype("<u4").tobytes()
+                starts = np.append(0, image.ends[:-1])
+                yield pd.DataFrame({"doc_id": _real_ids(image), "tokens": [ids[4 * a : 4 * b] for a, b in zip(starts, image.ends)]})
+
+    return spark.read.parquet(path).select("data").mapInPandas(run, "doc_id long, tokens binary")
+
+
+def _real_ids(image: Image) -> pd.Series:
+    return pd.Series(image.doc_ids).astype("Int64").where(image.doc_ids != np.iinfo(np.int64).min)
+
+
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of every document, from the files at ``path``.
 
@@ -207,7 +225,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
                 ids = image.ids().astype("<u4").tobytes()
                 starts = np.append(0, image.ends[:-1])
                 yield pd.DataFrame({
-                    "doc_id": pd.Series(image.doc_ids).astype("Int64").where(image.doc_ids != np.iinfo(np.int64).min), "start": shared.value[shard] + image.first + starts,
+                    "doc_id": _real_ids(image), "start": shared.value[shard] + image.first + starts,
                     "n_tokens": image.ends - starts, "ids_crc32": [zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip(starts, image.ends)],
                 })
 

@@ -15,7 +15,10 @@ CAPACITIES = (512, 1024, 2048, 4096)
 FIXED_COST = 32.0
 SQUARE_COST = 1 / 16384
 
-_OUT = "doc_id long, piece int, start long, n_tokens int, shard int, bin int, capacity int, bin_offset int"
+#: Pieces of a shard, about; with pieces of at most the largest capacity this bounds a task's memory.
+SHARD_ROWS = 10_000
+
+_OUT = "shard int, bin int, capacity int, n_tokens int, tokens binary, doc_ids array<long>, pieces array<int>, starts array<long>, ends array<int>"
 
 
 def bin_cost(capacity: int) -> float:
@@ -69,48 +72,61 @@ def best_fit(sizes: list[int], capacities: tuple[int, ...]) -> list[tuple[int, i
 
 def pack(
     docs: DataFrame,
-    length: str = "n_tokens",
+    tokens: str = "tokens",
+    width: int = 1,
     capacities: tuple[int, ...] = CAPACITIES,
-    shard_rows: int = 20_000,
+    shard_rows: int = SHARD_ROWS,
 ) -> DataFrame:
-    """Sequences packed into bins of the permitted lengths.
-
-    ``docs`` has ``doc_id`` and the column ``length``.  A sequence longer than
-    the largest capacity is cut into pieces of that capacity and a rest, so no
-    token is lost.  Pieces are dealt by hash into shards of about
-    ``shard_rows`` pieces; each shard is packed on its own by best fit
-    decreasing, so a task's memory is bounded and the bins that a shard leaves
-    unfilled are a few among thousands.
-
-    Returns a row per piece: ``doc_id, piece, start, n_tokens, shard, bin,
-    capacity, bin_offset``; a bin is named by ``(shard, bin)``.  Rows whose
-    length is null or below 1 come back with ``n_tokens`` 0 and a null bin.
-    Repeated rows are packed as often as they come.  Ties in length are broken
-    by ``doc_id`` and ``piece``.  Other columns are ignored.
+    """Token sequences packed into bins of the permitted lengths.
+
+    ``docs`` has ``doc_id`` and the binary column ``tokens`` of ``width`` bytes
+    a token.  A sequence longer than the largest capacity is cut into pieces
+    of that capacity and a rest, so no token is lost.  Pieces are dealt by
+    hash into shards of about ``shard_rows`` pieces; each shard is packed on
+    its own by best fit decreasing, so a task's memory is bounded and the bins
+    that a shard leaves unfilled are a few among thousands.
+
+    Returns a row per bin: ``shard, bin`` (its name), ``capacity``,
+    ``n_tokens``, ``tokens`` (its content), and the lists ``doc_ids``,
+    ``pieces``, ``starts`` (a piece's place in its document) and ``ends``
+    (where it ends in the bin), one entry for each piece, in order.  Rows
+    whose tokens are null or empty hold nothing and are in no bin.  Repeated
+    rows and null ids are packed as often as they come.  Ties in length are
+    broken by ``doc_id``, piece and content.  An empty table gives no bins;
+    other columns are ignored.
     """
     capacities = tuple(sorted(set(capacities)))
     top = capacities[-1]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.greatest(F.coalesce(F.col(length).cast("long"), F.lit(0)), F.lit(0)).alias("n"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(tokens).cast("binary").alias("tokens")).withColumn("n", F.floor(F.octet_length("tokens") / width).cast("long"))
     pieces = rows.where("n > 0").select(
-        "doc_id", F.posexplode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(top).cast("long"))).alias("piece", "start"), "n"
-    ).select("doc_id", "piece", "start", F.least(F.col("n") - F.col("start"), F.lit(top)).cast("int").alias("n_tokens"))
+        "doc_id", "tokens", F.posexplode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(top).cast("long"))).alias("piece", "start"), "n"
+    )
+    size = F.least(F.col("n") - F.col("start"), F.lit(top)).cast("int")
+    own = F.substring("tokens", (F.col("start") * width + 1).cast("int"), size * width)
     total = rows.agg(F.sum(F.ceil(F.col("n") / top))).first()[0] or 0
     shards = max(1, -(-total // shard_rows))
-    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "n_tokens"), F.lit(shards)).cast("int"))
+    pieces = pieces.select("doc_id", "piece", "start", size.alias("n_tokens"), own.alias("tokens"), F.pmod(F.xxhash64("doc_id", "piece", size), F.lit(shards)).cast("int").alias("shard"))
 
     def one_shard(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["n_tokens", "doc_id", "piece"], ascending=[False, True, True], ignore_index=True)
+        part = part.sort_values(["n_tokens", "doc_id", "piece", "tokens"], ascending=[False, True, True, True], ignore_index=True)
         placed = best_fit(part["n_tokens"].tolist(), capacities)
-        part[["bin", "bin_offset", "capacity"]] = pd.DataFrame(placed, columns=["bin", "bin_offset", "capacity"], dtype="int32")
-        return part[["doc_id", "piece", "start", "n_tokens", "shard", "bin", "capacity", "bin_offset"]]
+        held: dict[int, list[int]] = {}
+        for i, (b, _, _) in enumerate(placed):
+            held.setdefault(b, []).append(i)
+        doc_ids, sizes = [None if pd.isna(x) else int(x) for x in part["doc_id"]], part["n_tokens"].tolist()
+        return pd.DataFrame({
+            "shard": int(part["shard"].iloc[0]), "bin": list(held), "capacity": [placed[at[0]][2] for at in held.values()],
+            "n_tokens": [sum(sizes[i] for i in at) for at in held.values()], "tokens": [b"".join(part["tokens"].iloc[at]) for at in held.values()],
+            "doc_ids": [[doc_ids[i] for i in at] for at in held.values()], "pieces": [part["piece"].iloc[at].tolist() for at in held.values()],
+            "starts": [part["start"].iloc[at].tolist() for at in held.values()], "ends": [[placed[i][1] + sizes[i] for i in at] for at in held.values()],
+        })
 
-    packed = pieces.groupBy("shard").applyInPandas(one_shard, _OUT)
-    empty = rows.where("n = 0").selectExpr(
-        "doc_id", "0 as piece", "0L as start", "0 as n_tokens", "cast(null as int) as shard", "cast(null as int) as bin", "cast(null as int) as capacity", "cast(null as int) as bin_offset"
-    )
-    return packed.unionByName(empty)
+    return pieces.groupBy("shard").applyInPandas(one_shard, _OUT)
 
 
 def byte_tokens(docs: DataFrame) -> DataFrame:
-    """Documents with ``n_tokens``: a token for each byte of UTF-8 and one for the end."""
-    return docs.withColumn("n_tokens", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1)
+    """Documents with ``tokens``: a token for each byte of UTF-8, and the id 255, which no text holds, for the end.
+
+    A null text is an empty one, so every document has a token.
+    """
+    return docs.withColumn("tokens", F.concat(F.coalesce(F.encode("text", "UTF-8"), F.lit(b"")), F.lit(b"\xff")))

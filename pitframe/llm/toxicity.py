@@ -11,12 +11,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled rows that the model is fitted on, at most, and words it may use.
+#: Labelled rows that the model is fitted on, at most.
 FIT_ROWS = 20_000
-WORDS = 2_000
-#: Documents that a word must be in, and the z-score that ties it to toxicity.
+#: Fitted documents that a word must be in, and the z-score of its log-odds between toxic documents and others.
 LEAST_DOCS = 5
-LEXICON_Z = 4.0
+TIED_Z = 4.0
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -73,15 +72,17 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, n: int, m: int, grade: np.nd
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_rows: int = FIT_ROWS, seed: int = 7) -> OrdinalModel:
     """A model of severity grades from labelled documents.
 
-    ``labels`` has ``doc_id`` and ``label``: integer grades from 0 up.  At
-    most ``fit_rows`` labelled rows are used, those with the lowest hash of
-    ``doc_id``.  Words are chosen by the log-odds of the labelled documents
-    that hold them, graded above 0 against 0, with a Dirichlet prior: at most
-    ``WORDS``, each in ``LEAST_DOCS`` documents or more.
-
-    Where labels are only 0 and 1, documents with 1 are graded 1 or 2 by the
-    number of words whose z-score ties them to toxicity: 2 from the median of
-    those above the least number, else 1.
+    ``labels`` has ``doc_id`` and ``label``: integer grades from 0 up, as many
+    as there are; gaps between them are closed.  At most ``fit_rows`` labelled
+    rows are used, those with the lowest hash of ``doc_id``; a document with
+    several labels has the highest.  Every word of ``LEAST_DOCS`` or more of
+    these documents whose log-odds between grades above 0 and 0 have a z-score
+    of ``TIED_Z`` or more, either way, is a feature.  Where labels are 0 and 1 there is one
+    threshold, and the expected severity is the probability of 1.  Grades are
+    taken from labels only.
+
+    Null ids and labels teach nothing; a null or empty text is a document
+    without words.  Without labels of two grades nothing is toxic.
     """
     sample = (
         labels.where(f"doc_id is not null and {label} >= 0").groupBy("doc_id").agg(F.max(label).cast("int").alias("grade"))
@@ -106,24 +107,15 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_r
             return OrdinalModel({}, np.array([np.inf]))
         seen = rows.groupBy("word").agg(F.count_if(F.col("grade") > 0).cast("double").alias("a"), F.count("*").cast("double").alias("c")).where(F.col("c") >= LEAST_DOCS)
         a, b = F.col("a") + 0.5, F.col("c") - F.col("a") + 0.5
-        odds = F.log(a / (n1 + 1 - a)) - F.log(b / (n0 + 1 - b))
-        z = odds / F.sqrt(1 / a + 1 / b)
-        chosen = {r["word"]: r["z"] for r in seen.withColumn("z", z).orderBy(F.desc(F.abs("z")), "word").limit(WORDS).collect()}
+        z = (F.log(a / (n1 + 1 - a)) - F.log(b / (n0 + 1 - b))) / F.sqrt(1 / a + 1 / b)
+        chosen = sorted(r["word"] for r in seen.where(F.abs(z) >= TIED_Z).select("word").collect())  # words of fit_rows documents
         picked = sample.sparkSession.createDataFrame([(w, i) for i, w in enumerate(chosen)], "word string, col int")
-        cells = rows.join(F.broadcast(picked), "word").select("doc_id", "col").toPandas()  # fit_rows x WORDS at most, sparse
+        cells = rows.join(F.broadcast(picked), "word").select("doc_id", "col").toPandas()  # their distinct words
     finally:
         rows.unpersist()
     ids = {d: i for i, d in enumerate(sorted(graded))}
     r, c = cells["doc_id"].map(ids).to_numpy(np.int64), cells["col"].to_numpy(np.int64)
-    grade = np.array([graded[d] for d in sorted(graded)], np.int64)
-    if grade.max() == 1:
-        tied = np.array([x >= LEXICON_Z for x in chosen.values()])
-        hits = np.bincount(r, tied[c], len(ids)) if len(r) else np.zeros(len(ids))
-        mine = hits[grade == 1]
-        severe = mine[mine > mine.min()]
-        if len(severe):
-            grade = np.where((grade == 1) & (hits >= np.median(severe)), 2, grade)
-    grade = np.unique(grade, return_inverse=True)[1]
+    grade = np.unique([graded[d] for d in sorted(graded)], return_inverse=True)[1]
     weights, cuts = fit_ordinal(r, c, len(ids), len(chosen), grade, int(grade.max()) + 1)
     return OrdinalModel({w: float(x) for w, x in zip(chosen, weights)}, cuts)
 
@@ -135,9 +127,11 @@ def grade(docs: DataFrame, model: OrdinalModel) -> DataFrame:
     probability to lie above; ``p_toxic`` the probability to lie above 0;
     ``toxic`` whether that is 0.5 or more; ``grade`` the number of thresholds
     that are more likely passed than not.  A null or empty text, or one
-    without a word of the model, is judged by the thresholds alone.
+    without a word of the model, is judged by the thresholds alone.  Repeated
+    rows and null ids are judged like others, whole texts however long; other
+    columns are ignored, an empty table gives an empty one.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most WORDS words
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # the words of the fitted rows
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = shared.value
