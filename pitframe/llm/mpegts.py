@@ -61,6 +61,11 @@ def _pmt(n_bytes: int) -> bytes:
     return _table_packet(PMT_PID, _section(2, PROGRAM, (0xE000 | STREAM_PID).to_bytes(2, "big") + (0xF000 | len(note)).to_bytes(2, "big") + note + stream))
 
 
+def _counted(packet: bytes, counter: int) -> bytes:
+    """A table packet with its continuity counter."""
+    return packet[:3] + bytes([0x10 | counter & 15]) + packet[4:]
+
+
 def _stamp(pts: int) -> bytes:
     return bytes([0x21 | (pts >> 29) & 0x0E, (pts >> 22) & 0xFF, 0x01 | (pts >> 14) & 0xFE, (pts >> 7) & 0xFF, 0x01 | (pts << 1) & 0xFE])
 
@@ -98,9 +103,15 @@ def _unit_packets(unit: bytes, pts: int, random_access: bool, counter: int) -> n
 
 
 def mux(payload: bytes, n_bytes: int) -> bytes:
-    """A transport stream of one program whose only stream carries ``payload``."""
-    parts, counter = [_PAT, _pmt(n_bytes)], 0
+    """A transport stream of one program whose only stream carries ``payload``.
+
+    The program tables come before each random-access point, so that a reader
+    who starts there finds them.
+    """
+    parts, counter, pmt = [], 0, _pmt(n_bytes)
     for i, at in enumerate(range(0, len(payload), UNIT)):
+        if i % RANDOM_ACCESS == 0:
+            parts += [_counted(_PAT, i // RANDOM_ACCESS), _counted(pmt, i // RANDOM_ACCESS)]
         packets = _unit_packets(payload[at : at + UNIT], FIRST_PTS + i * TICKS, i % RANDOM_ACCESS == 0, counter)
         counter += len(packets)
         parts.append(packets.tobytes())
@@ -123,7 +134,7 @@ def _read_section(packets: np.ndarray, pid: int) -> bytes:
 
 
 def demux(media: bytes) -> dict:
-    """The payload and structure of a transport stream.
+    """The payload and structure of a transport stream, or a ``ValueError`` that says what is wrong.
 
     Follows the program association and map tables to the first elementary
     stream, checks its continuity counters, joins its PES packets, and lists
@@ -148,6 +159,8 @@ def demux(media: bytes) -> dict:
     extra = np.where(control & 2, p[:, 4].astype(np.int32) + 1, 0)
     counters = p[:, 3] & 15
     gaps = int((np.diff(counters.astype(np.int32)) % 16 != 1).sum())
+    if gaps:
+        raise ValueError(f"{gaps} continuity errors")
     offset = np.where(control & 1, 4 + extra, PACKET)
     starts = np.flatnonzero(p[:, 1] & 0x40)
     sizes = PACKET - offset
@@ -177,7 +190,11 @@ def padded(text: str | None) -> tuple[bytes, int]:
 
 
 def store(docs: DataFrame) -> DataFrame:
-    """``doc_id, media``: every text as a transport stream; a null text is an empty one."""
+    """``doc_id, media``: every text as a transport stream; a null text is an empty one, of one padded frame.
+
+    A row for each row, repeated or with a null id, the whole text however
+    long; other columns are ignored.
+    """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -192,16 +209,24 @@ def probe(media: DataFrame) -> DataFrame:
     """What each stream of ``doc_id, media`` holds, from its stored bytes alone.
 
     Returns ``doc_id``, the payload's lengths and digests, the stream's own,
-    ``feature``, and ``timeline``: timestamp, first packet and random access of
-    each unit.  A damaged stream fails the task rather than giving false rows.
+    ``feature``, ``error``, and ``timeline``: timestamp, first packet and random
+    access of each unit.  A stream that is null, cut or damaged (lost packets,
+    a table whose checksum fails, a unit that has not the length it states)
+    has an ``error`` and nulls for what cannot be told; the others are not
+    touched by it.  A row for each row, repeated or with a null id; an empty
+    table gives an empty one; other columns are ignored.
     """
     schema = (
         "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, "
-        "feature string, pts array<long>, packet array<long>, random_access array<boolean>"
+        "feature string, error string, pts array<long>, packet array<long>, random_access array<boolean>"
     )
 
     def one(doc_id, data: bytes) -> tuple:
-        x = demux(data)
+        try:
+            x = demux(data or b"")
+        except (ValueError, IndexError) as e:
+            size, digest = (None, None) if data is None else (len(data), hashlib.sha256(data).hexdigest())
+            return (doc_id, None, None, None, None, size, digest, None, str(e) or "damaged", None, None, None)
         payload = x["payload"]
         samples = np.frombuffer(payload, np.uint8)
         feature = (
@@ -210,14 +235,14 @@ def probe(media: DataFrame) -> DataFrame:
         )
         return (
             doc_id, x["n_bytes"], len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data),
-            hashlib.sha256(data).hexdigest(), feature, x["pts"], x["packet"], x["random_access"],
+            hashlib.sha256(data).hexdigest(), feature, None, x["pts"], x["packet"], x["random_access"],
         )
 
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            yield pd.DataFrame([one(*row) for row in zip(part["doc_id"], part["media"])], columns=names)
+            yield pd.DataFrame([one(*row) for row in zip(part["doc_id"], part["media"])], columns=names, dtype=object)
 
     out = media.select("doc_id", "media").mapInPandas(run, schema)
     return out.withColumn("timeline", F.arrays_zip("pts", "packet", "random_access")).drop("pts", "packet", "random_access")

@@ -43,7 +43,9 @@ def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_mpegts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pitframe.llm.mpegts import probe, store
 
-    return probe(store(table(spark, sf_dir, "documents"))).drop("timeline")
+    path = scratch(spark, "media")
+    store(table(spark, sf_dir, "documents")).write.option("compression", "zstd").parquet(path)
+    return probe(spark.read.parquet(path)).drop("timeline")
 
 
 def op6_bitpack(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -265,13 +265,26 @@ def test_damaged_streams_are_noticed():
     with pytest.raises(ValueError, match="whole number"):
         mpegts.demux(bytes(media[:-1]))
     lost = bytes(media[: 188 * 20] + media[188 * 21 :])
-    with pytest.raises(ValueError, match="PES"):
+    with pytest.raises(ValueError, match="1 continuity error"):
         mpegts.demux(lost)
     media[188 + 20] ^= 1
     with pytest.raises(ValueError, match="damaged"):
         mpegts.demux(bytes(media))
 
 
+def test_streams_can_be_entered_at_random_access_points(spark):
+    text = "".join(f"line {i}\n" for i in range(4000))
+    media = mpegts.mux(*mpegts.padded(text))
+    whole = mpegts.demux(media)
+    point = [p for p, r in zip(whole["packet"], whole["random_access"]) if r][2]
+    part = mpegts.demux(media[188 * (point - 2) :])  # its tables come before it
+    assert part["random_access"][0] and whole["payload"].endswith(part["payload"]) and len(part["payload"]) == len(whole["payload"]) - 8 * mpegts.UNIT
+    rows = [(1, media), (2, None), (3, media[:-1]), (4, media[: 188 * 9] + media[188 * 10 :]), (5, b"")]
+    got = {r["doc_id"]: r for r in mpegts.probe(spark.createDataFrame(rows, "doc_id long, media binary")).collect()}
+    assert got[1]["error"] is None and got[1]["payload_sha256"] == hashlib.sha256(whole["payload"]).hexdigest() and got[1]["media_sha256"] == hashlib.sha256(media).hexdigest()
+    assert all(got[i]["error"] and got[i]["payload_sha256"] is None for i in (2, 3, 4, 5)) and "continuity" in got[4]["error"]
+
+
 def test_media_query(spark, sf_dir, texts):
     for r in QUERIES["op5_mpegts"](spark, sf_dir).collect():
         data = (texts[r["doc_id"]] or "").encode()
@@ -401,6 +414,76 @@ def test_language(spark):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in got)
 
 
+def test_language_rejects_what_it_has_not_learned(spark):
+    from pyspark.sql import functions as F
+
+    from pitframe.llm.langid import fit_language, held_out, predict_language
+
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang")
+    out = held_out(F.col("doc_id"))
+    clean = predict_language(docs.where(out & F.col("lang").isNotNull()), fit_language(docs.where(~out))).where("lang_pred <> 'und'")
+    assert clean.where("rejected").count() <= 0.002 * clean.count()
+    short = spark.createDataFrame([(1, "a short text"), (2, "of the same kind as before, and"), (3, "the")], "doc_id long, text string")
+    model = fit_language(docs.where(~out & (F.col("lang") != "fr")))
+    assert not predict_language(short, model).where("rejected").count()
+    foreign = predict_language(docs.where(out & (F.col("lang") == "fr") & (F.length("text") > 4000)), model)
+    assert foreign.where("rejected").count() >= 0.5 * foreign.count() > 0
+
+
+def brute_nearest(rows, k):
+    """The same model said plainly, with dictionaries of n-grams in place of hashed slots."""
+    from pitframe.llm import langid
+
+    tf = {i: langid.counts(t) for i, t, _ in rows}
+    df = sum((c > 0).astype(float) for c in tf.values())
+    idf = np.log((1 + len(rows)) / (1 + df)) + 0.1
+    unit = {i: (v := np.log1p(c) * idf) / np.linalg.norm(v) for i, c in tf.items()}
+    return lambda t: max(((float((v := np.log1p(langid.counts(t)) * idf) @ unit[i]) / np.linalg.norm(v), lang) for i, _, lang in rows), key=lambda x: x[0])
+
+
+def test_language_against_brute_force(spark):
+    """With a centroid for each learning text the nearest centroid is the nearest text."""
+    from pitframe.llm.langid import fit_language, predict_language
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("lang is not null and length(text) > 200").select("doc_id", "text", "lang").orderBy("doc_id").limit(60)
+    rows = [tuple(r) for r in docs.collect()]
+    learn = spark.createDataFrame(rows[:20], docs.schema)
+    want = brute_nearest(rows[:20], 20)
+    for r in predict_language(docs, fit_language(learn, k=40)).collect():
+        score, lang = want(r["text"])
+        assert r["score"] == pytest.approx(score, abs=1e-4)
+
+
+def test_quality_against_brute_force(spark):
+    """Site posteriors by hand from the classifier's probabilities and the labels."""
+    from pyspark.sql import functions as F
+
+    from pitframe.llm.common import cut
+    from pitframe.llm.quality import fit_quality, with_sites
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    featured = cut(with_sites(docs.select("doc_id", "text", "source", "lang"), F.col("source"), F.concat_ws("/", "source", "lang")).select("doc_id", "_host", "_path", "_features"))
+    model = fit_quality(featured, labels)
+    truth = {r["doc_id"]: float(r["quality"]) for r in labels.collect() if r["quality"] in (0, 1)}
+    rows = model.score(featured).collect()
+    add = {r["doc_id"]: 0.0 if r["_features"] is None else truth.get(r["doc_id"], r["p_document"]) for r in rows}
+    sums = defaultdict(lambda: [0.0, 0])
+    for r in rows:
+        for key in (("h", r["_host"]), ("p", r["_host"], r["_path"])):
+            sums[key][0] += add[r["doc_id"]]
+            sums[key][1] += 1
+    logit = lambda p: np.log(p / (1 - p))
+    for r in rows:
+        (hs, hn), (ps, pn), own = sums["h", r["_host"]], sums["p", r["_host"], r["_path"]], add[r["doc_id"]]
+        host = np.clip((model.host_strength * model.prior + hs - own) / (model.host_strength + hn - 1), 0.001, 0.999)
+        path = np.clip((model.path_strength * host + ps - own) / (model.path_strength + pn - 1), 0.001, 0.999)
+        assert (r["p_host"], r["p_path"]) == (pytest.approx(host), pytest.approx(path))
+        if r["_features"] is not None:
+            assert logit(r["p_quality"]) == pytest.approx(logit(r["p_document"]) + logit(path) - logit(model.prior), abs=1e-6)
+
+
 def test_ordinal_regression_recovers_order():
     from pitframe.llm.toxicity import fit_ordinal
 
