@@ -8,27 +8,17 @@ from pyspark.sql import functions as F
 from pitframe.llm.common import cut
 
 
-#: Parts that a hub's edges are dealt into where they are joined with its least neighbour.
-SALTS = 8
-
-
-def _with_least(edges: DataFrame, low: DataFrame) -> DataFrame:
-    """``edges`` with the column ``m`` of ``low`` (``u, m``); a hub's edges are dealt into ``SALTS`` parts."""
-    spread = low.withColumn("_s", F.explode(F.array(*map(F.lit, range(SALTS)))))
-    return edges.withColumn("_s", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(spread, ["u", "_s"]).drop("_s")
-
-
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each node's larger neighbours are linked to its smallest neighbour or itself."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return _with_least(both, low).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Each node and its smaller neighbours are linked to the smallest of them."""
     low = edges.groupBy("u").agg(F.min("v").alias("m"))
-    links = _with_least(edges, low).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    links = edges.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return links.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -39,7 +29,8 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     loops, nulls and repeats are ignored.  Returns ``node``, ``root`` for every
     node with an edge.  Each round keeps at most as many edges as before and
     is written to the shared folder; the number of rounds grows with the
-    logarithm of the graph.
+    logarithm of the graph.  A hub's edges are split by Spark's skew joins, as
+    each of them needs only the hub's least neighbour.
     """
     edges = cut(
         edges.where("u <> v").select(F.greatest("u", "v").cast("long").alias("u"), F.least("u", "v").cast("long").alias("v")).distinct()

@@ -26,7 +26,7 @@ UNSEEN = 10
 #: Rows of a part of a node, and of a part of a candidate group.
 BUCKET_BLOCK = 256
 GROUP_BLOCK = 256
-GROUP_BYTES = 16_000_000
+GROUP_BYTES = 8_000_000
 #: Representatives whose ids may be broadcast to fetch their texts.
 BROADCAST_ROWS = 200_000
 
@@ -267,7 +267,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int =
     found tell, for each level of set sizes, what share of links that depth
     misses, and the documents of the level shorten their prefixes until the
     wanted recall is met (:func:`shortened`); shorter prefixes then join only
-    what is not yet connected.  Connected classes form candidate groups, and
+    what is not yet known to be connected.  Connected classes form candidate groups, and
     within these all pairs are verified exactly on their sets of n-grams, again
     in blocks.  No pair is ever a row.
 
@@ -303,16 +303,16 @@ def _candidates(classes: DataFrame, threshold: float, recall: float) -> DataFram
     for r in edges.where("kind >= 0").groupBy("kind").agg(F.sum("n").alias("n")).collect():  # levels of size by shares: some thousands at most
         histogram.setdefault(r["kind"] // 256, {})[r["kind"] % 256] = r["n"]
     chosen, least = shortened(histogram, threshold, recall), prefix_depth(threshold, recall)
-    roots = components(edges.where("kind < 0").select("u", "v"))
-    if least == DEPTH:
-        return roots
-    of_level = F.create_map(*[F.lit(x) for pair in chosen.items() for x in pair]) if chosen else F.create_map().cast("map<int,int>")
-    depth = lambda level: F.coalesce(F.try_element_at(of_level, level.cast("int")), F.lit(least))
-    # A pair meets at the lesser of its two depths, so a document is at its neighbours' depths too.
-    depths = F.array(depth(F.col("level") - 1), depth(F.col("level")), depth(F.col("level") + 1))
-    joined = cut(classes.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls")))
-    more = _matched(joined, depths, threshold).where("kind < 0").select("u", "v")
-    return components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
+    edges = edges.where("kind < 0").select("u", "v")
+    if any(chosen.get(level, least) < DEPTH for level in [*chosen, None]):
+        of_level = F.create_map(*[F.lit(x) for pair in chosen.items() for x in pair]) if chosen else F.create_map().cast("map<int,int>")
+        depth = lambda level: F.coalesce(F.try_element_at(of_level, level.cast("int")), F.lit(least))
+        # A pair meets at the lesser of its two depths, so a document is at its neighbours' depths too.
+        depths = F.array(depth(F.col("level") - 1), depth(F.col("level")), depth(F.col("level") + 1))
+        named = edges.groupBy(F.col("u").alias("cls")).agg(F.min("v").alias("root"))  # who shares it is connected
+        joined = cut(classes.join(named, "cls", "left").withColumn("root", F.coalesce("root", "cls")))
+        edges = edges.unionByName(_matched(joined, depths, threshold).where("kind < 0").select("u", "v"))
+    return components(edges)
 
 
 def _gram_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
