@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pitframe.plans import desk, relational, research, series, warehouse
+from pitframe.plans import desk, relational, research, series, sinks, warehouse
 
-MODULES = (series, relational, warehouse, research, desk)
+MODULES = (series, relational, warehouse, sinks, research, desk)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -88,6 +88,24 @@ def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], update: Sequence
     return joined.select(*[value(c) for c in old.columns])
 
 
+#: What a repeated arrival may change, by table; the keys stand in ``SCHEMAS``.
+UPDATES = {
+    "etf_flows": ("aum", "daily_flow", "weekly_flow", "flow_30d", "flow_60d"),
+    "central_bank_purchases": ("purchase_tonnes", "rolling_12m_tonnes", "yoy_growth_pct"),
+    "miner_quarterly": (
+        "production_oz", "aisc_per_oz", "cash_millions", "debt_millions", "operating_cash_flow", "free_cash_flow", "reserve_life_years", "mine_locations",
+        "political_risk_score", "management_guidance", "analyst_eps_revision",
+    ),
+    "market_regimes": ("regime_id", "regime_name", "confidence", "model_version"),
+    "model_predictions": ("prob_outperform_gold", "prob_beat_gdx", "expected_return", "expected_alpha"),
+}
+
+
+def sink(stored: DataFrame, arrived: DataFrame, name: str) -> DataFrame:
+    """The table ``name`` after rows arrived: known keys take what may change, other rows come whole."""
+    return upsert(conform(stored, name), conform(arrived, name), SCHEMAS[name][1], UPDATES[name])
+
+
 def write_table(df: DataFrame, root: str, name: str, partition: str | None = None) -> None:
     """Replaces a table, or with ``partition`` only the parts that ``df`` has."""
     w = conform(df, name).write.mode("overwrite")
@@ -162,6 +180,11 @@ def export_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("quoteAll", False).option("escape", '"').csv(path)
 
 
+def csv_lines(df: DataFrame) -> DataFrame:
+    """Rows as the lines that :func:`export_csv` writes."""
+    return df.select(F.to_csv(F.struct(*df.columns), {"quoteAll": "false", "escape": '"'}).alias("line"))
+
+
 def json_rows(df: DataFrame) -> DataFrame:
     """Rows as JSON texts; numbers that JSON lacks become null."""
     kinds = dict(df.dtypes)
