@@ -318,13 +318,13 @@ _PROBE = "select distinct cast(ts as date) as day from events"
 
 
 @query("j3_price_at_or_before", PX + """, days as (select distinct s.symbol, cast(o_orderdate as date) as day from orders, (select distinct symbol from prices) s)
-  select d.symbol, d.day, round(p.close, 6) as close from days d asof left join prices p on p.symbol = d.symbol and d.day >= p.date""")
+  select d.symbol, d.day, p.close from days d asof left join prices p on p.symbol = d.symbol and d.day >= p.date""")
 def price_at(spark, d):
     p = v.prices(spark, d)
     symbols = p.groupBy("symbol").agg(F.lit(1).alias("one"))
     days = v.table(spark, d, "orders").select(F.col("o_orderdate").cast("date").alias("day"), F.lit(1).alias("one")).distinct()
     probes = days.join(F.broadcast(symbols), "one").select("symbol", "day")
-    return asof.asof_backward(probes, p, ["symbol"], "day", "date", ["close"]).select("symbol", "day", F.round("close", 6).alias("close"))
+    return asof.asof_backward(probes, p, ["symbol"], "day", "date", ["close"]).select("symbol", "day", "close")
 
 
 @query("j4_regime_in_force", with_views("regimes") + """, days as (select distinct cast(o_orderdate as date) as day from orders)
