@@ -16,7 +16,7 @@ FIXED_COST = 32.0
 SQUARE_COST = 1 / 16384
 
 #: Pieces of a shard, about; with pieces of at most the largest capacity this bounds a task's memory.
-SHARD_ROWS = 10_000
+SHARD_ROWS = 4_000
 
 _OUT = "shard int, bin int, capacity int, n_tokens int, tokens binary, doc_ids array<long>, pieces array<int>, starts array<long>, ends array<int>"
 
