@@ -28,13 +28,6 @@ def gather(codes: np.ndarray, starts: np.ndarray, lens: np.ndarray, flat: np.nda
     return flat[np.repeat(starts[codes] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
 
 
-def as_objects(arrays: list[np.ndarray]) -> np.ndarray:
-    """A list as an array of objects, whatever its items' shapes."""
-    out = np.empty(len(arrays), object)
-    out[:] = arrays
-    return out
-
-
 def encode_words(texts: list[str], pattern, words: Encoder) -> tuple[np.ndarray, np.ndarray]:
     """Id counts per text, and all ids, from ``words`` on the distinct matches of ``pattern``."""
     number = _Codes()
