@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitframe.operators.stats import newey_west
+from pitframe.operators.stats import holm, newey_west
 from pitframe.operators.windows import Series
 
 REPLICATIONS = 2000
@@ -155,6 +155,21 @@ def book_summary(rows: DataFrame, at: str = "date") -> DataFrame:
     )
 
 
+def study_report(oos: DataFrame, horizon: int, at: str = "date", model: str = "gradient_boosting") -> DataFrame:
+    """A row per strategy of :func:`books`: its summary, the interval of its total return, and the test against ``model``.
+
+    The loss of a book is its negative return; p-values are adjusted within
+    the study (the model itself has none).
+    """
+    rows = books(oos, at=at)
+    spans = grouped_bootstrap(rows, ["strategy"], at, "net", "total", horizon).select("strategy", F.col("low").alias("total_low"), F.col("high").alias("total_high"))
+    losses = rows.select("strategy", at, (-F.col("net")).alias("_loss"))
+    own = losses.where(F.col("strategy") == model).select(at, F.col("_loss").alias("_model"))
+    tests = diebold_mariano(losses.where(F.col("strategy") != model).join(own, at), ["strategy"], at, "_model", "_loss", h=horizon)
+    adjusted = holm(tests.withColumn("p", F.coalesce("p_value", F.lit(1.0))), [], "strategy", "p").select("strategy", "statistic", "p_value", "p_adjusted")
+    return book_summary(rows, at).join(spans, "strategy").join(adjusted, "strategy", "left")
+
+
 def interval_text(low: Column, high: Column, null_value: float, name: str) -> Column:
     """What an interval says of a null value."""
     inside = (low <= null_value) & (high >= null_value)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitframe.operators.windows import Series
@@ -51,8 +52,25 @@ def fitted_walk(n: int, horizon: int) -> Walk | None:
     return Walk(train, test, step, horizon) if train + horizon + test <= n else None
 
 
-def fold_rows(numbered: DataFrame, bounds: DataFrame, rn: str = "rn") -> DataFrame:
-    """Rows of each fold with ``part`` train or test: a range join whose small side, the folds, is broadcast."""
-    r = F.col(rn)
-    inside = ((r >= F.col("train_lo")) & (r < F.col("train_hi"))) | ((r >= F.col("test_lo")) & (r < F.col("test_hi")))
-    return numbered.join(F.broadcast(bounds), inside).withColumn("part", F.when(r < F.col("train_hi"), "train").otherwise("test"))
+def walk_rows(rows: DataFrame, walk: Walk, by: Sequence[str], at: str = "date") -> DataFrame:
+    """``rows`` once for each ``fold`` of their series that holds them, with ``rn`` and ``part`` (train or test).
+
+    Folds run over each series' whole length, as :func:`folds` has them.  A
+    row finds its folds by arithmetic on its number, so there is no join and
+    one shuffle by series; a series too short for a fold gives no rows, and
+    rows of one date are numbered in no fixed order.
+    """
+    series = Window.partitionBy(*by)
+    r = F.row_number().over(series.orderBy(at)) - 1
+    lead, step = walk.train + walk.embargo, walk.step
+    numbered = rows.withColumns({"rn": r, "_last": F.floor((F.count("*").over(series) - walk.test - lead) / step)})
+
+    def holding(start, length: int, part: str):
+        """Folds whose part, ``length`` rows long, holds the row that is ``start`` rows into that of fold 0."""
+        first, last = F.greatest(F.floor((start - length) / step) + 1, F.lit(0)), F.least(F.floor(start / step), F.col("_last"))
+        held = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<long>"))
+        return F.transform(held, lambda k: F.struct(k.cast("int").alias("fold"), F.lit(part).alias("part")))
+
+    rn = F.col("rn")
+    parts = [holding(rn, walk.train, "train"), holding(rn - lead, walk.test, "test")]
+    return numbered.select(*[F.col(c) for c in rows.columns], "rn", F.inline(F.concat(*parts)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -15,6 +15,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` by ``keys`` over all shuffle partitions: few bytes that mean much fitting are not to be coalesced into few tasks."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 LEAST_TRAIN = 100
 ASOF_TRAIN, ASOF_LEAST = 120, 60
 
@@ -96,24 +101,60 @@ class Stumps:
         return 1 / (1 + np.exp(-score)) if self.binary else score
 
 
-def fold_scores(rows: DataFrame, features: Sequence[str], label: str, by: Sequence[str] = ("fold",), keep: Sequence[str] = ("rn",)) -> DataFrame:
-    """Out-of-sample probabilities of each fold's test rows: ``by``, ``keep``, ``y``, ``prob``.
+class Logit:
+    """Logistic regression on medians for gaps and unit scale, by Newton steps with a small ridge."""
+
+    def __init__(self, ridge: float = 1.0, rounds: int = 25) -> None:
+        self.ridge, self.rounds = ridge, rounds
+
+    def fit(self, x: np.ndarray, y: np.ndarray, binary: bool = True) -> Logit:
+        if not binary:
+            raise ValueError("Logit has two classes")
+        seen = np.where(np.isfinite(x), x, np.nan)
+        self.median = np.array([np.median(c[np.isfinite(c)]) if np.isfinite(c).any() else 0.0 for c in seen.T])
+        z = np.where(np.isfinite(x), x, self.median)
+        self.mean, self.scale = z.mean(0), np.where(z.std(0) > 0, z.std(0), 1.0)
+        z = self._design(x)
+        penalty = np.full(z.shape[1], self.ridge)
+        penalty[0] = 0.0
+        self.w = np.zeros(z.shape[1])
+        for _ in range(self.rounds):
+            p = 1 / (1 + np.exp(-np.clip(z @ self.w, -30, 30)))
+            step = np.linalg.solve((z * (p * (1 - p) + 1e-9)[:, None]).T @ z + np.diag(penalty), z.T @ (y - p) - penalty * self.w)
+            self.w = self.w + step
+            if np.abs(step).max() < 1e-10:
+                break
+        return self
+
+    def _design(self, x: np.ndarray) -> np.ndarray:
+        z = (np.where(np.isfinite(x), x, self.median) - self.mean) / self.scale
+        return np.column_stack([np.ones(len(z)), z])
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self._design(x) @ self.w, -30, 30)))
 
+
+def fold_scores(rows: DataFrame, features: Sequence[str], label: str, by: Sequence[str] = ("fold",), keep: Sequence[str] = ("rn",), learners: Mapping[str, Callable] | None = None) -> DataFrame:
+    """Out-of-sample probabilities of each fold's test rows: ``by``, ``keep``, ``y``, and a column per learner.
+
+    ``learners`` names what makes each learner, an object with ``fit(x, y,
+    binary)`` and ``predict(x)``; by default ``prob`` by :class:`Stumps`.
     ``rows`` has the fold's rows with ``part``; a fold is a window of rows, so
     a task's group is bounded.  Folds whose training rows have one class are
     left out.
     """
+    learners = dict(learners or {"prob": Stumps})
     kinds = dict(rows.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in [*by, *keep]) + ", y int, prob double"
+    schema = ", ".join(f"{c} {kinds[c]}" for c in [*by, *keep]) + ", y int, " + ", ".join(f"{c} double" for c in learners)
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         fit, test = part[part["part"] == "train"], part[part["part"] == "test"]
         if fit[label].nunique() < 2 or test.empty:
-            return pd.DataFrame(columns=[*by, *keep, "y", "prob"])
-        model = Stumps().fit(fit[list(features)].to_numpy(float), fit[label].to_numpy(float), True)
-        return test[[*by, *keep]].assign(y=test[label].astype(int), prob=model.predict(test[list(features)].to_numpy(float)))
+            return pd.DataFrame(columns=[*by, *keep, "y", *learners])
+        x, y, at = fit[list(features)].to_numpy(float), fit[label].to_numpy(float), test[list(features)].to_numpy(float)
+        return test[[*by, *keep]].assign(y=test[label].astype(int), **{c: make().fit(x, y, True).predict(at) for c, make in learners.items()})
 
-    return rows.select(*by, *keep, "part", label, *features).groupBy(*by).applyInPandas(run, schema)
+    return spread(rows.select(*by, *keep, "part", label, *features), *by).groupBy(*by).applyInPandas(run, schema)
 
 
 def fold_metrics(scored: DataFrame, by: Sequence[str] = ("fold",)) -> DataFrame:
@@ -161,10 +202,34 @@ def asof_scores(frame: DataFrame, features: Sequence[str], every: int | None = N
         return pd.DataFrame([(at["entity"].iloc[0], at["horizon_days"].iloc[0], at["date"].iloc[0], p, ret, alpha, len(fit))], columns=out)
 
     schema = "entity string, horizon_days int, date date, prob double, expected_return double, expected_alpha double, n_train int"
-    got = tasks.groupBy("entity", "horizon_days", "t").applyInPandas(run, schema)
+    got = spread(tasks, "entity", "horizon_days", "t").groupBy("entity", "horizon_days", "t").applyInPandas(run, schema)
     return got.withColumn("model_version", F.concat(F.lit("asof_h"), F.col("horizon_days").cast("string")))
 
 
+def expected_returns(rows: DataFrame, features: Sequence[str], label: str, trailing: str, by: Sequence[str], at: str = "date", least: int = 60, top: int = 60) -> DataFrame:
+    """What each series is expected to return from its last row: ``by``, ``date``, ``expected_return``, ``source``.
+
+    Fitted on the rows with a label and the ``top`` features of most variance;
+    below ``least`` such rows it is the last row's ``trailing`` move.  A
+    series has a row per date, which bounds a task's group.
+    """
+    kinds, names = dict(rows.dtypes), list(features)
+    out = [*by, "date", "expected_return", "source"]
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(at)
+        last, fit = part.iloc[-1:], part[part[label].notna()]
+        if len(fit) < least:
+            value, source = last[trailing].iloc[0], "trailing"
+        else:
+            used = fit[names].var().sort_values(ascending=False, kind="stable").index[:top]
+            value, source = Stumps(rounds=60).fit(fit[used].to_numpy(float), fit[label].to_numpy(float), False).predict(last[used].to_numpy(float))[0], "model"
+        return pd.DataFrame([(*last[list(by)].iloc[0], last[at].iloc[0], value, source)], columns=out)
+
+    schema = ", ".join(f"{c} {kinds[c]}" for c in by) + f", date {kinds[at]}, expected_return double, source string"
+    return rows.select(*by, at, label, trailing, *[c for c in names if c != trailing]).groupBy(*by).applyInPandas(run, schema)
+
+
 def stability(a: DataFrame, b: DataFrame, on: Sequence[str], p: str = "prob") -> DataFrame:
     """How often two models call alike, and how often each calls the entity."""
     j = a.select(*on, F.col(p).alias("_a")).join(b.select(*on, F.col(p).alias("_b")), list(on))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pitframe.functions import labels as fl
-from pitframe.operators import labels, models, regime, rules, stats
+from pitframe.operators import inference, labels, models, regime, rules, stats
 from pitframe.operators.windows import Series
 from pitframe.plans.registry import Registry
 from pitframe.plans.research import study_frame
@@ -69,33 +71,57 @@ def logistic(spark, d):
 @query("m7_training_status", None)
 def training_status(spark, d):
     rows = labelled_rows(spark, d).cache()
-    few = rows.limit(50)
+    few = rows.orderBy("date", "symbol").limit(50)
     got = [(name, models.train(x, FEATURES, "y", trees=3, depth=2)[0]) for name, x in (("all", rows), ("few", few), ("none", rows.where("false")))]
     return spark.createDataFrame(got, "rows string, status string")
 
 
-def _numbered(spark, d):
-    rows = labelled_rows(spark, d)
-    return rows.withColumn("rn", F.row_number().over(Window.partitionBy("symbol").orderBy("date")) - 1)
+WALK = labels.Walk(120, 42, 42, 10)
+
+
+def _folds(spark, d):
+    """Labelled rows of every symbol in the folds of its whole series."""
+    return labels.walk_rows(labelled_rows(spark, d), WALK, ["symbol"])
 
 
 @query("m6_walk_forward_scores", None)
 def walk_forward_scores(spark, d):
-    bounds = labels.folds(spark, 400, labels.Walk(120, 42, 42, 10))
-    rows = labels.fold_rows(_numbered(spark, d), bounds)
-    return models.fold_metrics(models.fold_scores(rows, FEATURES, "y", ("symbol", "fold")), ("symbol", "fold"))
+    return models.fold_metrics(models.fold_scores(_folds(spark, d), FEATURES, "y", ("symbol", "fold")), ("symbol", "fold"))
 
 
 @query("m8_m9_m10_asof_scores", None)
 def asof_scores(spark, d):
-    f = _numbered(spark, d).where("symbol = 'PROMO'").withColumns({"entity": F.col("symbol"), "horizon_days": F.lit(63), "alpha": F.col("fwd") - F.col("g"), "ret": F.col("fwd")})
-    return models.asof_scores(f, FEATURES)
+    """Every symbol but gold at every horizon; the rows whose future is missing are scored and not trained on."""
+    s, x = Series(), F.col("close")
+    ahead = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon_days"), F.col(f"_f{h}").alias("ret")) for h in v.HORIZONS]))
+    p = v.prices(spark, d).withColumn("ret", s.change(x, 1)).select(
+        "symbol", "date", s.change(x, 5).alias("ret_5"), s.change(x, 20).alias("ret_20"), s.volatility(F.col("ret"), 20).alias("vol_20"), s.zscore(x, 60).alias("z_60"), *[s.forward(x, h).alias(f"_f{h}") for h in v.HORIZONS]
+    )
+    f = p.na.drop("any", subset=list(FEATURES)).select(F.col("symbol").alias("entity"), "date", *FEATURES, ahead.alias("a")).select("entity", "date", *FEATURES, "a.*")
+    gold = f.where(F.col("entity") == v.GOLD).select("date", "horizon_days", F.col("ret").alias("g"))
+    rows = f.where(F.col("entity") != v.GOLD).join(gold, ["date", "horizon_days"]).withColumn("alpha", F.col("ret") - F.col("g"))
+    rn = F.row_number().over(Window.partitionBy("entity", "horizon_days").orderBy("date")) - 1
+    return models.asof_scores(rows.withColumns({"y": (F.col("alpha") > 0).cast("int"), "rn": rn}), FEATURES)
+
+
+@query("m17_expected_return", None)
+def expected_return(spark, d):
+    return models.expected_returns(feature_rows(spark, d), FEATURES, "fwd", "ret_5", ["symbol"])
+
+
+@query("j2_feature_targets", PX + f""", f as (select symbol, date, close / nullif(lag(close, 5) {_W}, 0) - 1 as ret_5, lead(close, 10) {_W} / nullif(close, 0) - 1 as fwd from prices)
+  select symbol, date, round(ret_5, 6) as ret_5, round(fwd, 6) as fwd from f where ret_5 is not null and fwd is not null""")
+def feature_targets(spark, d):
+    """Features joined with forward returns on date and symbol; rows that lack either go."""
+    s, p = Series(), v.prices(spark, d)
+    f = p.select("symbol", "date", F.round(s.change(F.col("close"), 5), 6).alias("ret_5")).where("ret_5 is not null")
+    t = p.select("symbol", "date", F.round(s.forward(F.col("close"), 10), 6).alias("fwd")).where("fwd is not null")
+    return f.join(t, ["symbol", "date"])
 
 
 @query("m20_stability", None)
 def stability(spark, d):
-    bounds = labels.folds(spark, 300, labels.Walk(120, 42, 42, 10))
-    rows = labels.fold_rows(_numbered(spark, d), bounds)
+    rows = _folds(spark, d)
     keys = ("symbol", "fold", "rn")
     full, less = (models.fold_scores(rows, cols, "y", ("symbol", "fold")) for cols in (FEATURES, FEATURES[:2]))
     return models.stability(full, less, keys)
@@ -104,9 +130,19 @@ def stability(spark, d):
 @query("m21_purged_study", None)
 def purged_study(spark, d):
     """Calibration of out-of-sample scores, pooled over the folds."""
-    bounds = labels.folds(spark, 400, labels.Walk(120, 42, 42, 10))
-    rows = labels.fold_rows(_numbered(spark, d), bounds)
-    return stats.calibration(models.fold_scores(rows, FEATURES, "y", ("symbol", "fold")), "y", "prob")
+    return stats.calibration(models.fold_scores(_folds(spark, d), FEATURES, "y", ("symbol", "fold")), "y", "prob")
+
+
+@query("m21_study_report", None)
+def study_report(spark, d):
+    """Gold against the benchmark: scores of two learners out of sample feed the books, their intervals and tests."""
+    rows = study_frame(spark, d).drop("boosted", "logistic").join(feature_rows(spark, d).where(F.col("symbol") == v.GOLD).drop("fwd"), "date")
+    small = rows.withColumns({"entity_fwd": F.col("entity_fwd") / 1000, "bench_fwd": F.col("bench_fwd") / 1000})
+    small = small.cache()
+    walk = labels.fitted_walk(small.count(), 10) or WALK
+    folds = labels.walk_rows(small, replace(walk, step=walk.test), ["symbol"])  # each date is tested once
+    oos = models.fold_scores(folds, [*FEATURES, "momentum"], "y", ("symbol", "fold"), ("date", "entity_fwd", "bench_fwd"), {"boosted": models.Stumps, "logistic": models.Logit})
+    return inference.study_report(oos.join(small.select("date", "momentum"), "date").cache(), 10)
 
 
 @query("m22_catalog", PREDS + """, l as (select entity, horizon_days, date, prob, row_number() over (partition by entity, horizon_days order by date desc, id desc) as k from predictions where not coalesce(starts_with(model_version, 'asof_h'), false))

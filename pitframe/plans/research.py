@@ -40,12 +40,12 @@ def fitted_walk(spark, d):
     return spark.createDataFrame(rows, "n int, train int, test int, step int")
 
 
-@query("m1_fold_rows", PX + f""", {_TARGETS}, r as (select *, row_number() over (order by date) - 1 as rn from t), b as ({_FOLDS})
+@query("m1_fold_rows", PX + f""", {_TARGETS}, r as (select *, row_number() over (order by date) - 1 as rn from t), b as ({_FOLDS.replace("120", "(select count(*) from t)")})
   select fold, case when rn < train_hi then 'train' else 'test' end as part, count(*) as n, sum(outperform_gold) as wins from r join b on rn >= train_lo and rn < train_hi or rn >= test_lo and rn < test_hi group by 1, 2""")
 def fold_rows(spark, d):
     t = labels.targets(v.prices(spark, d), v.BENCHMARK, v.GOLD, PEER, 10)
-    numbered = t.withColumn("rn", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("date")) - 1)
-    return labels.fold_rows(numbered, labels.folds(spark, 120, labels.Walk(40, 1, 10, 10))).groupBy("fold", "part").agg(F.count("*").alias("n"), F.sum("outperform_gold").alias("wins"))
+    rows = labels.walk_rows(t.withColumn("symbol", F.lit(v.BENCHMARK)), labels.Walk(40, 1, 10, 10), ["symbol"])
+    return rows.groupBy("fold", "part").agg(F.count("*").alias("n"), F.sum("outperform_gold").alias("wins"))
 
 
 _FRAME = f"""p as (select symbol, date, close / nullif(lag(close, 20) {_W}, 0) - 1 as m, lead(close, 10) {_W} / nullif(close, 0) - 1 as f from prices),
@@ -127,13 +127,12 @@ def losses(spark, d):
 
 @query("i4_bootstrap_books", None)
 def bootstrap_books(spark, d):
-    return inference.grouped_bootstrap(_books(spark, d), ["strategy"], "date", "net", "total", 10, reps=200)
+    return inference.grouped_bootstrap(_books(spark, d), ["strategy"], "date", "net", "total", 10)
 
 
 @query("i2_i4_bootstrap_mean", None)
 def bootstrap_mean(spark, d):
-    x = [r["net"] for r in _books(spark, d).where("strategy = 'momentum'").orderBy("date").limit(500).collect()]
-    return inference.bootstrap(spark, x, "mean", 5, reps=200)
+    return inference.grouped_bootstrap(_books(spark, d).where("strategy = 'momentum'"), ["strategy"], "date", "net", "mean", 5)
 
 
 @query("i9_i10_study_tests", None)

@@ -292,7 +292,7 @@ def calendar_change(spark, d):
     return p.groupBy("symbol").agg(F.round(F.try_divide(F.max_by("close", "date"), F.min_by("close", "date")) - 1, 6).alias("change"))
 
 
-_EMA = """with recursive {views}, n as (select symbol, date, close, row_number() over (partition by symbol order by date) as k, close - lag(close) over (partition by symbol order by date) as d from prices where symbol = 'PROMO'),
+_EMA = """with recursive {views}, n as (select symbol, date, close, row_number() over (partition by symbol order by date) as k, close - lag(close) over (partition by symbol order by date) as d from prices),
   e as (select symbol, date, k, close, cast(null as double) as up, cast(null as double) as down, cast(null as double) as rng, close as f, close as s, 0.0::double as macd, cast(null as double) as sig from n where k = 1
   union all select n.symbol, n.date, n.k, n.close, case when n.k = 2 then greatest(d, 0) else e.up * 13 / 14 + greatest(d, 0) / 14 end, case when n.k = 2 then greatest(-d, 0) else e.down * 13 / 14 + greatest(-d, 0) / 14 end,
     case when n.k = 2 then abs(d) else e.rng * 13 / 14 + abs(d) / 14 end, e.f * 11 / 13 + n.close * 2 / 13, e.s * 25 / 27 + n.close * 2 / 27,
@@ -305,7 +305,7 @@ _EMA = """with recursive {views}, n as (select symbol, date, close, row_number()
 
 @query("w5_w6_w7_oscillators", _EMA)
 def oscillators(spark, d):
-    got = windows.oscillators(v.prices(spark, d).where("symbol = 'PROMO'"), ["symbol"], "date", "close")
+    got = windows.oscillators(v.prices(spark, d), ["symbol"], "date", "close")
     return got.select("symbol", "date", *[F.round(c, 6).alias(c) for c in ("rsi", "atr", "macd_diff")])
 
 

@@ -102,6 +102,38 @@ def test_folds_keep_the_embargo(spark):
     assert labels.folds(spark, 40, walk).count() == 0
 
 
+def test_walk_rows_agree_with_folds(spark):
+    walk = labels.Walk(20, 7, 5, 3)
+    lengths = {"a": 61, "b": 30, "c": 29}
+    rows = spark.createDataFrame([(k, i * 2) for k, n in lengths.items() for i in range(n)], "k string, at int")
+    got = sorted(tuple(r) for r in labels.walk_rows(rows, walk, ["k"], "at").select("k", "fold", "part", "rn", (F.col("at") / 2).cast("int")).collect())
+    want = []
+    for k, n in lengths.items():
+        for f in labels.folds(spark, n, walk).collect():
+            want += [(k, f["fold"], "train", i, i) for i in range(f["train_lo"], f["train_hi"])] + [(k, f["fold"], "test", i, i) for i in range(f["test_lo"], f["test_hi"])]
+    assert got == sorted(want) and {k for k, *_ in got} == {"a", "b"}
+
+
+def test_learners(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 3))
+    x[::17, 1] = np.nan
+    y = (x[:, 0] + 0.3 * rng.normal(size=400) > 0).astype(float)
+    for make in (models.Stumps, models.Logit):
+        p = make().fit(x[:300], y[:300], True).predict(x[300:])
+        assert ((p > 0.5) == y[300:]).mean() > 0.85 and p.min() >= 0 and p.max() <= 1
+    flat = models.Logit().fit(np.zeros((10, 2)), np.array([0.0, 1.0] * 5)).predict(np.zeros((1, 2)))
+    assert abs(flat[0] - 0.5) < 1e-9
+
+
+def test_expected_returns_fall_back_on_the_trailing_move(spark):
+    rows = [("long", i, 0.1 if i % 2 else -0.1, None if i == 99 else (0.1 if i % 2 else -0.1)) for i in range(100)] + [("short", i, 0.5, 0.2) for i in range(20)]
+    df = spark.createDataFrame(rows, "symbol string, date int, m double, fwd double")
+    got = {r["symbol"]: r for r in models.expected_returns(df, ["m"], "fwd", "m", ["symbol"]).collect()}
+    assert got["long"]["source"] == "model" and got["long"]["date"] == 99 and abs(got["long"]["expected_return"] - 0.1) < 0.02
+    assert got["short"]["source"] == "trailing" and got["short"]["expected_return"] == 0.5
+
+
 def test_holm(spark):
     df = spark.createDataFrame([(0, 0.01), (1, 0.04), (2, 0.03), (3, 0.005)], "i int, p double")
     got = {r["i"]: (r["rank"], round(r["p_adjusted"], 6), r["significant"]) for r in stats.holm(df, [], "i", "p").collect()}

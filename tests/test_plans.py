@@ -39,3 +39,5 @@ def test_scans_read_only_what_they_need(spark, sf_dir):
 def test_no_query_needs_a_cartesian_product(spark, sf_dir):
     for name in ("j5_many_asof", "j22_all_paths", "j3_price_at_or_before", "m1_fold_rows"):
         assert "CartesianProduct" not in plan(catalog.queries()[name](spark, sf_dir)), name
+    for name in ("m1_fold_rows", "j2_feature_targets", "w11_rolling_beta"):
+        assert "BroadcastNestedLoopJoin" not in plan(catalog.queries()[name](spark, sf_dir)), name
