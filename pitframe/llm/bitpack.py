@@ -103,23 +103,27 @@ def _encoder(path: str) -> ChunkEncoder:
     blank = np.zeros(tok.get_vocab_size(), bool)
     blank[[i for w, i in tok.get_vocab().items() if w.startswith("Ġ")]] = True
 
+    def alone(texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.int32) for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+
     def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Parts that begin with a blank and hold no other go to the library joined, as a text would be."""
-        counts, out = np.zeros(len(texts), np.int64), []
-        joined = len(texts) > 1 and all(t[:1] == " " or not t for t in texts)
+        joined = len(texts) > 1 and all(not t or t[0] == " " and t.rfind(" ") == 0 and not t[1:2].isspace() for t in texts)
         if not joined:
-            found = tok.encode_batch_fast(texts, add_special_tokens=False)
-            ids = [np.array(e.ids, np.int32) for e in found]
+            ids = alone(texts)
             return np.array([len(x) for x in ids], np.int64), np.concatenate([np.empty(0, np.int32), *ids])
+        counts, out = np.zeros(len(texts), np.int64), []
         full = np.array([i for i, t in enumerate(texts) if t])
         groups = [full[i : i + 1000] for i in range(0, len(full), 1000)]
-        for group, e in zip(groups, tok.encode_batch_fast(["".join(texts[i] for i in g) for g in groups], add_special_tokens=False)):
-            ids = np.array(e.ids, np.int32)
+        for group, ids in zip(groups, alone(["".join(texts[i] for i in g) for g in groups])):
             starts = np.flatnonzero(blank[ids])
-            if len(starts) != len(group):
-                raise ValueError("the tokenizer does not begin a token at each blank")
-            counts[group] = np.diff(np.append(starts, len(ids)))
-            out.append(ids)
+            if len(starts) == len(group):
+                counts[group] = np.diff(np.append(starts, len(ids)))
+                out.append(ids)
+            else:  # some part does not begin with a token that has the blank
+                own = alone([texts[i] for i in group])
+                counts[group] = [len(x) for x in own]
+                out += own
         return counts, np.concatenate([np.empty(0, np.int32), *out])
 
     return ChunkEncoder(encode)
