@@ -83,6 +83,26 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"))
 
 
+def op11_treebpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from pitframe.llm.treebpe import digests
+
+    return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pitframe.llm.repair import conversations
+
+    return conversations(table(spark, sf_dir, "conversations"))
+
+
+def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pitframe.llm.skiplist import digests
+
+    return digests(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -100,6 +120,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_minhash": op9_minhash,
     "op10_urls": op10_urls,
+    "op11_treebpe": op11_treebpe,
+    "op12_repair": op12_repair,
+    "op13_fim": op13_fim,
     "pipeline": pipeline,
 }
 ORACLES: dict[str, str] = {}

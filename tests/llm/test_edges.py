@@ -94,7 +94,21 @@ def bits(docs, labels):
     return read_documents(spark, path)
 
 
-ALL = [quality, language, packing, minhash, media, toxicity, bpe, bits]
+def tree(docs, labels):
+    import public_tokenizers
+
+    from pitframe.llm.treebpe import digests
+
+    return digests(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def middle(docs, labels):
+    from pitframe.llm.skiplist import digests
+
+    return digests(docs)
+
+
+ALL = [quality, language, packing, minhash, media, toxicity, bpe, bits, tree, middle]
 
 
 @pytest.mark.parametrize("op", ALL)
@@ -110,7 +124,7 @@ def test_every_row_has_a_result(op, docs, labels):
 @pytest.mark.parametrize("op", ALL)
 def test_clashing_columns_change_nothing(op, docs, labels):
     plain, other = op(docs, labels), op(clashing(docs), clashing(labels))
-    names = [c for c in plain.columns if c in ("doc_id", "p_quality", "class_id", "n_links", "payload_sha256", "severity", "ids_sha256", "start", "capacity", "tokens", "doc_ids")]
+    names = [c for c in plain.columns if c in ("doc_id", "p_quality", "class_id", "n_links", "payload_sha256", "severity", "ids_sha256", "output_sha256", "start", "capacity", "tokens", "doc_ids")]
     rows = lambda df: sorted(map(repr, df.select(*names).collect()))
     assert rows(plain) == rows(other)
 
