@@ -42,6 +42,16 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: without its lineage, and with the size of its files.
+
+    A checkpoint keeps the plan's own estimate of its size; where results are
+    joined with each other round after round, such estimates grow without end.
+    """
+    df.write.parquet(path := scratch(df.sparkSession, name))
+    return df.sparkSession.read.parquet(path)
+
+
 def without_ids(docs: DataFrame, ids: DataFrame, broadcast_rows: int) -> DataFrame:
     """``docs`` without the rows whose ``doc_id`` is in ``ids``.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pitframe.llm.common import cut
+from pitframe.llm.common import stored
 
 #: (host, path, verdict); a rule holds for its host and all subdomains.
 RULES = (
@@ -77,12 +77,12 @@ def _merged(rows: DataFrame, literal: DataFrame) -> DataFrame:
     supported = rows.groupBy(*node, "next").agg(F.sum("n").alias("nn")).where(F.col("nn") >= LITERAL_ROWS).select(*node, "next", F.lit(True).alias("supported"))
     kind = F.concat_ws("|", F.when(F.col("supported"), F.col("next")).otherwise(_shape("next")), _shape("rest"), label)
     kinds = _with(rows, supported, [*node, "next"]).groupBy(*child, kind.alias("kind")).agg(F.sum("n").cast("double").alias("k")).join(literal.select(*child), child)
-    kinds = cut(kinds)
+    kinds = stored(kinds, "kinds")
     most = kinds.groupBy(*child).agg(F.max(F.struct("k", "kind"))["kind"].alias("most"), F.sum("k").alias("bn"))
     pool = [*node, "sign", "most"]
     sized = literal.join(most, child).withColumn("sign", F.signum(F.col("b") - F.col("a")))
     totals = sized.groupBy(*pool).agg(F.sum("b").alias("pb"), F.sum("a").alias("pa"), F.sum("bn").alias("pn"), F.count("*").alias("members")).where("members > 1")
-    counted = cut(kinds.join(sized, child).join(totals, pool))
+    counted = stored(kinds.join(sized, child).join(totals, pool), "counted")
     pooled = counted.groupBy(*pool, "kind").agg(F.sum("k").alias("pk"))
     many = pooled.groupBy(*pool).agg(F.count("*").alias("kinds"))
     labelled, every = F.col("b") + F.col("a"), F.col("pb") + F.col("pa")
@@ -96,6 +96,11 @@ def _merged(rows: DataFrame, literal: DataFrame) -> DataFrame:
     return close.select(*child, "sign", "most").join(named, pool).select(*child, "group")
 
 
+def _literal(seg: str) -> Column:
+    """A literal segment in a template; one that looks like a wildcard, a group or this mark has a backslash before it."""
+    return F.concat(F.lit("/"), F.when(F.col(seg).rlike(r"^[*{\\]"), "\\").otherwise(""), F.col(seg))
+
+
 def _tree(paths: DataFrame, everywhere: float) -> DataFrame:
     """``paths`` (host, path, n, blocked, allowed) with ``template``, ``purity`` and ``known``.
 
@@ -109,7 +114,7 @@ def _tree(paths: DataFrame, everywhere: float) -> DataFrame:
     segs = F.when(F.col("path") == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace("path", "^/", ""), "/"))
     hosts = paths.groupBy("host").agg(F.sum("blocked").alias("hb"), F.sum("allowed").alias("ha"), F.sum("n").alias("t"), F.count("*").alias("paths"))
     hosts = hosts.select("host", _share(F.col("hb"), F.col("ha"), F.lit(everywhere)).alias("purity"), (F.col("hb") + F.col("ha") > 0).alias("known"), "t", "paths")
-    live = cut(_with(paths.withColumn("segs", segs).withColumn("template", F.lit("")), hosts, ["host"]))
+    live = stored(_with(paths.withColumn("segs", segs).withColumn("template", F.lit("")), hosts, ["host"]), "level")
     columns = ["host", "path", "n", "blocked", "allowed", "segs", "known"]
     done, level = None, 0
     while True:
@@ -121,18 +126,18 @@ def _tree(paths: DataFrame, everywhere: float) -> DataFrame:
         )
         going = rows.where("not ended")
         literal = going.groupBy("host", "template", "seg").agg(F.sum("n").alias("c"), F.sum("blocked").alias("b"), F.sum("allowed").alias("a")).where(F.col("c") >= LITERAL_ROWS)
-        literal = cut(literal)
+        literal = stored(literal, "literal")
         steps = literal.select("host", "template", "seg", F.lit(True).alias("literal"))
         siblings = literal.groupBy("host", "template").count().where("count > 1").take(1)
         steps = steps.join(_merged(going, literal), ["host", "template", "seg"], "left") if siblings else steps.withColumn("group", F.lit(None).cast("string"))
-        whole = F.when(F.col("left") <= 0, "").when(F.col("left") > 1, "/**").when(F.col("t") < LITERAL_ROWS, "/*").otherwise(F.concat(F.lit("/"), "seg"))
-        split = F.when(F.col("group").isNotNull(), F.concat(F.lit("/{"), "group", F.lit("}"))).when(F.col("literal"), F.concat(F.lit("/"), "seg")).otherwise("/*")
+        whole = F.when(F.col("left") <= 0, "").when(F.col("left") > 1, "/**").when(F.col("t") < LITERAL_ROWS, "/*").otherwise(_literal("seg"))
+        split = F.when(F.col("group").isNotNull(), F.concat(F.lit("/{"), "group", F.lit("}"))).when(F.col("literal"), _literal("seg")).otherwise("/*")
         rows = _with(rows, steps, ["host", "template", "seg"]).withColumn("template", F.concat("template", F.when(F.col("ended"), whole).otherwise(split)))
-        rows = cut(rows.select(*columns, "template", "purity", "ended"))
+        rows = stored(rows.select(*columns, "template", "purity", "ended"), "rows")
         sums = rows.groupBy("host", "template", "ended").agg(
             _share(F.sum("blocked"), F.sum("allowed"), F.first("purity")).alias("purity"), F.sum("n").alias("t"), F.count("*").alias("paths")
         )
-        rows = cut(_with(rows.drop("purity"), sums, ["host", "template", "ended"]))
+        rows = stored(_with(rows.drop("purity"), sums, ["host", "template", "ended"]), "level")
         ready = rows.where("ended").select("host", "path", "template", "purity", "known")
         done = ready if done is None else done.unionByName(ready)
         live, level = rows.where("not ended").drop("ended"), level + 1
@@ -166,9 +171,10 @@ def judge(pages: DataFrame, rules=RULES, labels: DataFrame | None = None) -> Dat
     else:
         one = labels.where("page_id is not null").groupBy("page_id").agg(F.min("label").alias("label"))
         known = urls.join(one, "page_id", "left")
-    paths = cut(known.groupBy("host", "path").agg(
+    paths = known.groupBy("host", "path").agg(
         F.count("*").alias("n"), F.count_if(F.col("label") == "block").alias("blocked"), F.count_if(F.col("label") == "allow").alias("allowed")
-    ))
+    )
+    paths = stored(paths, "paths")
     blocked, allowed = paths.agg(F.coalesce(F.sum("blocked"), F.lit(0)), F.coalesce(F.sum("allowed"), F.lit(0))).first()
     everywhere = blocked / (blocked + allowed) if blocked + allowed else 0.0
     judged = _tree(paths, everywhere)

@@ -539,6 +539,21 @@ def test_small_and_deep_branches_keep_their_labels(spark):
     assert {got[i]["template"] for i in range(2000, 2080)} == {"/2024/05/17/x/ads/*", "/2024/05/17/x/news/*"}
 
 
+def test_literal_wildcards_and_twenty_levels(spark):
+    from pitframe.llm.urls import judge
+
+    rows = [(f"http://w.net/*/{i}", "block") for i in range(30)] + [(f"http://w.net/one{i}/x", "allow") for i in range(60)]
+    rows += [(f"http://g.net/{{a}}/{i}", "block") for i in range(30)] + [(f"http://g.net/{s}/{i}", "allow") for s in "ab" for i in range(30)] + [(f"http://g.net/\\*/{i}", "allow") for i in range(30)]
+    deep = "/".join(f"d{k}" for k in range(20))
+    rows += [(f"http://deep.net/{deep}/{part}/{i}", label) for part, label in (("ads", "block"), ("news", "allow")) for i in range(20)]
+    df = spark.createDataFrame([(i, url) for i, (url, _) in enumerate(rows)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, label) for i, (_, label) in enumerate(rows)], "page_id long, label string")
+    got = {r["page_id"]: r for r in judge(df, labels=labels).collect()}
+    assert {(got[i]["verdict"], got[i]["template"]) for i in range(30)} == {("block", "/\\*/*")}
+    assert all(got[i]["verdict"] == label for i, (_, label) in enumerate(rows))
+    assert {got[i]["template"] for i in range(len(rows) - 40, len(rows))} == {f"/{deep}/ads/*", f"/{deep}/news/*"}
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline as cp
 
