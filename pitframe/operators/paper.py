@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitframe.functions.labels import finite, is_asof, signal, stance
-from pitframe.operators.asof import asof_backward
+from pitframe.operators.asof import asof_many
 from pitframe.operators.windows import Series
 
 STARTING_CASH = 100_000.0
@@ -55,24 +55,21 @@ def contexts(scores: DataFrame, prices: DataFrame, regimes: DataFrame, gold: str
     ``regimes`` has ``date`` and ``gold_bias``.  Trailing moves count each
     symbol's own rows and are carried to the day.
     """
-    days = scores.groupBy("date", "horizon_days").agg(F.max(F.when(F.col("entity") == gold, F.col("ret"))).alias("gold_ret")).withColumn("_k", F.lit(0))
+    days = scores.groupBy("date", "horizon_days").agg(F.max(F.when(F.col("entity") == gold, F.col("ret"))).alias("gold_ret"))
     s = Series()
     p = prices.where("close is not null")
-
-    def carried(left: DataFrame, symbol: str, x, name: str) -> DataFrame:
-        right = p.where(F.col("symbol") == symbol).withColumn(name, x).select(F.lit(0).alias("_k"), F.col("date").alias("_t"), name)
-        return asof_backward(left, right, ["_k"], "date", "_t", [name])
-
-    out = carried(days, real, F.col("close"), "real_yield")
-    out = carried(out, dollar, s.change(F.col("close"), 20) * 100, "dollar_20")
     lengths = [r["horizon_days"] for r in scores.select("horizon_days").distinct().collect()]  # a handful
     moves = F.create_map(*[x for h in lengths for x in (F.lit(h), s.change(F.col("close"), h))]) if lengths else F.lit(None).cast("map<int,double>")
-    out = carried(out, bench, moves, "_moves").withColumn("bench_trail", F.element_at("_moves", F.col("horizon_days"))).drop("_moves")
-    out = asof_backward(out, regimes.select(F.lit(0).alias("_k"), F.col("date").alias("_t"), "gold_bias"), ["_k"], "date", "_t", ["gold_bias"])
+
+    def of(symbol: str, x: Column, name: str) -> tuple[DataFrame, str, list[str]]:
+        return p.where(F.col("symbol") == symbol).select(F.col("date").alias("_d"), x.alias(name)), "_d", [name]
+
+    rights = [of(real, F.col("close"), "real_yield"), of(dollar, s.change(F.col("close"), 20) * 100, "dollar_20"), of(bench, moves, "_moves"), (regimes, "date", ["gold_bias"])]
+    out = asof_many(days, "date", rights).withColumn("bench_trail", F.element_at("_moves", F.col("horizon_days"))).drop("_moves")
     out = out.withColumn("gold_bias", F.coalesce("gold_bias", F.lit("neutral")))
     call = stance(F.col("gold_ret"), F.col("bench_trail"), F.col("real_yield"), F.col("dollar_20"), F.col("gold_bias"))
     budgets = F.create_map(*[F.lit(x) for kv in GOLD_BUDGET.items() for x in kv])
-    return out.drop("_k").withColumn("stance", call).withColumn("gold_budget", F.element_at(budgets, F.col("stance")))
+    return out.withColumn("stance", call).withColumn("gold_budget", F.element_at(budgets, F.col("stance")))
 
 
 def rebalance(shares: dict[str, float], cash: float, price: dict[str, float], targets: dict[str, float], cost_bps: float = COST_BPS) -> tuple[float, list[tuple]]:
@@ -173,8 +170,12 @@ def trading_days(prices: DataFrame, scores: DataFrame, sleeve: DataFrame, contex
     p = prices.where("close is not null").select("date", "symbol", "close")
     calendar = p.where(F.col("symbol").isin(gold[-1], bench)).groupBy("date").agg(F.count_distinct("symbol").alias("_n")).where("_n = 2").select("date")
     symbols = sleeve.select("symbol").union(p.where(F.col("symbol").isin(*gold, bench)).select("symbol")).distinct()
-    grid = calendar.join(F.broadcast(symbols))  # few symbols by a bounded calendar
-    carried = asof_backward(grid.select("symbol", "date"), p.withColumnRenamed("date", "_t"), ["symbol"], "date", "_t", ["close"]).where("close is not null")
+    # A close is in force until the day before the symbol's next one; the last, until the calendar ends.
+    following = F.lead("date").over(Window.partitionBy("symbol").orderBy("date"))
+    last = calendar.agg(F.max("date").alias("m")).scalar()
+    spans = p.join(symbols, "symbol", "left_semi").withColumn("_to", F.coalesce(F.date_sub(following, 1), F.greatest(last, F.col("date"))))
+    in_force = spans.select("symbol", "close", F.explode(F.sequence("date", "_to")).alias("date"))
+    carried = in_force.join(calendar, "date")
     maps = carried.groupBy("date").agg(
         F.map_from_entries(F.collect_list(F.struct("symbol", "close"))).alias("prices"), F.max(F.when(F.col("symbol") == bench, F.col("close"))).alias("spx"),
         *[F.max(F.when(F.col("symbol") == g, F.col("close"))).alias(f"_g{i}") for i, g in enumerate(gold)],

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pitframe.operators.scans import sums_before
+
 #: The right edges of five equal bins as floating point has them.
 BIN_EDGES = (0.2, 0.4, 0.6000000000000001, 0.8, 1.0)
 LEAST_SCORES = 5
@@ -33,13 +37,15 @@ def calibration(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFr
 def auc(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFrame:
     """Area under the ROC curve by the Mann-Whitney count, ties half.
 
-    Scores are grouped by value first, so the window that ranks them holds
-    distinct values only.  Null with fewer than five rows or one class.
+    Scores are grouped by value first, and negatives below each value are
+    summed over slices of the scores, so that no task holds a group's scores.
+    Null with fewer than five rows or one class; rows without a score or a
+    label do not count.
     """
-    at = df.groupBy(*by, p).agg(F.sum(F.col(y).cast("double")).alias("pos"), F.sum(1 - F.col(y).cast("double")).alias("neg"))
-    keys = list(by) or [F.lit(0)]
-    below = F.coalesce(F.sum("neg").over(Window.partitionBy(*keys).orderBy(p).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    won = at.withColumn("won", F.col("pos") * (below + F.col("neg") / 2))
+    scored = df.where(F.col(p).isNotNull() & F.col(y).isNotNull())
+    at = scored.groupBy(*by, p).agg(F.sum(F.col(y).cast("double")).alias("pos"), F.sum(1 - F.col(y).cast("double")).alias("neg"))
+    below = F.col("_below")
+    won = sums_before(at, by, [p], {"_below": "neg"}).withColumn("won", F.col("pos") * (below + F.col("neg") / 2))
     got = won.groupBy(*by).agg(F.sum("won").alias("won"), F.sum("pos").alias("np"), F.sum("neg").alias("nn"))
     ok = (F.col("np") > 0) & (F.col("nn") > 0) & (F.col("np") + F.col("nn") >= LEAST_SCORES)
     return got.select(*by, (F.col("np") + F.col("nn")).cast("long").alias("n"), F.when(ok, F.col("won") / (F.col("np") * F.col("nn"))).alias("auc"))
@@ -52,19 +58,60 @@ def accuracy(y: Column, p: Column, cut: float = 0.5) -> Column:
 def concentration(df: DataFrame, by: Sequence[str], weight: str) -> DataFrame:
     """Herfindahl index, effective number, share of the three largest, the largest."""
     w = F.col(weight)
-    got = df.groupBy(*by).agg(F.sum(w * w).alias("hhi"), F.max(w).alias("max_weight"), F.slice(F.sort_array(F.collect_list(w), False), 1, 3).alias("_top"))
-    return got.select(*by, "hhi", F.try_divide(F.lit(1.0), "hhi").alias("effective_n"), F.aggregate("_top", F.lit(0.0), lambda a, x: a + x).alias("top3"), "max_weight")
+    got = df.groupBy(*by).agg(F.sum(w * w).alias("hhi"), F.max(w).alias("max_weight"))
+    # The three largest, by a rank that keeps three rows a group and task before the shuffle.
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc_nulls_last(weight)))
+    top = df.select(*by, weight).withColumn("_place", place).where(F.col("_place") <= 3).groupBy(*by).agg(F.coalesce(F.sum(weight), F.lit(0.0)).alias("top3"))
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    got = got.join(top.withColumnsRenamed({c: f"_k_{c}" for c in by}), same)
+    return got.select(*by, "hhi", F.try_divide(F.lit(1.0), "hhi").alias("effective_n"), "top3", "max_weight")
 
 
 def covariance(long: DataFrame, at: str, name: str, value: str) -> DataFrame:
-    """Sample covariances of every pair of series on the times both have.
-
-    A self-join on time of the long form; the number of series is small, so
-    each time gives a few rows, and pairs are aggregated before they move.
+    """Sample covariances of every pair of series on the times both have, and how many those are.
+
+    A blocked Gramian: each task turns the times that it holds into a matrix,
+    adds up products of its columns, and passes on one row per pair of series;
+    these are summed.  Values are first drawn to their series' mean, so that
+    no digits are lost in the sums.  A time has a value per series at most;
+    null and NaN values are gaps; a pair with one common time has a null
+    covariance, a pair with none has no row.  A task holds three square
+    matrices over the series that it meets.
     """
-    a = long.select(F.col(at).alias("t"), F.col(name).alias("a"), F.col(value).alias("x"))
-    b = long.select(F.col(at).alias("t"), F.col(name).alias("b"), F.col(value).alias("y"))
-    return a.join(b, "t").groupBy("a", "b").agg(F.covar_samp("x", "y").alias("cov"), F.count("*").alias("n"))
+    x = F.col(value).cast("double")
+    rows = long.where(x.isNotNull() & ~F.isnan(x) & F.col(name).isNotNull()).select(F.col(at).alias("t"), F.col(name).alias("s"), x.alias("x"))
+    centred = rows.select("t", "s", (F.col("x") - F.avg("x").over(Window.partitionBy("s"))).alias("x"))
+    wide = centred.groupBy("t").agg(F.collect_list(F.struct("s", "x")).alias("v")).select(F.col("v.s").alias("s"), F.col("v.x").alias("x"))
+    kind = rows.schema["s"].dataType.simpleString()
+
+    def gram(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        place: dict = {}
+        n = sx = xy = np.zeros((0, 0))
+        for part in parts:
+            for names in part["s"]:
+                for s in names:
+                    place.setdefault(s, len(place))
+            k = len(place)
+            grow = lambda m: np.pad(m, (0, k - len(m)))  # noqa: B023, E731
+            n, sx, xy = grow(n), grow(sx), grow(xy)
+            for lo in range(0, len(part), 256):
+                own = part.iloc[lo : lo + 256]
+                there, x = np.zeros((len(own), k)), np.zeros((len(own), k))
+                for i, (names, values) in enumerate(zip(own["s"], own["x"])):
+                    at = [place[s] for s in names]
+                    there[i, at], x[i, at] = 1, values
+                n, sx, xy = n + there.T @ there, sx + x.T @ there, xy + x.T @ x
+        names = np.array(list(place), object)
+        for i, a in enumerate(names):
+            met = np.flatnonzero(n[i])
+            yield pd.DataFrame({"a": a, "b": names[met], "n": n[i, met].astype(np.int64), "sx": sx[i, met], "sy": sx[met, i], "xy": xy[i, met]})
+
+    sums = wide.mapInPandas(gram, f"a {kind}, b {kind}, n long, sx double, sy double, xy double")
+    total = sums.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "xy")])
+    cov = (F.col("xy") - F.col("sx") * F.col("sy") / F.col("n")) / (F.col("n") - 1)
+    return total.select("a", "b", F.when(F.col("n") > 1, cov).alias("cov"), "n")
 
 
 def label_correlation(long: DataFrame, feature: str, value: str, label: str, by: Sequence[str] = (), least: int = 30) -> DataFrame:

@@ -85,45 +85,99 @@ class Series:
         return F.when(before.isNotNull() & (position != before), F.lit(cost)).otherwise(F.lit(0.0))
 
 
-def rank_share(by: Sequence[str], x: Column) -> Column:
-    """Average rank of x over the number of rows, ties sharing their mean."""
-    rows = Window.partitionBy(*by)
-    return (F.rank().over(rows.orderBy(x)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, x)) - 1) / 2.0) / F.count(F.lit(1)).over(rows)
+#: What an oscillator carries from row to row, in a slice as well as in a series.
+_AVERAGES = ("fast", "slow", "up", "down", "range")
 
 
-def ema_fold(values: Column, alpha: float) -> Column:
-    """The exponential averages of an array, each from the one before; the first value starts it."""
-    step = lambda acc, x: F.concat(acc, F.array(F.when(F.size(acc) == 0, x).otherwise(F.element_at(acc, -1) * (1 - alpha) + x * alpha)))
-    return F.aggregate(values, F.array().cast("array<double>"), step)
-
-
-def oscillators(df: DataFrame, by: Sequence[str], order: str, x: str, n: int = 14, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
+def oscillators(df: DataFrame, by: Sequence[str], order: str, x: str, n: int = 14, fast: int = 12, slow: int = 26, signal: int = 9, every: str = "year") -> DataFrame:
     """Wilder RSI / 100, mean true range over price, and MACD histogram over price.
 
-    The recursions have no window form; each series is an array in date order
-    and a fold carries the averages on, inside the JVM.  A series is as long
-    as its calendar, so an array stays small.  The first ``n`` rows have no
-    RSI or range, the first ``slow + signal - 2`` no MACD.  True range is the
-    absolute change, since only closes exist; averages start at their first
-    value.
+    Exponential averages have no window form, but a stretch of a series maps
+    the averages before it to those after it by ``a * before + b``, whatever
+    came before.  So a series is dealt into slices of ``every`` (a unit of
+    ``date_trunc``), each slice is folded into its map, the maps of a series,
+    a row per slice, are put together, and each slice is folded again from
+    its true start.  A task holds a slice, and one row per slice of a series.
+
+    The first ``n`` rows have no RSI or range, the first ``slow + signal - 2``
+    no MACD.  True range is the absolute change, since only closes exist;
+    averages start at their first value.  Null values are left out; ``by`` and
+    ``order`` name a row.
     """
-    got = df.where(F.col(x).isNotNull()).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(order, F.col(x).cast("double").alias("v")))).alias("s"))
-    v = got.withColumn("v", F.transform("s", lambda r: r["v"]))
-    i = F.sequence(F.lit(1), F.size("v") - 1)
-    change = F.when(F.size("v") > 1, F.transform(i, lambda k: F.get("v", k) - F.get("v", k - 1))).otherwise(F.array().cast("array<double>"))
-    v = v.withColumn("d", change)
-    wilder = 1.0 / n
-    v = v.withColumn("up", ema_fold(F.transform("d", lambda a: F.greatest(a, F.lit(0.0))), wilder)).withColumn("down", ema_fold(F.transform("d", lambda a: F.greatest(-a, F.lit(0.0))), wilder))
-    v = v.withColumn("range", ema_fold(F.transform("d", F.abs), wilder))
-    v = v.withColumn("fast", ema_fold(F.col("v"), 2.0 / (fast + 1))).withColumn("slow", ema_fold(F.col("v"), 2.0 / (slow + 1)))
-    v = v.withColumn("macd", F.zip_with("fast", "slow", lambda a, b: a - b))
-    v = v.withColumn("line", ema_fold(F.slice("macd", F.lit(slow), F.greatest(F.size("macd") - (slow - 1), F.lit(0))), 2.0 / (signal + 1)))
-    rows = v.select(*by, "s", "up", "down", "range", "macd", "line", F.posexplode("s").alias("k", "r"))
-    price = F.col("r.v")
-    up, down = F.get("up", F.col("k") - 1), F.get("down", F.col("k") - 1)
-    return rows.select(
-        *by, F.col(f"r.{order}").alias(order), price.alias(x),
-        F.when(F.col("k") >= n, F.when(down == 0, F.lit(1.0)).otherwise(1 - F.try_divide(F.lit(1.0), 1 + F.try_divide(up, down)))).alias("rsi"),
-        F.when(F.col("k") >= n, F.try_divide(F.get("range", F.col("k") - 1), price)).alias("atr"),
-        F.when(F.col("k") >= slow + signal - 2, F.try_divide(F.get("macd", F.col("k")) - F.get("line", F.col("k") - (slow - 1)), price)).alias("macd_diff"),
+    wilder, af, as_, ag = 1.0 / n, 2.0 / (fast + 1), 2.0 / (slow + 1), 2.0 / (signal + 1)
+    rate = {"fast": af, "slow": as_, "up": wilder, "down": wilder, "range": wilder}
+    rows = df.where(F.col(x).isNotNull()).select(*by, F.col(order).alias("_t"), F.col(x).cast("double").alias("_x"), F.date_trunc(every, F.col(order)).alias("_slice"))
+    slices = rows.groupBy(*by, "_slice").agg(F.array_sort(F.collect_list(F.struct(F.col("_t").alias("t"), F.col("_x").alias("x")))).alias("rows"))
+    ends = slices.select(*by, "_slice", F.size("rows").alias("_n"), F.element_at("rows", -1)["x"].alias("_end"))
+    ahead = Window.partitionBy(*by).orderBy("_slice")
+    ends = ends.select(*_twins(by), F.coalesce(F.sum("_n").over(ahead.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_k"), F.lag("_end").over(ahead).alias("_before"))
+    numbered = slices.join(ends, _same(by)).select(*by, "_slice", "rows", "_k", "_before")
+
+    # Each row as what the folds take in: its place in the series, its value, and its change.
+    place = F.sequence(F.lit(0), F.size("rows") - 1)
+    value = lambda i: F.get("rows", i)["x"]
+    inputs = F.transform(place, lambda i: F.struct((F.col("_k") + i).alias("k"), value(i).alias("x"), (value(i) - F.when(i == 0, F.col("_before")).otherwise(value(i - 1))).alias("d")))
+    numbered = numbered.withColumn("_in", inputs)
+
+    def taken(r: Column) -> dict[str, Column]:
+        return {"fast": r["x"], "slow": r["x"], "up": F.greatest(r["d"], F.lit(0.0)), "down": F.greatest(-r["d"], F.lit(0.0)), "range": F.abs(r["d"])}
+
+    #: The row at which an average starts.
+    start = {"fast": 0, "slow": 0, "up": 1, "down": 1, "range": 1}
+    zero = F.lit(0.0)
+
+    def mapped(m: Column, r: Column) -> Column:
+        """The maps ``a * before + b`` after one more row; the signal's takes in fast and slow as well."""
+        a, b = {}, {}
+        for c, v in taken(r).items():
+            a[c] = F.when(r["k"] <= start[c], zero).otherwise(m[f"a_{c}"] * (1 - rate[c]))
+            b[c] = F.when(r["k"] < start[c], zero).when(r["k"] == start[c], v).otherwise(m[f"b_{c}"] * (1 - rate[c]) + v * rate[c])
+        keep, add = F.when(r["k"] <= slow - 1, zero).otherwise(F.lit(1 - ag)), F.when(r["k"] < slow - 1, zero).when(r["k"] == slow - 1, F.lit(1.0)).otherwise(F.lit(ag))
+        line = {"p": m["p"] * keep, "q": m["q"] * keep + a["fast"] * add, "r": m["r"] * keep - a["slow"] * add, "s": m["s"] * keep + (b["fast"] - b["slow"]) * add}
+        return F.struct(*[a[c].alias(f"a_{c}") for c in _AVERAGES], *[b[c].alias(f"b_{c}") for c in _AVERAGES], *[v.alias(c) for c, v in line.items()])
+
+    same_map = F.struct(*[F.lit(1.0).alias(f"a_{c}") for c in _AVERAGES], *[zero.alias(f"b_{c}") for c in _AVERAGES], F.lit(1.0).alias("p"), zero.alias("q"), zero.alias("r"), zero.alias("s"))
+    maps = numbered.select(*by, "_slice", F.aggregate("_in", same_map, mapped).alias("m"))
+
+    def onward(states: Column, e: Column) -> Column:
+        z, m = F.element_at(states, -1)["z"], e["m"]
+        after = [(m[f"a_{c}"] * z[c] + m[f"b_{c}"]).alias(c) for c in _AVERAGES]
+        line = (m["p"] * z["line"] + m["q"] * z["fast"] + m["r"] * z["slow"] + m["s"]).alias("line")
+        return F.concat(states, F.array(F.struct(e["_slice"].alias("s"), F.struct(*after, line).alias("z"))))
+
+    nothing = F.struct(*[zero.alias(c) for c in (*_AVERAGES, "line")])
+    series = maps.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_slice", "m"))).alias("e"))
+    states = F.aggregate("e", F.array(F.struct(F.get("e", F.lit(0))["_slice"].alias("s"), nothing.alias("z"))), onward)
+    starts = series.withColumn("_s", states).select(*by, F.explode(F.arrays_zip(F.col("e._slice").alias("_slice"), F.slice(F.col("_s.z"), F.lit(1), F.size("e")).alias("z"))).alias("_e"))
+    starts = starts.select(*_twins(by, {"_slice": F.col("_e._slice")}), F.col("_e.z").alias("_z"))
+
+    def stepped(out: Column, r: Column) -> Column:
+        z = F.when(F.size(out) == 0, F.col("_z")).otherwise(F.element_at(out, -1)["z"])
+        v = taken(r)
+        now = {c: F.when(r["k"] < start[c], zero).when(r["k"] == start[c], v[c]).otherwise(z[c] * (1 - rate[c]) + v[c] * rate[c]) for c in _AVERAGES}
+        macd = now["fast"] - now["slow"]
+        line = F.when(r["k"] < slow - 1, zero).when(r["k"] == slow - 1, macd).otherwise(z["line"] * (1 - ag) + macd * ag)
+        return F.concat(out, F.array(F.struct(r["k"].alias("k"), F.struct(*[now[c].alias(c) for c in _AVERAGES], line.alias("line")).alias("z"))))
+
+    state = "struct<" + ",".join(f"{c}:double" for c in (*_AVERAGES, "line")) + ">"
+    full = numbered.join(starts, _same(by)).withColumn("_out", F.aggregate("_in", F.array().cast(f"array<struct<k:bigint,z:{state}>>"), stepped))
+    flat = full.select(*by, F.explode(F.arrays_zip("rows", "_out")).alias("e")).select(*by, F.col("e.rows.t").alias(order), F.col("e.rows.x").alias(x), F.col("e._out.k").alias("k"), F.col("e._out.z").alias("z"))
+    price, down = F.col(x), F.col("z.down")
+    return flat.select(
+        *by, order, x,
+        F.when(F.col("k") >= n, F.when(down == 0, F.lit(1.0)).otherwise(1 - F.try_divide(F.lit(1.0), 1 + F.try_divide(F.col("z.up"), down)))).alias("rsi"),
+        F.when(F.col("k") >= n, F.try_divide(F.col("z.range"), price)).alias("atr"),
+        F.when(F.col("k") >= slow + signal - 2, F.try_divide(F.col("z.fast") - F.col("z.slow") - F.col("z.line"), price)).alias("macd_diff"),
     )
+
+
+def _twins(by: Sequence[str], more: dict[str, Column] | None = None) -> list[Column]:
+    """The keys of a slice under names of their own, for :func:`_same`."""
+    return [*[F.col(c).alias(f"_k_{c}") for c in by], (more or {}).get("_slice", F.col("_slice")).alias("_k__slice")]
+
+
+def _same(by: Sequence[str]) -> Column:
+    same = F.col("_slice") == F.col("_k__slice")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    return same

@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pitframe.operators import asof, windows
+from pitframe.operators import asof, scans, windows
 from pitframe.operators.windows import Series
 from pitframe.plans.registry import Registry
 from pitframe.sources import views as v
@@ -229,10 +229,15 @@ def turnover(spark, d):
     return p.select("symbol", "date", "pos", S.turnover_cost(F.col("pos"), 0.001).alias("cost"))
 
 
-@query("w22_rank_share", with_views("scores") + """select id, round((rank() over (order by p) + (count(*) over (partition by p) - 1) / 2.0) / count(*) over (), 8) as share from scores""")
+@query("w22_rank_share", with_views("scores") + """select id, round(case when p is not null then (rank() over (order by p) + (count(*) over (partition by p) - 1) / 2.0) / count(p) over () end, 8) as share from scores""")
 def rank_share(spark, d):
-    s = v.scores(spark, d).withColumn("k", F.lit(0))
-    return s.select("id", F.round(windows.rank_share(["k"], F.col("p")), 8).alias("share"))
+    return scans.rank_shares(v.scores(spark, d), "p", "share").select("id", F.round("share", 8).alias("share"))
+
+
+@query("w23_rank_of_all", PX + "select symbol, date, row_number() over (order by close desc, symbol, date) as rank from prices")
+def rank_of_all(spark, d):
+    p = v.prices(spark, d).select("symbol", "date", (-F.col("close")).alias("down"))
+    return scans.row_ranks(p, ["down", "symbol", "date"], "rank").select("symbol", "date", "rank")
 
 
 @query("w23_row_rank", PX + "select date, symbol, row_number() over (partition by date order by close desc, symbol) as rank from prices")
@@ -309,22 +314,20 @@ def oscillators(spark, d):
     return got.select("symbol", "date", *[F.round(c, 6).alias(c) for c in ("rsi", "atr", "macd_diff")])
 
 
-@query("w5_w6_w7_all_series", None)
+@query("w5_w6_w7_all_series", _EMA.replace("select symbol, date, round(case", "select symbol, date, round(close, 6) as close, round(case"))
 def oscillators_all(spark, d):
-    return windows.oscillators(v.prices(spark, d), ["symbol"], "date", "close")
-
-
-_PROBE = "select distinct cast(ts as date) as day from events"
+    """The same averages, dealt into slices of a month."""
+    got = windows.oscillators(v.prices(spark, d), ["symbol"], "date", "close", every="month")
+    return got.select("symbol", "date", *[F.round(c, 6).alias(c) for c in ("close", "rsi", "atr", "macd_diff")])
 
 
-@query("j3_price_at_or_before", PX + """, days as (select distinct s.symbol, cast(o_orderdate as date) as day from orders, (select distinct symbol from prices) s)
+@query("j3_price_at_or_before", PX + """, days as (select distinct p_type as symbol, cast(l_shipdate as date) as day from lineitem join part on l_partkey = p_partkey)
   select d.symbol, d.day, p.close from days d asof left join prices p on p.symbol = d.symbol and d.day >= p.date""")
 def price_at(spark, d):
-    p = v.prices(spark, d)
-    symbols = p.groupBy("symbol").agg(F.lit(1).alias("one"))
-    days = v.table(spark, d, "orders").select(F.col("o_orderdate").cast("date").alias("day"), F.lit(1).alias("one")).distinct()
-    probes = days.join(F.broadcast(symbols), "one").select("symbol", "day")
-    return asof.asof_backward(probes, p, ["symbol"], "day", "date", ["close"]).select("symbol", "day", "close")
+    """Closes in force on the days on which something of the symbol was shipped."""
+    shipped = v.table(spark, d, "lineitem").select(F.col("l_partkey").alias("p_partkey"), F.col("l_shipdate").cast("date").alias("day"))
+    probes = shipped.join(v.table(spark, d, "part").select("p_partkey", F.col("p_type").alias("symbol")), "p_partkey").select("symbol", "day").distinct()
+    return asof.asof_backward(probes, v.prices(spark, d), ["symbol"], "day", "date", ["close"]).select("symbol", "day", "close")
 
 
 @query("j4_regime_in_force", with_views("regimes") + """, days as (select distinct cast(o_orderdate as date) as day from orders)
@@ -332,8 +335,8 @@ def price_at(spark, d):
 def regime_at(spark, d):
     from pitframe.sources.seeds import regime_hypotheses
 
-    days = v.table(spark, d, "orders").select(F.col("o_orderdate").cast("date").alias("day"), F.lit(0).alias("k")).distinct()
-    got = asof.asof_backward(days, v.regimes(spark, d).withColumn("k", F.lit(0)), ["k"], "day", "date", ["regime_id"])
+    days = v.table(spark, d, "orders").select(F.col("o_orderdate").cast("date").alias("day")).distinct()
+    got = asof.asof_backward(days, v.regimes(spark, d), [], "day", "date", ["regime_id"])
     bias = F.broadcast(regime_hypotheses(spark).select("regime_id", "gold_bias"))
     return got.join(bias, "regime_id", "left").select("day", F.coalesce("gold_bias", F.lit("neutral")).alias("bias"))
 
