@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -99,6 +100,40 @@ def rebalance(shares: dict[str, float], cash: float, price: dict[str, float], ta
     return cash, orders
 
 
+@dataclass
+class Account:
+    """One book from day to day: cash, shares, and how many days ago it last traded."""
+
+    horizon: int
+    bench: str
+    cash: float = STARTING_CASH
+    cost_bps: float = COST_BPS
+    shares: dict[str, float] = field(default_factory=dict)
+    since: int | None = None
+    stance: str = "keep"
+    budget: float = GOLD_BUDGET["keep"]
+
+    @property
+    def begun(self) -> bool:
+        return self.since is not None
+
+    def worth(self, price: dict[str, float]) -> float:
+        return self.cash + sum(n * price[s] for s, n in self.shares.items() if price.get(s) is not None)
+
+    def day(self, price: dict[str, float], sleeve: dict[str, float] | None, stance: str | None, budget: float | None) -> list[tuple]:
+        """The day's orders: a book trades on its first day with a sleeve, and then on such days a horizon or more after it last did."""
+        if self.begun:
+            self.since += 1
+        if sleeve is None or self.begun and self.since < self.horizon:
+            return []
+        worth = self.worth(price)
+        self.stance, self.budget, self.since = stance, budget, 0
+        targets = {s: worth * budget * w for s, w in sleeve.items()}
+        targets[self.bench] = targets.get(self.bench, 0.0) + worth * (1 - budget)
+        self.cash, orders = rebalance(self.shares, self.cash, price, targets, self.cost_bps)
+        return orders
+
+
 _EVENT = "horizon_days int, seq int, date date, kind string, symbol string, side string, shares double, price double, dollars double, fee double, nav double, cash double, stance string, gold_budget double, benchmark_gold double, benchmark_spx double"
 
 
@@ -116,32 +151,22 @@ def simulate(days: DataFrame, bench: str, starting_cash: float = STARTING_CASH,
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("date", ignore_index=True)
         h = int(part["horizon_days"].iloc[0])
-        scored = part["sleeve"].notna()
-        if not scored.any():
-            return pd.DataFrame(columns=[c.split()[0] for c in _EVENT.split(", ")])
-        part = part.iloc[int(scored.idxmax()) :].reset_index(drop=True)
-        shares: dict[str, float] = {}
-        cash, last, seq, call, budget = starting_cash, None, 0, "keep", GOLD_BUDGET["keep"]
-        out = []
-        start_gold, start_spx = part["gold"].iloc[0], part["spx"].iloc[0]
-        gold = spx = None
-        for i, row in enumerate(part.itertuples(index=False)):
-            price = dict(row.prices) if row.prices is not None else {}
-            mark = lambda: cash + sum(n * price[s] for s, n in shares.items() if price.get(s) is not None)  # noqa: B023, E731
-            if row.sleeve is not None and (last is None or i - last >= h):
-                worth = mark()
-                call, budget = row.stance, row.gold_budget
-                targets = {s: worth * budget * w for s, w in dict(row.sleeve).items()}
-                targets[bench] = targets.get(bench, 0.0) + worth * (1 - budget)
-                cash, orders = rebalance(shares, cash, price, targets, cost_bps)
-                for o in orders:
-                    seq += 1
-                    out.append((h, seq, row.date, "order", *o, None, None, None, None, None, None))
-                last = i
+        account, seq, out = Account(h, bench, starting_cash, cost_bps), 0, []
+        start_gold = start_spx = gold = spx = None
+        for row in part.itertuples(index=False):
+            price, sleeve = dict(row.prices) if row.prices is not None else {}, None if row.sleeve is None else dict(row.sleeve)
+            if not account.begun and sleeve is None:
+                continue
+            if not account.begun:
+                start_gold, start_spx = row.gold, row.spx
+            for o in account.day(price, sleeve, row.stance, row.gold_budget):
+                seq += 1
+                out.append((h, seq, row.date, "order", *o, None, None, None, None, None, None))
             gold = row.gold if pd.notna(row.gold) else gold
             spx = row.spx if pd.notna(row.spx) else spx
-            out.append((h, None, row.date, "nav", None, None, None, None, None, None, mark(), cash, call, budget, starting_cash * gold / start_gold, starting_cash * spx / start_spx))
-        for s, n in sorted(shares.items()):
+            nav = account.worth(price)
+            out.append((h, None, row.date, "nav", None, None, None, None, None, None, nav, account.cash, account.stance, account.budget, starting_cash * gold / start_gold, starting_cash * spx / start_spx))
+        for s, n in sorted(account.shares.items()):
             if n > 1e-8:
                 out.append((h, None, part["date"].iloc[-1], "position", s, None, n, None, None, None, None, None, None, None, None, None))
         return pd.DataFrame(out, columns=[c.split()[0] for c in _EVENT.split(", ")])

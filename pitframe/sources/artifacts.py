@@ -26,6 +26,22 @@ class Settings:
         return cls(**{k: kinds.get(k, str)(v) for k, v in given.items() if v is not None})
 
 
+def _at(spark: SparkSession, path: str):
+    """A path and its file system, whichever Spark reads it by."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    found, files = _at(spark, path)
+    return files.exists(found)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    found, files = _at(spark, path)
+    files.delete(found, True)
+
+
 def model_path(root: str, entity: str, horizon: int, kind: str = "clf") -> str:
     return f"{root}/{entity}_{kind}_h{horizon}"
 
