@@ -14,12 +14,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitframe.llm.chunks import ChunkEncoder, slices
+from pitframe.llm.chunks import MOST_CHUNKS, ChunkEncoder, slices
 
 MAGIC = b"PKID"
 #: Ids of a block, a multiple of 8, and of an image, about.
 BLOCK = 4096
 IMAGE_IDS = 1 << 20
+#: Parts that a worker remembers, and those that it keeps when it has met that many.
+REMEMBERED, KEPT = 1_200_000, 600_000
 _HEAD = struct.Struct("<4sHHIQQQQ")  # magic, version, width, block, first id's place, ids, documents, blocks
 
 
@@ -94,8 +96,8 @@ class Image:
 
 
 @lru_cache(maxsize=2)
-def _encoder(path: str) -> ChunkEncoder:
-    """A worker's encoder: ``tokenizers`` on the parts that it has not met before."""
+def _encoder(path: str, most: int = MOST_CHUNKS, keep: int = 0) -> ChunkEncoder:
+    """A worker's encoder: ``tokenizers`` on the parts that it does not remember; of ``most``, it keeps ``keep`` when it starts anew."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
@@ -126,7 +128,7 @@ def _encoder(path: str) -> ChunkEncoder:
                 out += own
         return counts, np.concatenate([np.empty(0, np.int32), *out])
 
-    return ChunkEncoder(encode)
+    return ChunkEncoder(encode, most, keep)
 
 
 def write_ids(docs: DataFrame, tokenizer: str, vocab: int, end_id: int, path: str) -> None:
@@ -146,7 +148,7 @@ def write_ids(docs: DataFrame, tokenizer: str, vocab: int, end_id: int, path: st
     rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, shard = _encoder(tokenizer), TaskContext.get().partitionId()
+        encode, shard = _encoder(tokenizer, REMEMBERED, KEPT), TaskContext.get().partitionId()
         first, image, held = 0, 0, []
 
         def flush() -> pd.DataFrame:

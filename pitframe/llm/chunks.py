@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -50,14 +51,17 @@ class ChunkEncoder:
     text's end, the text is encoded whole instead.
     """
 
-    def __init__(self, encode: Encoder, most: int = MOST_CHUNKS) -> None:
-        self.encode, self.most = encode, most
+    def __init__(self, encode: Encoder, most: int = MOST_CHUNKS, keep: int = 0) -> None:
+        self.encode, self.most, self.keep = encode, most, keep
+        self.codes, self.tables = _Codes(), [_Table(), _Table()]
         self._reset()
 
     def _reset(self) -> None:
-        self.codes = _Codes()
+        """Forgets all but the ``keep`` parts that came first, which common ones do."""
+        keep = min(self.keep, len(self.codes), self.tables[1].n)
+        self.codes = _Codes(islice(self.codes.items(), keep))
         self.first = _Codes()
-        self.tables = [_Table(), _Table()]
+        self.tables = [_Table(), self.tables[1].cut(keep)]
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Id counts per text, and all ids."""
@@ -116,6 +120,14 @@ class _Table:
         self.clean[self.n : n] = ok
         return [lead + c if k or not lead else "" for c, k in zip(new, ok)]
 
+    def cut(self, n: int) -> _Table:
+        """The table of the first ``n`` parts."""
+        out = _Table()
+        out.n, out.used = n, int(self.starts[n - 1] + self.lens[n - 1]) if n else 0
+        if n:
+            out.starts, out.lens, out.clean, out.flat = self.starts[:n].copy(), self.lens[:n].copy(), self.clean[:n].copy(), self.flat[: out.used].copy()
+        return out
+
     def extend(self, counts: np.ndarray, flat: np.ndarray) -> None:
         n = self.n + len(counts)
         self.lens[self.n : n] = counts
