@@ -84,24 +84,44 @@ def bootstrap(spark: SparkSession, x: Sequence[float], kind: str = "mean", block
     return got.select(F.lit(statistic(data, kind)).alias("point"), "low", "high", F.lit(len(data)).alias("n"))
 
 
-def grouped_bootstrap(df: DataFrame, by: Sequence[str], order: str, x: str, kind: str, horizon: int, reps: int = REPLICATIONS, level: float = 0.95, seed: int = 42) -> DataFrame:
-    """As :func:`bootstrap`, for many series at once: each series with its block length, one task per group of series."""
+def grouped_bootstrap(df: DataFrame, by: Sequence[str], order: str, x: str, kind: str, horizon: int, reps: int = REPLICATIONS, level: float = 0.95, seed: int = 42, moving: bool = False, draws: int = 200) -> DataFrame:
+    """As :func:`bootstrap`, for many series at once: each with its block length; ``moving`` draws whole blocks of it, without wrapping.
+
+    ``draws`` replications of a series are a row of work, so those of one
+    series are dealt over tasks; each is seeded by its number alone.
+    """
     packed = df.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, F.col(x).cast("double").alias("v")))), lambda r: r["v"]).alias("x"))
+    draw = moving_indices if moving else stationary_indices
 
-    @F.pandas_udf("struct<point: double, low: double, high: double, n: int>")
-    def interval(xs: pd.Series) -> pd.DataFrame:
-        out = []
-        for raw in xs:
-            data = np.array(raw, float)
-            if len(data) < LEAST_FOR_CI or not np.isfinite(data).all():
-                out.append((math.nan, math.nan, math.nan, len(data)))
-                continue
-            rng, block = np.random.default_rng(seed), block_length(len(data), horizon)
-            s = np.array([statistic(data[stationary_indices(len(data), block, rng)], kind) for _ in range(reps)])
-            out.append((statistic(data, kind), *np.percentile(s, [50 * (1 - level), 50 * (1 + level)]), len(data)))
-        return pd.DataFrame(out, columns=["point", "low", "high", "n"])
+    def usable(raw) -> np.ndarray | None:
+        data = np.array(raw, float)
+        return data if len(data) >= LEAST_FOR_CI and np.isfinite(data).all() else None
 
-    return packed.withColumn("ci", interval("x")).select(*by, "ci.*")
+    @F.pandas_udf("double")
+    def point(xs: pd.Series) -> pd.Series:
+        found = [usable(raw) for raw in xs]
+        return pd.Series([math.nan if data is None else statistic(data, kind) for data in found], dtype=float)
+
+    @F.pandas_udf("array<double>")
+    def drawn(xs: pd.Series, first: pd.Series) -> pd.Series:
+        out = []
+        for raw, lo in zip(xs, first):
+            data = usable(raw)
+            block = block_length(len(raw), horizon)
+            out.append([] if data is None else [statistic(data[draw(len(data), block, np.random.default_rng([seed, i]))], kind) for i in range(lo, min(reps, lo + draws))])
+        return pd.Series(out)
+
+    work = packed.withColumn("_lo", F.explode(F.sequence(F.lit(0), F.lit(reps - 1), F.lit(draws))))
+    work = work.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by, "_lo")
+    a = (1 - level) / 2
+    spans = work.select(*[F.col(c).alias(f"_k_{c}") for c in by], F.explode(drawn("x", "_lo")).alias("s")).groupBy(*[f"_k_{c}" for c in by])
+    spans = spans.agg(F.percentile("s", F.lit(a)).alias("low"), F.percentile("s", F.lit(1 - a)).alias("high"))
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    nan = F.lit(math.nan)
+    got = packed.select(*by, point("x").alias("point"), F.size("x").alias("n")).join(spans, same, "left")
+    return got.select(*by, "point", F.coalesce("low", nan).alias("low"), F.coalesce("high", nan).alias("high"), "n")
 
 
 def diebold_mariano(df: DataFrame, by: Sequence[str], order: str, model: str, baseline: str, h: int = 1, alternative: str = "two-sided") -> DataFrame:
@@ -179,3 +199,12 @@ def interval_text(low: Column, high: Column, null_value: float, name: str) -> Co
         .when(inside, F.concat(F.lit(f"{name}: the interval "), shown, F.lit(f" holds {null_value:g}.")))
         .otherwise(F.concat(F.lit(f"{name}: the interval "), shown, F.lit(f" lies away from {null_value:g}.")))
     )
+
+
+def dm_text(p_value: Column, mean_loss_diff: Column, model: str, baseline: Column | str) -> Column:
+    """What a test of equal accuracy says: who loses less, by how much, and how surely (at 1, 5 and 10 %)."""
+    base = F.lit(baseline) if isinstance(baseline, str) else baseline
+    sure = F.when(p_value < 0.01, "surely so: p below 0.01").when(p_value < 0.05, "p below 0.05").when(p_value < 0.10, "perhaps: p below 0.10").otherwise("which may be chance")
+    better = F.when(mean_loss_diff < 0, "less").otherwise("more")
+    told = F.concat(F.lit(f"{model} loses "), F.format_string("%.4f ", F.abs(mean_loss_diff)), better, F.lit(" a period than "), base, F.lit(" ("), sure, F.format_string(", p = %.3f).", p_value))
+    return F.when(p_value.isNull() | F.isnan(p_value), F.concat(F.lit(f"{model} against "), base, F.lit(": too few observations."))).otherwise(told)

@@ -11,7 +11,7 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -50,14 +50,18 @@ def predicted(model: PipelineModel, rows: DataFrame, out: str = "predicted") ->
     return model.transform(rows).select(*rows.columns, F.col("prediction").alias(out))
 
 
-def train(rows: DataFrame, features: Sequence[str], label: str, path: str | None = None, least: int = LEAST_TRAIN, **kw) -> tuple[str, PipelineModel | None]:
-    """Status and model: no_data, insufficient_data, or trained (and saved at ``path``)."""
+def train(rows: DataFrame, features: Sequence[str], label: str, path: str | None = None, least: int = LEAST_TRAIN, learner: Callable[..., Pipeline] | None = None, **kw) -> tuple[str, PipelineModel | None]:
+    """Status and model: no_data, insufficient_data, or trained (and saved at ``path``).
+
+    ``learner`` makes the pipeline of features and label, :func:`classifier`
+    by default; :func:`logistic` and :func:`regressor` are others.
+    """
     n, lo, hi = rows.agg(F.count("*"), F.min(label), F.max(label)).first()
     if not n:
         return "no_data", None
     if n < least or lo == hi:
         return "insufficient_data", None
-    model = classifier(features, label, **kw).fit(rows)
+    model = (learner or classifier)(features, label, **kw).fit(rows)
     if path:
         model.write().overwrite().save(path)
     return "trained", model
@@ -134,14 +138,28 @@ class Logit:
         return 1 / (1 + np.exp(-np.clip(self._design(x) @ self.w, -30, 30)))
 
 
-def fold_scores(rows: DataFrame, features: Sequence[str], label: str, by: Sequence[str] = ("fold",), keep: Sequence[str] = ("rn",), learners: Mapping[str, Callable] | None = None) -> DataFrame:
+def chosen(fit: pd.DataFrame, features: Sequence[str], label: str, k: int, least: int = 30) -> list[str]:
+    """The ``k`` features of most absolute correlation with the label in ``fit``, ties by name from the last; the first ``k`` where none has any.
+
+    A feature needs ``least`` rows on which both are known, and more than one value on these.
+    """
+    found = []
+    for c in features:
+        pair = fit[[c, label]].astype(float).replace([np.inf, -np.inf], np.nan).dropna()
+        if len(pair) >= least and pair[c].std() > 0 and pair[label].std() > 0:
+            found.append((abs(float(np.corrcoef(pair[c], pair[label])[0, 1])), c))
+    return [c for _, c in sorted(found, reverse=True)[:k]] or list(features)[:k]
+
+
+def fold_scores(rows: DataFrame, features: Sequence[str], label: str, by: Sequence[str] = ("fold",), keep: Sequence[str] = ("rn",), learners: Mapping[str, Callable] | None = None, choose: int | None = None) -> DataFrame:
     """Out-of-sample probabilities of each fold's test rows: ``by``, ``keep``, ``y``, and a column per learner.
 
     ``learners`` names what makes each learner, an object with ``fit(x, y,
     binary)`` and ``predict(x)``; by default ``prob`` by :class:`Stumps`.
     ``rows`` has the fold's rows with ``part``; a fold is a window of rows, so
     a task's group is bounded.  Folds whose training rows have one class are
-    left out.
+    left out.  With ``choose``, a fold uses that many features only, those
+    most correlated with the label on its own training rows.
     """
     learners = dict(learners or {"prob": Stumps})
     kinds = dict(rows.dtypes)
@@ -151,7 +169,8 @@ def fold_scores(rows: DataFrame, features: Sequence[str], label: str, by: Sequen
         fit, test = part[part["part"] == "train"], part[part["part"] == "test"]
         if fit[label].nunique() < 2 or test.empty:
             return pd.DataFrame(columns=[*by, *keep, "y", *learners])
-        x, y, at = fit[list(features)].to_numpy(float), fit[label].to_numpy(float), test[list(features)].to_numpy(float)
+        names = chosen(fit, features, label, choose) if choose else list(features)
+        x, y, at = fit[names].to_numpy(float), fit[label].to_numpy(float), test[names].to_numpy(float)
         return test[[*by, *keep]].assign(y=test[label].astype(int), **{c: make().fit(x, y, True).predict(at) for c, make in learners.items()})
 
     return spread(rows.select(*by, *keep, "part", label, *features), *by).groupBy(*by).applyInPandas(run, schema)
@@ -163,7 +182,7 @@ def fold_metrics(scored: DataFrame, by: Sequence[str] = ("fold",)) -> DataFrame:
     return auc(scored, "y", "prob", by).join(scored.groupBy(*by).agg(accuracy(F.col("y"), F.col("prob")).alias("accuracy")), list(by))
 
 
-def asof_scores(frame: DataFrame, features: Sequence[str], every: int | None = None, train_rows: int = ASOF_TRAIN, least: int = ASOF_LEAST) -> DataFrame:
+def asof_scores(frame: DataFrame, features: Sequence[str], every: int | None = None, train_rows: int = ASOF_TRAIN, least: int = ASOF_LEAST, binary: Callable = Stumps, numeric: Callable = Stumps) -> DataFrame:
     """Scores of chosen dates from models that know only rows an embargo before.
 
     ``frame`` has ``entity, horizon_days, rn, date, y, alpha, ret`` and the
@@ -173,12 +192,12 @@ def asof_scores(frame: DataFrame, features: Sequence[str], every: int | None = N
     row ``rn`` is fitted on the rows from ``rn - horizon - train_rows`` to
     ``rn - horizon - 1``.  Each row joins the few tasks whose window holds it,
     found by arithmetic and not by a search; a task's group is the window.
-    Tasks with too few rows or one class give no score.
+    Tasks with too few rows or one class give no score.  ``binary`` makes the
+    learner of the probability, ``numeric`` that of returns.
     """
     h = F.col("horizon_days")
     step = F.lit(every) if every else h
-    top = frame.groupBy("entity", "horizon_days").agg(F.max("rn").alias("_top"))
-    rows = frame.join(F.broadcast(top), ["entity", "horizon_days"])
+    rows = frame.withColumn("_top", F.max("rn").over(Window.partitionBy("entity", "horizon_days")))
     # Tasks are rows t with t % step = 0, or the last; this row trains t in rn + h + 1 .. rn + h + train_rows.
     first = (F.floor((F.col("rn") + h) / step) + 1) * step
     last = F.least(F.col("rn") + h + train_rows, F.col("_top"))
@@ -196,9 +215,9 @@ def asof_scores(frame: DataFrame, features: Sequence[str], every: int | None = N
         if at.empty or len(fit) < least or fit["y"].nunique() < 2:
             return pd.DataFrame(columns=out)
         x, one = fit[names].to_numpy(float), at[names].to_numpy(float)[:1]
-        p = Stumps().fit(x, fit["y"].to_numpy(float), True).predict(one)[0]
-        ret = Stumps().fit(x, fit["ret"].to_numpy(float), False).predict(one)[0]
-        alpha = Stumps().fit(x, fit["alpha"].to_numpy(float), False).predict(one)[0]
+        p = binary().fit(x, fit["y"].to_numpy(float), True).predict(one)[0]
+        ret = numeric().fit(x, fit["ret"].to_numpy(float), False).predict(one)[0]
+        alpha = numeric().fit(x, fit["alpha"].to_numpy(float), False).predict(one)[0]
         return pd.DataFrame([(at["entity"].iloc[0], at["horizon_days"].iloc[0], at["date"].iloc[0], p, ret, alpha, len(fit))], columns=out)
 
     schema = "entity string, horizon_days int, date date, prob double, expected_return double, expected_alpha double, n_train int"

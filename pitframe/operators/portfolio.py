@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -107,6 +107,120 @@ def hierarchical_parity(cov: np.ndarray) -> np.ndarray:
     return weights / weights.sum()
 
 
+def spanning_forest(edges: DataFrame, parts: int = 32) -> DataFrame:
+    """The least spanning forest of ``a, b, d`` (each pair once, ``a < b``): those of tasks' edges, then of groups of these, then of all.
+
+    An edge that is not in the forest of some of the edges is not in that of
+    all, so each step passes on fewer edges than there are names.  Equal
+    distances go by names.
+    """
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in edges.select("a", "b", "d").schema)
+
+    def least(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["d", "a", "b"], ignore_index=True)
+        root: dict = {}
+
+        def top(x):
+            while (up := root.get(x, x)) != x:
+                root[x] = root.get(up, up)
+                x = up
+            return x
+
+        keep = []
+        for a, b in zip(rows["a"], rows["b"]):
+            x, y = top(a), top(b)
+            keep.append(x != y)
+            if x != y:
+                root[y] = x
+        return rows[keep]
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            held = least(batch if held is None else pd.concat([held, batch]))
+        if held is not None:
+            yield held
+
+    found = edges.select("a", "b", "d").mapInPandas(task, schema)
+    grouped = found.groupBy(F.pmod(F.spark_partition_id(), F.lit(parts)).alias("_g"))
+    return grouped.applyInPandas(least, schema).groupBy(F.lit(True).alias("_all")).applyInPandas(least, schema)
+
+
+def leaf_order(tree: DataFrame) -> DataFrame:
+    """``name, place``: the leaves of the single-linkage tree, from the edges of a spanning tree, which are one fewer than its names.
+
+    Clusters are joined by growing distance; the one with the least name comes first.
+    """
+    kind = tree.schema["a"].dataType.simpleString()
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        groups = {n: [n] for n in [*rows["a"], *rows["b"]]}
+        for r in rows.sort_values(["d", "a", "b"]).itertuples():
+            x, y = sorted((groups[r.a], groups[r.b]), key=lambda g: g[0])
+            both = x + y
+            for n in both:
+                groups[n] = both
+        order = next(iter(groups.values())) if groups else []
+        return pd.DataFrame({"name": order, "place": range(len(order))})
+
+    return tree.groupBy(F.lit(True).alias("_all")).applyInPandas(run, f"name {kind}, place int")
+
+
+def hierarchical_weights(returns: DataFrame, name: str = "symbol", ret: str = "ret", at: str = "date") -> DataFrame:
+    """``name, weight, place``: hierarchical risk parity of one book whose names have a return on the same times.
+
+    Covariances, distances and the risk of every half of every split are
+    tables of pairs; the single-linkage order comes from their spanning tree.
+    No task or driver holds a matrix of all names: the largest group is the
+    tree's edges, one per name.  A book of one name has all weight; one of
+    none has no rows.
+    """
+    cov = covariance(returns, at, name, ret).withColumn("cov", F.coalesce("cov", F.lit(0.0)))
+    var = cov.where("a = b").select(F.col("a").alias("name"), F.greatest("cov", F.lit(1e-16)).alias("var"))
+    side = lambda c: var.select(F.col("name").alias(c), F.col("var").alias(f"v{c}"))
+    pairs = cov.select("a", "b", "cov").join(side("a"), "a").join(side("b"), "b")
+    corr = F.least(F.greatest(F.col("cov") / F.sqrt(F.col("va") * F.col("vb")), F.lit(-1.0)), F.lit(1.0))
+    order = leaf_order(spanning_forest(pairs.where("a < b").select("a", "b", F.sqrt((1 - corr) / 2).alias("d"))))
+    placed = var.join(order, "name", "left").withColumn("place", F.coalesce("place", F.lit(0)))
+    n = placed.agg(F.count("*").alias("n")).first()["n"]
+    if not n:
+        return placed.select("name", F.lit(1.0).alias("weight"), "place").withColumnRenamed("name", name)
+    at_level = _halves(placed, n)
+    inverse = at_level.select("name", "half", (1 / F.col("var")).alias("i"))
+    total = inverse.groupBy("half").agg(F.sum("i").alias("t"))
+    left, right = (inverse.select(F.col("name").alias(c), "half", F.col("i").alias(f"i{c}")) for c in "ab")
+    inside = pairs.select("a", "b", "cov").join(left, "a").join(right, ["b", "half"])
+    risk = inside.groupBy("half").agg(F.sum(F.col("ia") * F.col("ib") * F.col("cov")).alias("r")).join(total, "half").select("half", (F.col("r") / F.col("t") / F.col("t")).alias("risk"))
+    # A half's share is what its twin has of the risk of both.
+    twin = risk.select(F.struct(F.col("half.level").alias("level"), F.col("half.whole").alias("whole"), (1 - F.col("half.side")).alias("side")).alias("half"), F.col("risk").alias("other"))
+    both = risk.join(twin, "half")
+    share = F.when(F.col("half.side") == 0, 1 - F.col("risk") / F.greatest(F.col("risk") + F.col("other"), F.lit(1e-16))).otherwise(F.col("other") / F.greatest(F.col("risk") + F.col("other"), F.lit(1e-16)))
+    shares = at_level.join(both.select("half", share.alias("share")), "half").groupBy("name").agg(F.collect_list("share").alias("s"))
+    raw = placed.join(shares, "name", "left").select("name", "place", F.aggregate(F.coalesce("s", F.array().cast("array<double>")), F.lit(1.0), lambda w, x: w * x).alias("w"))
+    whole = raw.agg(F.sum("w").alias("t")).scalar()
+    return raw.select(F.col("name").alias(name), (F.col("w") / whole).alias("weight"), "place")
+
+
+def _halves(placed: DataFrame, n: int) -> DataFrame:
+    """``name, var, half``: the splits of the order that a name takes part in, a row for each: level, the first place of what is split, which half (0 or 1)."""
+    kind = placed.schema["name"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for name, var, place in zip(batch["name"], batch["var"], batch["place"]):
+                lo, hi, level = 0, n, 0
+                while hi - lo > 1:
+                    mid = lo + (hi - lo) // 2
+                    side = int(place >= mid)
+                    out.append((name, var, level, lo, side))
+                    lo, hi, level = (mid, hi, level + 1) if side else (lo, mid, level + 1)
+            yield pd.DataFrame(out, columns=["name", "var", "level", "whole", "side"])
+
+    rows = placed.select("name", "var", "place").mapInPandas(run, f"name {kind}, var double, level int, whole int, side int")
+    return rows.select("name", "var", F.struct("level", "whole", "side").alias("half"))
+
+
 def mean_variance(cov: np.ndarray, mu: np.ndarray, rounds: int = 2000) -> np.ndarray:
     """Long-only weights with sum 1 that maximise mu.w - w.C.w / 2, by projected gradient."""
     n = len(mu)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 from pitframe.operators.windows import Series
 
 LEAST_ROWS = 100
+#: The least variance of a state, and the gain in likelihood below which fitting ends.
+LEAST_VAR, CLOSE = 1e-3, 1e-4
 #: Regime ids of the rules' names.
 CRISIS, TIGHTENING, RECESSION, EASING = 3, 1, 4, 2
 
@@ -45,57 +48,104 @@ def features(prices: DataFrame, roles: Mapping[str, str], market: str = "market"
     return out.na.drop("all", subset=list(made)).withColumn(market, F.lit("all"))
 
 
-def _fit(x: np.ndarray, states: int, rounds: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Most likely states and their posteriors under a Gaussian HMM with diagonal covariances, by EM."""
-    n, d = x.shape
-    rng = np.random.default_rng(seed)
-    means = x[rng.choice(n, states, replace=False)]
-    for _ in range(20):
-        home = ((x[:, None, :] - means[None]) ** 2).sum(2).argmin(1)
-        means = np.array([x[home == k].mean(0) if (home == k).any() else means[k] for k in range(states)])
-    var = np.array([x[home == k].var(0) + 1e-2 if (home == k).sum() > 1 else np.ones(d) for k in range(states)])
-    start, move = np.full(states, 1 / states), np.full((states, states), 0.1 / max(1, states - 1)) + np.eye(states) * 0.9
-    move /= move.sum(1, keepdims=True)
-    old = -np.inf
-    for _ in range(rounds):
-        logb = -0.5 * (((x[:, None, :] - means[None]) ** 2 / var[None]).sum(2) + np.log(2 * np.pi * var).sum(1)[None])
-        b = np.exp(logb - logb.max(1, keepdims=True))
-        alpha, scale = np.empty((n, states)), np.empty(n)
-        alpha[0] = start * b[0]
-        for t in range(n):
+@dataclass
+class Hidden:
+    """Gaussian hidden Markov models with diagonal covariances, one for each start: axes are starts, states, features."""
+
+    start: np.ndarray
+    move: np.ndarray
+    mean: np.ndarray
+    var: np.ndarray
+
+    @classmethod
+    def begun(cls, x: np.ndarray, states: int, starts: int, seed: int) -> Hidden:
+        """Models whose means are clustered from as many random rows."""
+        means, spread = [], []
+        for i in range(starts):
+            rng = np.random.default_rng(seed + i)
+            m = x[rng.choice(len(x), states, replace=len(x) < states)]
+            for _ in range(20):
+                home = ((x[:, None, :] - m[None]) ** 2).sum(2).argmin(1)
+                m = np.array([x[home == k].mean(0) if (home == k).any() else m[k] for k in range(states)])
+            means.append(m)
+            spread.append([x[home == k].var(0) + 1e-2 if (home == k).sum() > 1 else np.ones(x.shape[1]) for k in range(states)])
+        move = np.full((states, states), 0.1 / max(1, states - 1)) + np.eye(states) * 0.9
+        return cls(np.full((starts, states), 1 / states), np.repeat((move / move.sum(1, keepdims=True))[None], starts, 0), np.array(means), np.maximum(np.array(spread), LEAST_VAR))
+
+    def emissions(self, x: np.ndarray) -> np.ndarray:
+        """Log densities: rows, starts, states."""
+        diff = (x[:, None, None, :] - self.mean[None]) ** 2 / self.var[None]
+        return -0.5 * (diff.sum(3) + np.log(2 * np.pi * self.var).sum(2)[None])
+
+    def forward_backward(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Posteriors (rows, starts, states), expected moves (starts, states, states) and log likelihoods of one sequence."""
+        log = self.emissions(x)
+        top = log.max(2, keepdims=True)
+        b = np.exp(log - top)
+        alpha, beta, scale = np.empty_like(b), np.ones_like(b), np.empty(b.shape[:2])
+        a = self.start * b[0]
+        for t in range(len(x)):
             if t:
-                alpha[t] = (alpha[t - 1] @ move) * b[t]
-            scale[t] = max(alpha[t].sum(), 1e-300)
-            alpha[t] /= scale[t]
-        beta = np.ones((n, states))
-        for t in range(n - 2, -1, -1):
-            beta[t] = move @ (b[t + 1] * beta[t + 1]) / scale[t + 1]
+                a = (alpha[t - 1][:, None, :] @ self.move)[:, 0, :] * b[t]
+            scale[t] = np.maximum(a.sum(1), 1e-300)
+            alpha[t] = a / scale[t][:, None]
+        for t in range(len(x) - 2, -1, -1):
+            beta[t] = (self.move @ (b[t + 1] * beta[t + 1])[:, :, None])[:, :, 0] / scale[t + 1][:, None]
         post = alpha * beta
-        post /= post.sum(1, keepdims=True)
-        pairs = (alpha[:-1] / scale[1:, None]).T @ (b[1:] * beta[1:]) * move
-        start, move = post[0], pairs / np.maximum(pairs.sum(1, keepdims=True), 1e-300)
-        weight = np.maximum(post.sum(0), 1e-9)[:, None]
-        means = post.T @ x / weight
-        var = np.maximum(post.T @ (x * x) / weight - means**2, 1e-3)
-        like = np.log(scale).sum() + logb.max(1).sum()
-        if like - old < 1e-4:
+        post /= post.sum(2, keepdims=True)
+        moves = np.einsum("tsi,tsj->sij", alpha[:-1] / scale[1:, :, None], b[1:] * beta[1:]) * self.move
+        return post, moves, np.log(scale).sum(0) + top[:, :, 0].sum(0)
+
+    def statistics(self, x: np.ndarray) -> np.ndarray:
+        """What one sequence adds to the next model, as one row of numbers: likelihoods, starts, moves, weights, sums, squares."""
+        post, moves, like = self.forward_backward(x)
+        return np.concatenate([like, post[0].ravel(), moves.ravel(), post.sum(0).ravel(), np.einsum("tsk,td->skd", post, x).ravel(), np.einsum("tsk,td->skd", post, x * x).ravel()])
+
+    def updated(self, total: np.ndarray) -> tuple[Hidden, np.ndarray]:
+        """The model that the summed statistics make most likely, and the likelihoods under this one."""
+        s, k, d = self.mean.shape
+        like, start, move, weight, sums, squares = np.split(total, np.cumsum([s, s * k, s * k * k, s * k, s * k * d]))
+        start, move = start.reshape(s, k), move.reshape(s, k, k)
+        weight, sums, squares = np.maximum(weight.reshape(s, k, 1), 1e-9), sums.reshape(s, k, d), squares.reshape(s, k, d)
+        mean = sums / weight
+        return Hidden(start / start.sum(1, keepdims=True), move / np.maximum(move.sum(2, keepdims=True), 1e-300), mean, np.maximum(squares / weight - mean**2, LEAST_VAR)), like
+
+    def best(self, like: np.ndarray) -> Hidden:
+        i = int(like.argmax())
+        return Hidden(*(a[i : i + 1] for a in (self.start, self.move, self.mean, self.var)))
+
+    def path(self, x: np.ndarray) -> np.ndarray:
+        """The likeliest states of a sequence under the first model."""
+        log, move = self.emissions(x)[:, 0], np.log(np.maximum(self.move[0], 1e-300))
+        back, v = np.zeros(log.shape, int), np.log(np.maximum(self.start[0], 1e-300)) + log[0]
+        for t in range(1, len(x)):
+            s = v[:, None] + move
+            back[t] = s.argmax(0)
+            v = s.max(0) + log[t]
+        at = np.empty(len(x), int)
+        at[-1] = v.argmax()
+        for t in range(len(x) - 1, 0, -1):
+            at[t - 1] = back[t, at[t]]
+        return at
+
+
+def fit_hidden(x: np.ndarray, states: int = 4, rounds: int = 200, starts: int = 3, seed: int = 42) -> tuple[Hidden, list[np.ndarray]]:
+    """The likeliest of ``starts`` models of one sequence, and the likelihoods of each round."""
+    model, course = Hidden.begun(x, states, starts, seed), []
+    for _ in range(rounds):
+        model, like = model.updated(model.statistics(x))
+        course.append(like)
+        if len(course) > 1 and (like - course[-2] < CLOSE).all():
             break
-        old = like
-    logm, path = np.log(np.maximum(move, 1e-300)), np.zeros((n, states), int)
-    v = np.log(np.maximum(start, 1e-300)) + logb[0]
-    for t in range(1, n):
-        s = v[:, None] + logm
-        path[t] = s.argmax(0)
-        v = s.max(0) + logb[t]
-    states_at = np.empty(n, int)
-    states_at[-1] = v.argmax()
-    for t in range(n - 1, 0, -1):
-        states_at[t - 1] = path[t, states_at[t]]
-    return states_at, post[np.arange(n), states_at]
-
-
-def detect(rows: DataFrame, names: Sequence[str], market: str = "market", states: int = 4, rounds: int = 200, seed: int = 42) -> DataFrame:
-    """``date, state, confidence`` of each market's complete rows, a task per market.
+    return model.best(model.forward_backward(x)[2]), course
+
+
+def _scaled(x: np.ndarray) -> np.ndarray:
+    return (x - x.mean(0)) / np.where(x.std(0) > 0, x.std(0), 1)
+
+
+def detect(rows: DataFrame, names: Sequence[str], market: str = "market", states: int = 4, rounds: int = 200, seed: int = 42, starts: int = 3) -> DataFrame:
+    """``date, state, confidence`` of each market's complete rows by a model of its own, a task per market.
 
     A market is one calendar of rows, so its group is bounded.  Features are
     standardised; fewer than 100 complete rows give no states.  State numbers
@@ -107,12 +157,76 @@ def detect(rows: DataFrame, names: Sequence[str], market: str = "market", states
         x = part[list(names)].to_numpy(float)
         if len(x) < LEAST_ROWS:
             return pd.DataFrame(columns=[market, "date", "state", "confidence"])
-        at, conf = _fit((x - x.mean(0)) / np.where(x.std(0) > 0, x.std(0), 1), states, rounds, seed)
-        return pd.DataFrame({market: part[market], "date": part["date"], "state": at, "confidence": conf})
+        x = _scaled(x)
+        model, _ = fit_hidden(x, states, rounds, starts, seed)
+        return _states(part[[market, "date"]], model, x)
 
     return rows.na.drop("any", subset=list(names)).select(market, "date", *names).groupBy(market).applyInPandas(run, f"{market} string, date date, state int, confidence double")
 
 
+def _states(keys: pd.DataFrame, model: Hidden, x: np.ndarray) -> pd.DataFrame:
+    at = model.path(x)
+    return keys.assign(state=at, confidence=model.forward_backward(x)[0][np.arange(len(x)), 0, at])
+
+
+def detect_pooled(rows: DataFrame, names: Sequence[str], market: str = "market", states: int = 4, rounds: int = 200, seed: int = 42, starts: int = 3, drawn: int = 20_000) -> DataFrame:
+    """As :func:`detect`, by one model of all markets together, so that a state means the same in each.
+
+    Expectation and maximisation over the cluster: in each round tasks run
+    forward and backward through the markets that they hold and add up
+    statistics of a fixed size; the driver gathers these sums, one row of
+    them, and sends the next model out.  Means start from a sample of
+    ``drawn`` rows; every market counts in every round.  Markets are
+    standardised each by itself; those with fewer than 100 complete rows have
+    no states.
+    """
+    whole = rows.na.drop("any", subset=list(names))
+    each = whole.groupBy(market).agg(F.sort_array(F.collect_list(F.struct("date", *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(names)]))).alias("s")).where(F.size("s") >= LEAST_ROWS)
+    flat = F.flatten(F.transform("s", lambda r: F.array(*[r[f"x{i}"] for i in range(len(names))])))
+    each = each.select(F.col(market).cast("string").alias(market), F.col("s.date").alias("dates"), flat.alias("x")).persist()
+    wide = len(names)
+    as_matrix = lambda x: _scaled(np.asarray(x, float).reshape(-1, wide))
+
+    def scaled(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for x in part["x"]:
+                yield pd.DataFrame({"r": list(as_matrix(x))})
+
+    def summed(model: Hidden):
+        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = None
+            for part in parts:
+                for x in part["x"]:
+                    own = model.statistics(as_matrix(x))
+                    total = own if total is None else total + own
+            if total is not None:
+                yield pd.DataFrame({"i": np.arange(len(total)), "v": total})
+
+        return run
+
+    try:
+        sample = each.select("x").mapInPandas(scaled, "r array<double>").orderBy(F.rand(seed)).limit(drawn).toPandas()
+        if sample.empty:
+            return rows.select(F.col(market).cast("string").alias(market), "date", F.lit(None).cast("int").alias("state"), F.lit(None).cast("double").alias("confidence")).limit(0)
+        model, old = Hidden.begun(np.vstack(sample["r"]), states, starts, seed), None
+        for _ in range(rounds):
+            sums = each.select("x").mapInPandas(summed(model), "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").toPandas()["v"].to_numpy()
+            before, (model, like) = model, model.updated(sums)
+            if old is not None and (like - old < CLOSE).all():
+                break
+            old = like
+        model = before.best(like)
+    finally:
+        each.unpersist()
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for name, dates, x in zip(part[market], part["dates"], part["x"]):
+                yield _states(pd.DataFrame({market: name, "date": list(dates)}), model, as_matrix(x))
+
+    return each.mapInPandas(run, f"{market} string, date date, state int, confidence double")
+
+
 def label(profiles: DataFrame) -> DataFrame:
     """``profiles``, the mean features of each state, with the regime that its rules name first.
 

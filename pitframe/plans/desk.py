@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pitframe.functions import labels as fl
-from pitframe.operators import inference, labels, models, regime, rules, stats
+from pitframe.operators import features, inference, labels, models, regime, rules, stats
 from pitframe.operators.windows import Series
 from pitframe.plans.registry import Registry
 from pitframe.plans.research import study_frame
@@ -51,14 +51,14 @@ def feature_store(spark, d):
 @query("m3_m5_classifier", None)
 def classifier(spark, d):
     rows = labelled_rows(spark, d).cache()
-    model = models.classifier(FEATURES, "y", trees=5, depth=3).fit(rows)
+    model = models.classifier(FEATURES, "y").fit(rows)
     return models.probability(model, rows).select("symbol", "date", "prob")
 
 
 @query("m4_m17_regressor", None)
 def regressor(spark, d):
     rows = labelled_rows(spark, d).cache()
-    model = models.regressor(FEATURES, "fwd", trees=5, depth=3).fit(rows)
+    model = models.regressor(FEATURES, "fwd").fit(rows)
     return models.predicted(model, rows, "expected_return").select("symbol", "date", "expected_return")
 
 
@@ -72,7 +72,7 @@ def logistic(spark, d):
 def training_status(spark, d):
     rows = labelled_rows(spark, d).cache()
     few = rows.orderBy("date", "symbol").limit(50)
-    got = [(name, models.train(x, FEATURES, "y", trees=3, depth=2)[0]) for name, x in (("all", rows), ("few", few), ("none", rows.where("false")))]
+    got = [(name, models.train(x, FEATURES, "y")[0]) for name, x in (("all", rows), ("few", few), ("none", rows.where("false")))]
     return spark.createDataFrame(got, "rows string, status string")
 
 
@@ -89,6 +89,12 @@ def walk_forward_scores(spark, d):
     return models.fold_metrics(models.fold_scores(_folds(spark, d), FEATURES, "y", ("symbol", "fold")), ("symbol", "fold"))
 
 
+@query("m6_chosen_features", None)
+def chosen_feature_scores(spark, d):
+    """As above, with the two features of each fold that tell most of its training rows, by boosted stumps and a logistic regression."""
+    return models.fold_scores(_folds(spark, d), FEATURES, "y", ("symbol", "fold"), learners={"boosted": models.Stumps, "logistic": models.Logit}, choose=2)
+
+
 @query("m8_m9_m10_asof_scores", None)
 def asof_scores(spark, d):
     """Every symbol but gold at every horizon; the rows whose future is missing are scored and not trained on."""
@@ -106,7 +112,11 @@ def asof_scores(spark, d):
 
 @query("m17_expected_return", None)
 def expected_return(spark, d):
-    return models.expected_returns(feature_rows(spark, d), FEATURES, "fwd", "ret_5", ["symbol"])
+    s, x = Series(), F.col("close")
+    names = [c for c in features.PRICE_FEATURES if c not in ("atr_14", "rsi_14", "macd")]
+    made = features.price_features(v.prices(spark, d)).join(v.prices(spark, d).select("symbol", "date", s.forward(x, 10).alias("fwd")), ["symbol", "date"])
+    rows = made.na.drop("any", subset=names)
+    return models.expected_returns(rows.na.fill(0.0, ["atr_14", "rsi_14", "macd"]), features.PRICE_FEATURES, "fwd", "ret_10d", ["symbol"])
 
 
 @query("j2_feature_targets", PX + f""", f as (select symbol, date, close / nullif(lag(close, 5) {_W}, 0) - 1 as ret_5, lead(close, 10) {_W} / nullif(close, 0) - 1 as fwd from prices)
@@ -177,10 +187,23 @@ def regime_features(spark, d):
     return f.select("date", *[F.round(c, 6).alias(c) for c in f.columns if c not in ("date", "market")])
 
 
+def _market_features(spark, d):
+    """What each symbol's states are told by: its trend, its volatility and its distance from its mean."""
+    s, x = Series(), F.col("close")
+    p = v.prices(spark, d).withColumn("ret", s.change(x, 1))
+    return p.select("symbol", "date", s.change(x, 20).alias("trend"), s.volatility(F.col("ret"), 20).alias("vol"), s.zscore(x).alias("z"))
+
+
 @query("m15_hidden_states", None)
 def hidden_states(spark, d):
-    f = regime.features(v.prices(spark, d), {"gold": v.GOLD, "spx": v.BENCHMARK, "vix": "PROMO"})
-    return regime.detect(f, ["vix", "gold_trend", "spx_trend"], rounds=25)
+    """States of every market by a model of its own."""
+    return regime.detect(_market_features(spark, d), ["trend", "vol", "z"], market="symbol")
+
+
+@query("m15_pooled_states", None)
+def pooled_states(spark, d):
+    """States of every market by one model of all."""
+    return regime.detect_pooled(_market_features(spark, d), ["trend", "vol", "z"], market="symbol")
 
 
 @query("m16_regime_labels", with_views("vectors") + """, p as (select label, avg(value) filter (feature = 0) * 1 as inflation_trend, avg(value) filter (feature = 1) as real_yield_trend, avg(value) filter (feature = 2) as dxy_trend, 15 + 100 * avg(value) filter (feature = 3) as vix,

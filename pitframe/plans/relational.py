@@ -300,6 +300,12 @@ def top_variance(spark, d):
     return got.select("feature", F.round("x", 8).alias("variance"))
 
 
+@query("t8_top_sixty", with_views("vectors") + "select feature, round(var_samp(value), 8) as variance from vectors group by 1 order by var_samp(value) desc, feature limit 60")
+def top_sixty(spark, d):
+    got = v.vectors(spark, d).groupBy("feature").agg(F.var_samp("value").alias("x")).orderBy(F.desc("x"), "feature").limit(60)
+    return got.select("feature", F.round("x", 8).alias("variance"))
+
+
 @query("a14_mean_profile", with_views("vectors") + "select label, feature, round(avg(value), 6) as mean from vectors where feature < 8 group by 1, 2")
 def mean_profile(spark, d):
     return v.vectors(spark, d).where("feature < 8").groupBy("label", "feature").agg(F.round(F.avg("value"), 6).alias("mean"))

@@ -132,7 +132,8 @@ def bootstrap_books(spark, d):
 
 @query("i2_i4_bootstrap_mean", None)
 def bootstrap_mean(spark, d):
-    return inference.grouped_bootstrap(_books(spark, d).where("strategy = 'momentum'"), ["strategy"], "date", "net", "mean", 5)
+    """Mean returns of every strategy by moving blocks."""
+    return inference.grouped_bootstrap(_books(spark, d), ["strategy"], "date", "net", "mean", 5, moving=True)
 
 
 @query("i9_i10_study_tests", None)
@@ -174,7 +175,7 @@ def inverse_volatility(spark, d):
 
 @query("o2_hierarchical_parity", None)
 def hierarchical(spark, d):
-    return portfolio.solved(_matrix(spark, d), "hrp")
+    return portfolio.hierarchical_weights(_matrix(spark, d)).select(F.lit("all").alias("book"), "symbol", "weight")
 
 
 @query("o3_mean_variance", None)
@@ -239,6 +240,17 @@ def all_paths(spark, d):
     return graph.simple_paths(e, e.select(F.col("source").alias("start")).distinct()).withColumn("path", F.array_join("path", " > "))
 
 
+_HUB = "EUROPE"
+
+
+@query("g3_paths_to_suppliers", _PATHS.format(edges="edges", first=f"and source = '{_HUB}'", final="last = (select min(target) from edges where target like 'Supplier%')").replace("with recursive e", "with recursive " + with_views("edges").removeprefix("with ").rstrip() + ", e"))
+def paths_to_supplier(spark, d):
+    """All ways from a region to the first supplier."""
+    e = v.edges(spark, d)
+    end = e.where(F.col("target").like("Supplier%")).agg(F.min("target")).first()[0]
+    return graph.simple_paths(e, spark.createDataFrame([(_HUB,)], "start string"), end).withColumn("path", F.array_join("path", " > "))
+
+
 @query("g4_graph_counts", f"select 21 as nodes, count(*) as edges, count(*) filter (core) as core from {_edge_values()}")
 def graph_counts(spark, d):
     e = seeds.graph_edges(spark).agg(F.count("*").alias("edges"), F.count_if("core").alias("core"))

@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pitframe.operators import asof, scans, windows
+from pitframe.operators import asof, features, scans, windows
 from pitframe.operators.windows import Series
 from pitframe.plans.registry import Registry
 from pitframe.sources import views as v
@@ -321,6 +321,58 @@ def oscillators_all(spark, d):
     return got.select("symbol", "date", *[F.round(c, 6).alias(c) for c in ("close", "rsi", "atr", "macd_diff")])
 
 
+_ROLES = {"gold": v.GOLD, "oil": "MEDIUM", "copper": "SMALL", "spx": v.BENCHMARK, "real": "SMALL", "dollar": "LARGE", "vix": "PROMO", "breakeven": "MEDIUM"}
+_MINERS = ("LARGE", "MEDIUM")
+
+
+def _full(agg: str, x: str, n: int, least: int | None = None, by: str = "partition by symbol ") -> str:
+    w = f"over ({by}order by date rows between {n - 1} preceding and current row)"
+    return f"(case when count({x}) {w} >= {least or n} then {agg}({x}) {w} end)"
+
+
+def _zs(x: str, by: str = "partition by symbol ") -> str:
+    return f"({x} - {_full('avg', x, 60, by=by)}) / ({_full('stddev_samp', x, 60, by=by)} + 1e-8)"
+
+
+def _lagged(x: str, n: int, by: str = "partition by symbol ") -> str:
+    return f"{x} / nullif(lag({x}, {n}) over ({by}order by date), 0) - 1"
+
+
+_PRICE_SQL = {
+    **{f"ret_{n}d": _lagged("close", n) for n in features.RETURNS}, **{f"vol_{n}d": _full("stddev_samp", "ret", n) + " * sqrt(252)" for n in (20, 63)},
+    "dist_200dma": f"close / nullif({_full('avg', 'close', 200, 100)}, 0) - 1", "momentum_60d": _lagged("close", 60), "zscore_60d": _zs("close"),
+}
+_MARKET_SQL = {
+    **{f"gold_{r}_ratio": f"gold_{r}" for r in ("oil", "copper", "spx")}, **{f"gold_{r}_ratio_zscore": _zs(f"gold_{r}", "") for r in ("oil", "copper", "spx")},
+    "real_yield": "real", "real_yield_trend_20d": "real - lag(real, 20) over (order by date)", "real_yield_zscore": _zs("real", ""), "dxy_trend_20d": _lagged("dollar", 20, ""), "dxy_zscore": _zs("dollar", ""),
+    "vix_level": "vix", "vix_zscore": _zs("vix", ""), "breakeven_inflation": "breakeven", "inflation_trend_20d": "breakeven - lag(breakeven, 20) over (order by date)",
+}
+_B60 = "over (partition by symbol order by date rows between 59 preceding and current row)"
+_STORE = PX + f""", rr as (select symbol, date, close, {_lagged('close', 1)} as ret from prices), pf as (select symbol, date, count(close) over (partition by symbol) as n, {", ".join(f"{x} as {k}" for k, x in _PRICE_SQL.items())} from rr),
+  os as ({_EMA}), w as (select date, {", ".join(f"max(close) filter (symbol = '{s}') as {r}" for r, s in _ROLES.items())} from prices where symbol in ({", ".join(f"'{s}'" for s in sorted(set(_ROLES.values())))}) group by 1),
+  wr as (select *, {", ".join(f"gold / nullif({r}, 0) as gold_{r}" for r in ("oil", "copper", "spx"))} from w), mf as (select date, {", ".join(f"{x} as {k}" for k, x in _MARKET_SQL.items())} from wr),
+  mb as (select m.symbol, m.date, case when m.ret is not null and g.ret is not null then m.ret end as a, case when m.ret is not null and g.ret is not null then g.ret end as b from rr m left join rr g on g.symbol = '{v.GOLD}' and g.date = m.date where m.symbol in {_MINERS}),
+  bt as (select symbol, date, case when count(a) {_B60} >= 60 then covar_samp(a, b) {_B60} / (var_samp(b) {_B60} + 1e-8) end as beta from mb),
+  q as (select case o_custkey % 3 when 0 then 'LARGE' when 1 then 'MEDIUM' else 'OTHER' end as ticker, cast(date_trunc('quarter', o_orderdate) as date) as quarter_end, cast(sum(o_totalprice) as double) as p, cast(avg(o_totalprice) as double) as a, count(*) % 7 as m from orders group by 1, 2),
+  qs as (select ticker, p / nullif(lag(p) over (partition by ticker order by quarter_end), 0) - 1 as ps, -(a / nullif(lag(a) over (partition by ticker order by quarter_end), 0) - 1) as cs, m, row_number() over (partition by ticker order by quarter_end desc) as back, count(*) over (partition by ticker) as n from q),
+  ql as (select q.ticker, e.date, ps, cs, m from qs q join (select symbol, max(date) as date from prices group by 1) e on e.symbol = q.ticker where back = 1 and n > 1 and ticker in {_MINERS}),
+  al as (select symbol as entity, date, unnest([{", ".join(f"'{k}'" for k in _PRICE_SQL)}]) as feature_name, unnest([{", ".join(_PRICE_SQL)}]) as x from pf
+  union all select os.symbol, os.date, unnest(['atr_14', 'rsi_14', 'macd']), unnest([atr, rsi, macd_diff]) from os join (select distinct symbol, n from pf where n > 30) using (symbol)
+  union all select 'MACRO', date, unnest([{", ".join(f"'{k}'" for k in _MARKET_SQL)}]), unnest([{", ".join(_MARKET_SQL)}]) from mf
+  union all select symbol, date, 'beta_to_gold_60d', beta from bt union all select ticker, date, unnest(['prod_surprise', 'aisc_surprise', 'revision_momentum']), unnest([ps, cs, m]) from ql)
+  select entity, date, feature_name, round(x, 6) as feature_value from al where x is not null"""
+
+
+@query("m11_m12_whole_store", _STORE)
+def whole_store(spark, d):
+    """Every feature of every series, of the market and of two miners, with their last quarters."""
+    ticker = F.when(F.col("o_custkey") % 3 == 0, "LARGE").when(F.col("o_custkey") % 3 == 1, "MEDIUM").otherwise("OTHER")
+    q = v.table(spark, d, "orders").groupBy(ticker.alias("ticker"), F.trunc(F.col("o_orderdate").cast("date"), "quarter").alias("quarter_end"))
+    q = q.agg(F.sum("o_totalprice").alias("production_oz"), F.avg("o_totalprice").alias("aisc_per_oz"), (F.count("*") % 7).alias("analyst_eps_revision"))
+    got = features.store(v.prices(spark, d), _ROLES, _MINERS, q)
+    return got.withColumn("feature_value", F.round("feature_value", 6))
+
+
 @query("j3_price_at_or_before", PX + """, days as (select distinct p_type as symbol, cast(l_shipdate as date) as day from lineitem join part on l_partkey = p_partkey)
   select d.symbol, d.day, p.close from days d asof left join prices p on p.symbol = d.symbol and d.day >= p.date""")
 def price_at(spark, d):

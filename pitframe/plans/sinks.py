@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pitframe.operators.inference import interval_text
+from pitframe.operators.inference import dm_text, interval_text
 from pitframe.operators.windows import Series
 from pitframe.plans.registry import Registry
 from pitframe.sources import views as v
@@ -139,4 +139,13 @@ def interval_texts(spark, d):
     return m.select("entity", interval_text(low, high, 0.0, "alpha").alias("text"))
 
 
+@query("i11_test_texts", with_views("predictions") + """, m as (select entity, horizon_days, count(*) % 120 / 1000.0 as p, (sum(cast(round(expected_alpha * 1000) as bigint)) % 50) / 1000.0 as dif, count(*) as n from predictions group by 1, 2)
+  select entity, horizon_days, case when n % 5 = 0 then 'boosted against ' || entity || ': too few observations.' else 'boosted loses ' || printf('%.4f', abs(dif)) || ' ' || case when dif < 0 then 'less' else 'more' end || ' a period than ' || entity || ' (' ||
+  case when p < 0.01 then 'surely so: p below 0.01' when p < 0.05 then 'p below 0.05' when p < 0.1 then 'perhaps: p below 0.10' else 'which may be chance' end || ', p = ' || printf('%.3f', p) || ').' end as text from m""")
+def test_texts(spark, d):
+    m = v.predictions(spark, d).groupBy("entity", "horizon_days").agg(F.count("*").alias("n"), F.sum(F.round(F.col("expected_alpha") * 1000).cast("long")).alias("s"))
+    p, dif = F.when(F.col("n") % 5 != 0, F.col("n") % 120 / 1000.0), (F.col("s") % 50) / 1000.0
+    return m.select("entity", "horizon_days", dm_text(p, dif, "boosted", F.col("entity")).alias("text"))
+
+
 QUERIES, ORACLES = query.queries, query.oracles
