@@ -206,13 +206,16 @@ def test_added_tokens_are_as_in_the_library():
     assert counts[0] == 4 and counts[1] == 1
 
 
-def test_chunk_memory_is_bounded():
-    enc = ChunkEncoder(lambda xs: (np.array([len(x) for x in xs]), np.array([ord(c) for x in xs for c in x], np.int32)), most=5)
+@pytest.mark.parametrize("keep", [0, 2, 5])
+def test_chunk_memory_is_bounded(keep):
+    met = []
+    enc = ChunkEncoder(lambda xs: met.extend(xs) or (np.array([len(x) for x in xs]), np.array([ord(c) for x in xs for c in x], np.int32)), most=7, keep=keep)
     for i in range(9):
-        text = f"a{i} b{i} c{i}"
+        text = f"a{i} b c b{i} c{i}"
         counts, ids = enc([text, "x"])
-        assert "".join(map(chr, ids[: counts[0]])) == text and counts.tolist() == [8, 1]
-    assert len(enc.codes) + len(enc.first) <= 10
+        assert "".join(map(chr, ids[: counts[0]])) == text and counts.tolist() == [len(text), 1]
+    assert len(enc.codes) + len(enc.first) <= 14
+    assert met.count(" b") == (1 if keep else 3)  # what came first is not met again
 
 
 def test_token_files(spark, sf_dir, texts):
