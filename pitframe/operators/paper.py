@@ -38,7 +38,7 @@ def sleeves(scores: DataFrame, prices: DataFrame, excluded: Sequence[str], fallb
     holds the first of ``fallback`` that has a price.
     """
     first = prices.where("close is not null").groupBy("symbol").agg(F.min("date").alias("_first"))
-    priced = scores.join(F.broadcast(first.withColumnRenamed("symbol", "entity")), "entity").where(F.col("date") >= F.col("_first"))
+    priced = scores.join(first.withColumnRenamed("symbol", "entity"), "entity").where(F.col("date") >= F.col("_first"))
     good = priced.where(~F.col("entity").isin(*excluded) & signal("prob", "alpha").isin("long", "overweight"))
     w = Window.partitionBy("date", "horizon_days")
     chosen = good.withColumn("_k", F.row_number().over(w.orderBy(F.desc("alpha"), F.desc("entity")))).where(F.col("_k") <= top)
@@ -211,6 +211,18 @@ def trading_days(prices: DataFrame, scores: DataFrame, sleeve: DataFrame, contex
     return each.join(weights, ["date", "horizon_days"], "left").join(context.select("date", "horizon_days", "stance", "gold_budget"), ["date", "horizon_days"], "left")
 
 
+def marked(cash: DataFrame, positions: DataFrame, prices: DataFrame) -> DataFrame:
+    """``horizon_days, date, nav``: the cash of each book and day with its shares at the closes in force.
+
+    ``cash`` has ``horizon_days, date, cash``, ``positions`` ``horizon_days,
+    date, symbol, shares``.  A symbol without a close so far counts nothing.
+    """
+    closes = prices.where("close is not null").select("symbol", F.col("date").alias("_t"), "close")
+    held = asof_many(positions.select("horizon_days", "date", "symbol", "shares"), "date", [(closes, "_t", ["close"])], ["symbol"])
+    worth = held.groupBy("horizon_days", "date").agg(F.sum(F.col("shares") * F.col("close")).alias("_w"))
+    return cash.join(worth, ["horizon_days", "date"], "left").select("horizon_days", "date", (F.col("cash") + F.coalesce("_w", F.lit(0.0))).alias("nav"))
+
+
 def nav_stats(nav: DataFrame, starting_cash: float = STARTING_CASH) -> DataFrame:
     s = Series(("horizon_days",))
     last = lambda c: F.max_by(c, "date")

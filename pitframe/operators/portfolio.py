@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pitframe.operators.stats import covariance
 from pitframe.operators.windows import TINY, TRADING_DAYS, Series
+from pitframe.sources.artifacts import stored
 
 BLEND = (0.6, 0.4)
 
@@ -175,7 +176,7 @@ def hierarchical_weights(returns: DataFrame, name: str = "symbol", ret: str = "r
     tree's edges, one per name.  A book of one name has all weight; one of
     none has no rows.
     """
-    cov = covariance(returns, at, name, ret).withColumn("cov", F.coalesce("cov", F.lit(0.0)))
+    cov = stored(covariance(returns, at, name, ret).withColumn("cov", F.coalesce("cov", F.lit(0.0))), "covariances")
     var = cov.where("a = b").select(F.col("a").alias("name"), F.greatest("cov", F.lit(1e-16)).alias("var"))
     side = lambda c: var.select(F.col("name").alias(c), F.col("var").alias(f"v{c}"))
     pairs = cov.select("a", "b", "cov").join(side("a"), "a").join(side("b"), "b")

@@ -123,11 +123,10 @@ def last_before(stacked: DataFrame, by: Sequence[str], slice_: str, order: Seque
         seeds = ends.select(*[F.col(c).alias(f"_k_{c}") for c in (*by, slice_)], *[F.last(c, ignorenulls=True).over(ahead)["v"].alias(f"_s_{c}") for c in carried])
         got = local.join(seeds, _same_keys((*by, slice_)), "left")
         return got.select(*[F.coalesce(c, f"_s_{c}").alias(c) if c in carried else F.col(c) for c in stacked.columns])
-    out = local
+    one = ends.select(F.col(slice_).alias("_s"), *carried).agg(F.collect_list(F.struct("_s", *carried)).alias("a")).scalar()
+    out = local.withColumn("_ends", one)
     for c in carried:
-        ended = ends.where(F.col(c).isNotNull()).select(F.col(slice_).alias("s"), F.col(f"{c}.v").alias("v"))
-        out = out.withColumn("_ends", ended.agg(F.collect_list(F.struct("s", "v")).alias("a")).scalar())
-        earlier = F.filter("_ends", lambda e: e["s"] < F.col(slice_))
-        latest = F.array_max(F.transform(earlier, lambda e: e["s"]))
-        out = out.withColumn(c, F.coalesce(c, F.get(F.filter("_ends", lambda e: e["s"] == latest), F.lit(0))["v"]))  # noqa: B023
+        earlier = F.filter("_ends", lambda e: (e["_s"] < F.col(slice_)) & e[c].isNotNull())  # noqa: B023
+        latest = F.array_max(F.transform(earlier, lambda e: e["_s"]))
+        out = out.withColumn(c, F.coalesce(c, F.get(F.filter("_ends", lambda e: e["_s"] == latest), F.lit(0))[c]["v"]))  # noqa: B023
     return out.select(*stacked.columns)

@@ -108,6 +108,15 @@ def diebold_mariano(spark, d):
     return inference.diebold_mariano(f, ["symbol"], "date", "lm", "lb", h=5)
 
 
+@query("i6_statistic", PX + f""", {_FRAME}, l as (select '{v.GOLD}' as symbol, date, (y - boosted) * (y - boosted) - (y - logistic) * (y - logistic) as x from s),
+  c as (select symbol, date, x, x - avg(x) over () as d, count(*) over () as n from l), {_nw(4)}, m as (select avg(x) as m from l)
+  select symbol, n, round(m, 8) as mean_loss_diff, round(m / sqrt(nw) * sqrt(greatest((n + 1 - 10 + 20.0 / n) / n, 0)), 6) as statistic from w, m""")
+def dm_statistic(spark, d):
+    """As above, without the p-value, which SQL here has no function for."""
+    got = diebold_mariano(spark, d)
+    return got.select("symbol", F.col("n_obs").cast("long").alias("n"), F.round("mean_loss_diff", 8).alias("mean_loss_diff"), F.round("statistic", 6).alias("statistic"))
+
+
 @query("i3_block_length", "select n, h, greatest(1, least(h, n // 8)) as block from (values (3, 10), (41, 10), (80, 5), (200, 20)) x(n, h)")
 def block(spark, d):
     return spark.createDataFrame([(n, h, inference.block_length(n, h)) for n, h in ((3, 10), (41, 10), (80, 5), (200, 20))], "n int, h int, block int")
@@ -314,11 +323,36 @@ def _paper_events(spark, d):
     return paper.simulate(paper.trading_days(px, scores, sleeve, context, v.HORIZONS, ["purchase"], "view"), "view")
 
 
-@query("b3_contexts", None)
+_MOVES = ", ".join(f"close / nullif(lag(close, {h}) over (order by date), 0) - 1 as m{h}" for h in v.HORIZONS)
+_CONTEXTS = with_views("predictions", "flows", "regimes") + f""", {_SCORES}, {_PP}, dy as (select date, horizon_days, max(ret) filter (entity = 'purchase') as gold_ret from sc group by 1, 2),
+  re as (select date, close from px where symbol = 'click'), do_ as (select * from (select date, (close / nullif(lag(close, 20) over (order by date), 0) - 1) * 100 as x from px where symbol = 'signup') where x is not null),
+  be as (select date, {_MOVES} from px where symbol = 'view'),
+  x as (select d.*, re.close as real_yield, do_.x as dollar_20, case horizon_days {" ".join(f"when {h} then m{h}" for h in v.HORIZONS)} end as bench_trail, case when r.date is null then 'neutral' else 'bullish' end as gold_bias
+    from dy d asof left join re on d.date >= re.date asof left join do_ on d.date >= do_.date asof left join be on d.date >= be.date asof left join regimes r on d.date >= r.date),
+  y as (select *, coalesce(real_yield > 2, false) or coalesce(dollar_20 > 1, false) as bad, gold_bias = 'bullish' or coalesce(dollar_20 < -1, false) as good from x),
+  z as (select *, case when coalesce(gold_ret > bench_trail, false) and not bad and good then 'add' when coalesce(gold_ret < bench_trail, false) and bad then 'reduce' else 'keep' end as stance from y)
+  select date, horizon_days, round(gold_ret, 6) as gold_ret, round(real_yield, 6) as real_yield, round(dollar_20, 6) as dollar_20, round(bench_trail, 6) as bench_trail, gold_bias, stance, case stance when 'add' then 0.6 when 'keep' then 0.3 else 0.1 end::double as gold_budget from z"""
+
+
+@query("b3_contexts", _CONTEXTS)
 def contexts(spark, d):
     scores = paper.market_scores(v.predictions(spark, d), v.HORIZONS)
     regimes = v.regimes(spark, d).select("date", F.lit("bullish").alias("gold_bias"))
-    return paper.contexts(scores, _paper_prices(spark, d), regimes, "purchase", "view", "click", "signup")
+    got = paper.contexts(scores, _paper_prices(spark, d), regimes, "purchase", "view", "click", "signup")
+    return got.select("date", "horizon_days", *[F.round(c, 6).alias(c) for c in ("gold_ret", "real_yield", "dollar_20", "bench_trail")], "gold_bias", "stance", "gold_budget")
+
+
+@query("b5_marked", PX + """, po as (select o_custkey % 5 as horizon_days, date_trunc('month', o_orderdate)::date as date, p_type as symbol, cast(sum(l_quantity) as double) as shares from lineitem join orders on l_orderkey = o_orderkey join part on l_partkey = p_partkey group by 1, 2, 3),
+  h as (select po.*, p.close from po asof left join prices p on p.symbol = po.symbol and po.date >= p.date)
+  select horizon_days, date, round(1000.0 * horizon_days + coalesce(sum(shares * close), 0), 4) as nav from h group by 1, 2""")
+def marked(spark, d):
+    """Books of the shares bought in each month, marked at the month's first day."""
+    li = v.table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
+    o = v.table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_custkey") % 5).alias("horizon_days"), F.trunc(F.col("o_orderdate").cast("date"), "month").alias("date"))
+    p = v.table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_type").alias("symbol"))
+    positions = li.join(o, "l_orderkey").join(p, "l_partkey").groupBy("horizon_days", "date", "symbol").agg(F.sum("l_quantity").cast("double").alias("shares"))
+    cash = positions.select("horizon_days", "date").distinct().withColumn("cash", F.col("horizon_days") * 1000.0)
+    return paper.marked(cash, positions, v.prices(spark, d)).withColumn("nav", F.round("nav", 4))
 
 
 @query("b6_b7_orders", None)

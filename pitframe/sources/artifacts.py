@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 from dataclasses import dataclass, fields
 
 from pyspark.ml import PipelineModel
@@ -42,6 +44,18 @@ def remove(spark: SparkSession, path: str) -> None:
     files.delete(found, True)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once, for plans that read it often, to the folder of ``spark.checkpoint.dir``; without that setting, on one machine, to a temporary one."""
+    sc = df.sparkSession.sparkContext
+    root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if root is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="pitframe-")
+    df.write.parquet(path := f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def model_path(root: str, entity: str, horizon: int, kind: str = "clf") -> str:
     return f"{root}/{entity}_{kind}_h{horizon}"
 

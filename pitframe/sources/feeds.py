@@ -54,7 +54,7 @@ def estimated_flows(prices: DataFrame, shares: DataFrame | None = None) -> DataF
     """Fund flows from price changes: scaled by shares outstanding where they are known, else by volume."""
     s = Series()
     r = prices.withColumn("_r", s.change(F.col("close"), 1)).withColumn("_m", F.avg("close").over(Window.partitionBy("symbol")))
-    r = r.withColumn("shares", F.lit(None).cast("double")) if shares is None else r.join(F.broadcast(shares.select("symbol", F.col("shares").cast("double"))), "symbol", "left")
+    r = r.withColumn("shares", F.lit(None).cast("double")) if shares is None else r.join(shares.select("symbol", F.col("shares").cast("double")), "symbol", "left")
     by_shares = F.coalesce("_r", F.lit(0.0)) * F.col("shares") * F.col("_m") / 1e9
     by_volume = F.col("_r") * F.col("volume") * F.col("close") / 1e6
     aum = F.col("close") * F.coalesce("shares", F.lit(1e8)) / 1e9
