@@ -51,15 +51,16 @@ def slice_of(df: DataFrame, order: Sequence[str], points: Sequence[tuple]) -> Co
     return search(0, len(points))
 
 
-def sums_before(df: DataFrame, by: Sequence[str], order: Sequence[str], sums: Mapping[str, str], slices: int = SLICES) -> DataFrame:
+def sums_before(df: DataFrame, by: Sequence[str], order: Sequence[str], sums: Mapping[str, str], slices: int = SLICES, slice_: Column | None = None) -> DataFrame:
     """``df`` with, for each ``new: column`` of ``sums``, the column's total over the rows before this one in its group.
 
-    ``by`` and ``order`` together name a row.  Without ``by`` all rows are one
-    group and the driver gathers a total per slice; else each group's totals
-    per slice are summed in a window, ``slices`` rows a group at most.  An
-    empty table gives none; null summands count as nothing.
+    ``by`` and ``order`` together name a row.  Slices are placed by a sample,
+    which costs a pass over ``df``, unless ``slice_`` gives a number for each
+    row that never falls as ``order`` rises.  Totals per slice are summed in a
+    window by group, ``slices`` rows a group at most; without ``by`` they are
+    one array.  An empty table gives none; null summands count as nothing.
     """
-    dealt = df.withColumn("_slice", slice_of(df, order, cut_points(df, order, slices)))
+    dealt = df.withColumn("_slice", slice_of(df, order, cut_points(df, order, slices)) if slice_ is None else slice_.cast("int"))
     within = Window.partitionBy(*by, "_slice").orderBy(*[F.col(c).asc_nulls_first() for c in order]).rowsBetween(Window.unboundedPreceding, -1)
     local = dealt.select("*", *[F.coalesce(F.sum(c).over(within), F.lit(0)).alias(new) for new, c in sums.items()])
     totals = dealt.groupBy(*by, "_slice").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(f"_t_{new}") for new, c in sums.items()])
@@ -68,16 +69,13 @@ def sums_before(df: DataFrame, by: Sequence[str], order: Sequence[str], sums: Ma
         offsets = totals.select(*[F.col(c).alias(f"_k_{c}") for c in (*by, "_slice")], *[F.coalesce(F.sum(f"_t_{new}").over(ahead), F.lit(0)).alias(f"_t_{new}") for new in sums])
         got = local.join(offsets, _same_keys((*by, "_slice")))
         return got.select(*df.columns, *[(F.col(new) + F.col(f"_t_{new}")).alias(new) for new in sums])
-    found = sorted(totals.collect(), key=lambda r: r["_slice"])
-    out = local
+    one = totals.agg(F.collect_list(F.struct("_slice", *[f"_t_{new}" for new in sums])).alias("a")).scalar()
+    out = local.withColumn("_totals", one)
     for new in sums:
-        at, running = [], 0
-        for r in found:
-            at.append((r["_slice"], running))
-            running += r[f"_t_{new}"]
-        offset = F.element_at(F.create_map(*[F.lit(x) for kv in at for x in kv]), F.col("_slice")) if at else F.lit(0)
-        out = out.withColumn(new, F.col(new) + offset)
-    return out.drop("_slice")
+        nothing = F.lit(0).cast(totals.schema[f"_t_{new}"].dataType)
+        before = F.aggregate("_totals", nothing, lambda t, e: F.when(e["_slice"] < F.col("_slice"), t + e[f"_t_{new}"]).otherwise(t))  # noqa: B023
+        out = out.withColumn(new, F.col(new) + F.coalesce(before, nothing))
+    return out.drop("_slice", "_totals")
 
 
 def _same_keys(names: Sequence[str]) -> Column:
@@ -96,8 +94,8 @@ def rank_shares(df: DataFrame, x: str, share: str, slices: int = SLICES) -> Data
     """
     values = df.where(F.col(x).isNotNull()).groupBy(F.col(x).alias("_x")).agg(F.count("*").alias("_c"))
     before = sums_before(values, (), ["_x"], {"_below": "_c"}, slices)
-    n = df.agg(F.count(x)).first()[0]
-    ranks = before.select("_x", ((F.col("_below") + (F.col("_c") + 1) / 2.0) / F.lit(n)).alias(share))
+    n = values.agg(F.sum("_c")).scalar()
+    ranks = before.select("_x", ((F.col("_below") + (F.col("_c") + 1) / 2.0) / n).alias(share))
     return df.join(ranks, F.col(x) == F.col("_x"), "left").drop("_x")
 
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitframe.operators.scans import sums_before
+from pitframe.operators.scans import SLICES, sums_before
 
 #: The right edges of five equal bins as floating point has them.
 BIN_EDGES = (0.2, 0.4, 0.6000000000000001, 0.8, 1.0)
@@ -38,14 +38,17 @@ def auc(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFrame:
     """Area under the ROC curve by the Mann-Whitney count, ties half.
 
     Scores are grouped by value first, and negatives below each value are
-    summed over slices of the scores, so that no task holds a group's scores.
+    summed over slices of the scores, so that no task holds a group's scores:
+    slices of equal width between 0 and 1, as scores mostly are probabilities;
+    others come out right all the same.
     Null with fewer than five rows or one class; rows without a score or a
     label do not count.
     """
     scored = df.where(F.col(p).isNotNull() & F.col(y).isNotNull())
     at = scored.groupBy(*by, p).agg(F.sum(F.col(y).cast("double")).alias("pos"), F.sum(1 - F.col(y).cast("double")).alias("neg"))
     below = F.col("_below")
-    won = sums_before(at, by, [p], {"_below": "neg"}).withColumn("won", F.col("pos") * (below + F.col("neg") / 2))
+    place = F.least(F.greatest(F.floor(F.nanvl(F.col(p).cast("double"), F.lit(2.0)) * SLICES), F.lit(-1)), F.lit(SLICES))
+    won = sums_before(at, by, [p], {"_below": "neg"}, slice_=place).withColumn("won", F.col("pos") * (below + F.col("neg") / 2))
     got = won.groupBy(*by).agg(F.sum("won").alias("won"), F.sum("pos").alias("np"), F.sum("neg").alias("nn"))
     ok = (F.col("np") > 0) & (F.col("nn") > 0) & (F.col("np") + F.col("nn") >= LEAST_SCORES)
     return got.select(*by, (F.col("np") + F.col("nn")).cast("long").alias("n"), F.when(ok, F.col("won") / (F.col("np") * F.col("nn"))).alias("auc"))
