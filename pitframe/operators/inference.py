@@ -121,7 +121,7 @@ def grouped_bootstrap(df: DataFrame, by: Sequence[str], order: str, x: str, kind
         same = same & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
     nan = F.lit(math.nan)
     got = packed.select(*by, point("x").alias("point"), F.size("x").alias("n")).join(spans, same, "left")
-    return got.select(*by, "point", F.coalesce("low", nan).alias("low"), F.coalesce("high", nan).alias("high"), "n")
+    return got.select(*by, F.coalesce("point", nan).alias("point"), F.coalesce("low", nan).alias("low"), F.coalesce("high", nan).alias("high"), "n")
 
 
 def diebold_mariano(df: DataFrame, by: Sequence[str], order: str, model: str, baseline: str, h: int = 1, alternative: str = "two-sided") -> DataFrame:
@@ -186,7 +186,7 @@ def study_report(oos: DataFrame, horizon: int, at: str = "date", model: str = "g
     losses = rows.select("strategy", at, (-F.col("net")).alias("_loss"))
     own = losses.where(F.col("strategy") == model).select(at, F.col("_loss").alias("_model"))
     tests = diebold_mariano(losses.where(F.col("strategy") != model).join(own, at), ["strategy"], at, "_model", "_loss", h=horizon)
-    adjusted = holm(tests.withColumn("p", F.coalesce("p_value", F.lit(1.0))), [], "strategy", "p").select("strategy", "statistic", "p_value", "p_adjusted")
+    adjusted = holm(tests.withColumn("p", F.coalesce("p_value", F.lit(1.0))), [], "strategy", "p").select("strategy", "statistic", "mean_loss_diff", "p_value", "p_adjusted")
     return book_summary(rows, at).join(spans, "strategy").join(adjusted, "strategy", "left")
 
 

@@ -173,7 +173,7 @@ def fold_scores(rows: DataFrame, features: Sequence[str], label: str, by: Sequen
         x, y, at = fit[names].to_numpy(float), fit[label].to_numpy(float), test[names].to_numpy(float)
         return test[[*by, *keep]].assign(y=test[label].astype(int), **{c: make().fit(x, y, True).predict(at) for c, make in learners.items()})
 
-    return spread(rows.select(*by, *keep, "part", label, *features), *by).groupBy(*by).applyInPandas(run, schema)
+    return spread(rows.select(*dict.fromkeys([*by, *keep, "part", label, *features])), *by).groupBy(*by).applyInPandas(run, schema)
 
 
 def fold_metrics(scored: DataFrame, by: Sequence[str] = ("fold",)) -> DataFrame:

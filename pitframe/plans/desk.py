@@ -14,6 +14,7 @@ from pitframe.plans.registry import Registry
 from pitframe.plans.research import study_frame
 from pitframe.sources import seeds
 from pitframe.sources import views as v
+from pitframe.sources.artifacts import stored
 from pitframe.sources.views import with_views
 
 query = Registry()
@@ -143,16 +144,34 @@ def purged_study(spark, d):
     return stats.calibration(models.fold_scores(_folds(spark, d), FEATURES, "y", ("symbol", "fold")), "y", "prob")
 
 
+#: Studies by name: what is held, and what instead.
+STUDIES = {"gold_vs_equities": (v.GOLD, v.BENCHMARK), "miners_vs_gold": ("LARGE", v.GOLD)}
+
+
+def _out_of_sample(spark, d, entity, bench):
+    """A study's rows with the scores of two learners out of sample, each date once, from the two features that tell most of each fold."""
+    rows = study_frame(spark, d, entity, bench).drop("boosted", "logistic").join(feature_rows(spark, d).where(F.col("symbol") == entity).drop("fwd"), "date")
+    small = stored(rows.withColumns({"entity_fwd": F.col("entity_fwd") / 1000, "bench_fwd": F.col("bench_fwd") / 1000}), "study")
+    walk = labels.fitted_walk(small.count(), 10) or WALK
+    folds = labels.walk_rows(small, replace(walk, step=walk.test), ["symbol"])
+    return models.fold_scores(folds, [*FEATURES, "momentum"], "y", ("symbol", "fold"), ("date", "entity_fwd", "bench_fwd", "momentum"), {"boosted": models.Stumps, "logistic": models.Logit}, choose=3)
+
+
 @query("m21_study_report", None)
 def study_report(spark, d):
     """Gold against the benchmark: scores of two learners out of sample feed the books, their intervals and tests."""
-    rows = study_frame(spark, d).drop("boosted", "logistic").join(feature_rows(spark, d).where(F.col("symbol") == v.GOLD).drop("fwd"), "date")
-    small = rows.withColumns({"entity_fwd": F.col("entity_fwd") / 1000, "bench_fwd": F.col("bench_fwd") / 1000})
-    small = small.cache()
-    walk = labels.fitted_walk(small.count(), 10) or WALK
-    folds = labels.walk_rows(small, replace(walk, step=walk.test), ["symbol"])  # each date is tested once
-    oos = models.fold_scores(folds, [*FEATURES, "momentum"], "y", ("symbol", "fold"), ("date", "entity_fwd", "bench_fwd"), {"boosted": models.Stumps, "logistic": models.Logit})
-    return inference.study_report(oos.join(small.select("date", "momentum"), "date").cache(), 10)
+    return inference.study_report(stored(_out_of_sample(spark, d, *STUDIES["gold_vs_equities"]), "scored"), 10)
+
+
+@query("m21_both_studies", None)
+def both_studies(spark, d):
+    """The report of each study, and what the tests against its model say."""
+    out = None
+    for name, (entity, bench) in STUDIES.items():
+        got = inference.study_report(stored(_out_of_sample(spark, d, entity, bench), "scored"), 10)
+        got = got.select(F.lit(name).alias("study"), "*").withColumn("text", F.when(F.col("strategy") != "gradient_boosting", inference.dm_text(F.col("p_value"), F.col("mean_loss_diff"), "gradient_boosting", F.col("strategy"))))
+        out = got if out is None else out.unionByName(got)
+    return out
 
 
 @query("m22_catalog", PREDS + """, l as (select entity, horizon_days, date, prob, row_number() over (partition by entity, horizon_days order by date desc, id desc) as k from predictions where not coalesce(starts_with(model_version, 'asof_h'), false))

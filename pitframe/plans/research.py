@@ -53,12 +53,12 @@ _FRAME = f"""p as (select symbol, date, close / nullif(lag(close, 20) {_W}, 0) -
   (datediff('day', date '1970-01-01', a.date) * 53 % 100) / 100.0 as logistic from p a join p b on b.symbol = '{v.BENCHMARK}' and a.date = b.date where a.symbol = '{v.GOLD}' and a.f is not null and b.f is not null and a.m is not null and b.m is not null)"""
 
 
-def study_frame(spark, d):
+def study_frame(spark, d, entity: str = v.GOLD, bench: str = v.BENCHMARK):
     """A study's rows with stand-in forecasts, which depend on the date alone."""
     s = Series()
     p = v.prices(spark, d).select("symbol", "date", s.change(F.col("close"), 20).alias("m"), s.forward(F.col("close"), 10).alias("f"))
-    a = p.where(F.col("symbol") == v.GOLD).select("date", F.col("m").alias("am"), F.col("f").alias("entity_fwd"))
-    b = p.where(F.col("symbol") == v.BENCHMARK).select("date", F.col("m").alias("bm"), F.col("f").alias("bench_fwd"))
+    a = p.where(F.col("symbol") == entity).select("date", F.col("m").alias("am"), F.col("f").alias("entity_fwd"))
+    b = p.where(F.col("symbol") == bench).select("date", F.col("m").alias("bm"), F.col("f").alias("bench_fwd"))
     day = F.datediff("date", F.lit("1970-01-01").cast("date"))
     j = a.join(b, "date").na.drop()
     return j.select("date", "entity_fwd", "bench_fwd", (F.col("am") - F.col("bm")).alias("momentum"), (F.col("entity_fwd") > F.col("bench_fwd")).cast("int").alias("y"), (day * 37 % 100 / 100.0).alias("boosted"), (day * 53 % 100 / 100.0).alias("logistic"))

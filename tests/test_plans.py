@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
-from pitframe.operators import asof
+from pitframe.operators import asof, stats
 from pitframe.operators.windows import Series
 from pitframe.plans import catalog
 from pitframe.sources import views
@@ -37,7 +39,26 @@ def test_scans_read_only_what_they_need(spark, sf_dir):
 
 
 def test_no_query_needs_a_cartesian_product(spark, sf_dir):
-    for name in ("j5_many_asof", "j22_all_paths", "j3_price_at_or_before", "m1_fold_rows"):
+    for name in ("j22_all_paths", "m1_fold_rows"):
         assert "CartesianProduct" not in plan(catalog.queries()[name](spark, sf_dir)), name
-    for name in ("m1_fold_rows", "j2_feature_targets", "w11_rolling_beta"):
-        assert "BroadcastNestedLoopJoin" not in plan(catalog.queries()[name](spark, sf_dir)), name
+    for name in ("m1_fold_rows", "j2_feature_targets", "w11_rolling_beta", "j3_price_at_or_before", "j4_regime_in_force", "j5_many_asof", "b3_contexts", "b5_marked", "a10_covariance"):
+        text = plan(catalog.queries()[name](spark, sf_dir))
+        assert "BroadcastNestedLoopJoin" not in text and "CartesianProduct" not in text, name
+
+
+def test_no_window_holds_all_rows(spark, sf_dir):
+    one_task = re.compile(r"Window \[[^\n]*\n[^\n]*Sort[^\n]*\n[^\n]*Exchange SinglePartition")
+    plans = {n: plan(catalog.queries()[n](spark, sf_dir)) for n in ("w22_rank_share", "w23_rank_of_all", "a19_auc", "j3_price_at_or_before", "j4_regime_in_force", "b3_contexts", "w5_w6_w7_oscillators", "a10_covariance")}
+    plans["auc of all"] = plan(stats.auc(views.scores(spark, sf_dir), "y", "p"))
+    for name, text in plans.items():
+        assert not one_task.search(text), name
+        assert not re.search(r"windowspecdefinition\(0,", text), name  # no constant key either
+    for name in ("w22_rank_share", "a19_auc", "j3_price_at_or_before", "w5_w6_w7_oscillators", "a10_covariance"):
+        assert "SinglePartition" not in plans[name].split("Subquery", 1)[0], name
+
+
+def test_covariance_is_one_aggregation_of_tasks_sums(spark, sf_dir, tmp_path):
+    path = str(tmp_path / "r")
+    views.prices(spark, sf_dir).select("date", "symbol", "close").write.parquet(path)
+    text = plan(stats.covariance(spark.read.parquet(path), "date", "symbol", "close"))
+    assert text.count("Exchange hashpartitioning") == 3 and "Join" not in text and text.count("MapInPandas") == 1  # by series, by time, by pair
