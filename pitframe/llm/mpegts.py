@@ -133,12 +133,33 @@ def _read_section(packets: np.ndarray, pid: int) -> bytes:
     return section
 
 
+def _continuity(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which packets of one PID break its count, and which are the one repetition that a packet may have.
+
+    A packet with a payload counts one on; one without keeps the count; one
+    whose adaptation field says so may have any count.  A repetition has the
+    count and the bytes of the packet before, its clock apart.
+    """
+    control, counter = p[:, 3] >> 4 & 3, p[:, 3].astype(np.int32) & 15
+    has, field = control & 1 != 0, control & 2 != 0
+    flags = np.where(field & (p[:, 4] > 0), p[:, 5], 0)
+    step = np.append(1, np.diff(counter) % 16)
+    alike = p[1:] == p[:-1]
+    alike[:, 6:12] |= (flags[1:] & flags[:-1] & 0x10 != 0)[:, None]  # the clock
+    again = np.append(False, has[1:] & has[:-1] & (step[1:] == 0) & alike.all(1)) if len(p) else np.zeros(0, bool)
+    again[1:] &= ~again[:-1]
+    wrong = (flags & 0x80 == 0) & ~again & (step != has)
+    wrong[:1] = False
+    return wrong, again
+
+
 def demux(media: bytes) -> dict:
     """The payload and structure of a transport stream, or a ``ValueError`` that says what is wrong.
 
     Follows the program association and map tables to the first elementary
-    stream, checks its continuity counters, joins its PES packets, and lists
-    each unit's timestamp, first packet and whether decoding may start there.
+    stream, checks its continuity counters (repeated packets, packets without
+    payload and flagged jumps are as they should be), joins its PES packets,
+    and lists each unit's timestamp, first packet and whether decoding may start there.
     """
     if not media or len(media) % PACKET:
         raise ValueError("not a whole number of transport packets")
@@ -154,13 +175,13 @@ def demux(media: bytes) -> dict:
     stream_type = pmt[12 + info]
     pid = int.from_bytes(pmt[13 + info : 15 + info], "big") & 0x1FFF
     own = np.flatnonzero(((packets[:, 1].astype(np.int32) & 0x1F) << 8 | packets[:, 2]) == pid)
+    wrong, again = _continuity(packets[own])
+    if gaps := int(wrong.sum()):
+        raise ValueError(f"{gaps} continuity errors")
+    own = own[~again]
     p = packets[own]
     control = p[:, 3] >> 4 & 3
     extra = np.where(control & 2, p[:, 4].astype(np.int32) + 1, 0)
-    counters = p[:, 3] & 15
-    gaps = int((np.diff(counters.astype(np.int32)) % 16 != 1).sum())
-    if gaps:
-        raise ValueError(f"{gaps} continuity errors")
     offset = np.where(control & 1, 4 + extra, PACKET)
     starts = np.flatnonzero(p[:, 1] & 0x40)
     sizes = PACKET - offset

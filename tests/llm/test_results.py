@@ -275,6 +275,34 @@ def test_damaged_streams_are_noticed():
         mpegts.demux(bytes(media))
 
 
+def test_legal_counts_of_transport_packets():
+    payload = bytes(range(256)) * 150
+    media = mpegts.mux(payload, len(payload))
+    whole = mpegts.demux(media)
+    packets = [bytearray(media[i : i + 188]) for i in range(0, len(media), 188)]
+    join = lambda xs: b"".join(map(bytes, xs))
+    own = [i for i, x in enumerate(packets) if (x[1] & 0x1F) << 8 | x[2] == mpegts.STREAM_PID]
+    twice = [x for i, x in enumerate(packets) for x in ([x, x] if i in (own[0], own[5], own[-1]) else [x])]
+    assert mpegts.demux(join(twice))["payload"] == payload
+    clocked = bytearray(packets[own[0]])
+    clocked[8] ^= 1  # a repetition has its own clock
+    assert mpegts.demux(join([*packets[: own[0] + 1], clocked, *packets[own[0] + 1 :]]))["payload"] == payload
+    idle = bytearray(b"\xff" * 188)
+    idle[:6] = bytes([0x47, mpegts.STREAM_PID >> 8, mpegts.STREAM_PID & 255, 0x20 | packets[own[3]][3] & 15, 183, 0])
+    assert mpegts.demux(join([*packets[: own[3] + 1], idle, *packets[own[3] + 1 :]]))["pts"] == whole["pts"]
+    with pytest.raises(ValueError, match="1 continuity error"):
+        mpegts.demux(join([*packets[: own[5] + 1], packets[own[5]], packets[own[5]], *packets[own[5] + 1 :]]))
+    first = next(i for i in own[1:] if packets[i][3] & 0x20 and packets[i][4] > 0 and packets[i][1] & 0x40)
+    jumped = [bytearray(x) for x in packets]
+    for i in own:
+        if i >= first:
+            jumped[i][3] = jumped[i][3] & 0xF0 | (jumped[i][3] + 5) & 15
+    with pytest.raises(ValueError, match="1 continuity error"):
+        mpegts.demux(join(jumped))
+    jumped[first][5] |= 0x80
+    assert mpegts.demux(join(jumped))["payload"] == payload
+
+
 def test_streams_can_be_entered_at_random_access_points(spark):
     text = "".join(f"line {i}\n" for i in range(4000))
     media = mpegts.mux(*mpegts.padded(text))
