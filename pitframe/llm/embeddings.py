@@ -116,7 +116,8 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, fit_rows: int = FIT
 
     A vector that is null, empty, zero, or holds null or non-finite components
     links with nothing; vectors of different lengths do not link.  Rows with a
-    null vec_id link with nothing, have a null component and are kept.  Rows
+    null vec_id are compared like others; as they have no number, they name no
+    component, and are kept only where no row that they reach has one.  Rows
     that repeat a vec_id are vectors of their own.  An empty table gives an
     empty one; other columns are ignored.
     """
@@ -130,7 +131,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, fit_rows: int = FIT
 
     unit = cut(rows.mapInPandas(units, "vec_id long, unit binary").select("*", F.sha2("unit", 256).alias("key"), F.monotonically_increasing_id().alias("rid")))
     # A class is named by a row of it, as ids may repeat with other vectors.
-    classes = cut(unit.where("unit is not null and vec_id is not null").groupBy("key").agg(
+    classes = cut(unit.where("unit is not null").groupBy("key").agg(
         F.min("rid").alias("cls"), F.min("vec_id").alias("least"), F.count("*").alias("weight"), F.first("unit").alias("unit")
     ).withColumn("uid", F.xxhash64("key")))
     n = classes.count()
@@ -176,12 +177,12 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, fit_rows: int = FIT
         classes.select("key", "cls", "least", "weight").join(counts, "cls", "left").join(roots, "cls", "left")
         .where("weight > 1 or links is not null").withColumn("root", F.coalesce("root", "cls"))
     )
-    known = known.join(known.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("key", "component_id", "weight", "links", F.lit(True).alias("ok"))
-    found = unit.select("vec_id", "key", F.col("vec_id").isNotNull().alias("ok")).join(known, ["key", "ok"], "left")
+    known = known.join(known.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("key", "component_id", "weight", "links")
+    found = unit.select("vec_id", "key").join(known, "key", "left")
     component = F.coalesce("component_id", "vec_id")
     return found.select(
         "vec_id",
         (F.coalesce("weight", F.lit(1)) - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
         component.alias("component_id"),
-        F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"),
+        F.coalesce(F.col("vec_id") == component, component.isNull()).alias("kept"),
     )
