@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 CAPACITIES = (512, 1024, 2048, 4096)
 
 #: What a bin costs besides its length: attention grows with the square of a
-#: sequence, so a long bin costs more per token; every bin has a fixed part.
-FIXED_COST = 32.0
+#: sequence, and every bin has a fixed part.  Short bins pay for the one, long
+#: ones for the other; here full bins of 1,024 and 2,048 cost least per token,
+#: so a short piece opens a bin that others are to fill.
+FIXED_COST = 128.0
 SQUARE_COST = 1 / 16384
 
 #: Pieces of a shard, about; with pieces of at most the largest capacity this bounds a task's memory.

@@ -370,6 +370,71 @@ def test_best_fit_against_brute_force(sizes):
     assert sum(c for c, _ in got) == sum(c for c, _ in want) and len(got) == len(want)
 
 
+def smallest_fit(sizes, caps):
+    """Plain best fit decreasing: a piece without room opens the least length that holds it."""
+    bins = []
+    for n in sizes:
+        fits = [b for b in bins if b[0] - b[1] >= n]
+        best = min(fits, key=lambda b: b[0] - b[1]) if fits else [min(c for c in caps if c >= n), 0]
+        if not fits:
+            bins.append(best)
+        best[1] += n
+    return sum(packing.bin_cost(c) for c, _ in bins)
+
+
+def packed_cost(sizes):
+    """What the bins cost, how many were downsized, and how many opened longer than their first piece needs."""
+    used, first, cost = defaultdict(int), {}, {}
+    left, opened = sum(sizes), {}
+    for n, (b, _, cap) in zip(sizes, packing.best_fit(sizes, packing.CAPACITIES)):
+        opened.setdefault(b, packing.opening(n, left, packing.CAPACITIES))
+        first.setdefault(b, n)
+        used[b] += n
+        cost[b] = packing.bin_cost(cap)
+        left -= n
+        assert used[b] <= cap
+    small = lambda n: min(c for c in packing.CAPACITIES if c >= n)
+    return sum(cost.values()), sum(opened[b] > small(used[b]) for b in used), sum(opened[b] > small(first[b]) for b in used)
+
+
+def test_lengths_are_chosen_jointly():
+    rng = np.random.default_rng(8)
+    saved = []
+    for width in (0.5, 1.0, 1.5):
+        for n in (30, 300, 2000):
+            sizes = sorted(np.clip(rng.lognormal(5.5, width, n), 1, 4096).astype(int).tolist(), reverse=True)
+            cost, shrunk, longer = packed_cost(sizes)
+            assert longer > 0
+            saved.append((1 - cost / smallest_fit(sizes, packing.CAPACITIES), shrunk))
+    assert min(x for x, _ in saved) > -0.01 and np.mean([x for x, _ in saved]) > 0.02 and sum(k for _, k in saved) > 0
+
+
+def least_cost(sizes):
+    """The cheapest way to put few pieces into bins, by going through all partitions."""
+    best = {0: 0.0}
+    for mask in range(1, 1 << len(sizes)):
+        low, rest = mask & -mask, mask ^ (mask & -mask)
+        sub, found = rest, np.inf
+        while True:
+            total = sum(n for i, n in enumerate(sizes) if (sub | low) >> i & 1)
+            if total <= 4096:
+                found = min(found, best[rest ^ sub] + packing.bin_cost(min(c for c in packing.CAPACITIES if c >= total)))
+            if not sub:
+                break
+            sub = (sub - 1) & rest
+        best[mask] = found
+    return best[(1 << len(sizes)) - 1]
+
+
+def test_packing_is_near_the_least_cost():
+    rng = np.random.default_rng(9)
+    over = []
+    for _ in range(25):
+        sizes = sorted(np.clip(rng.lognormal(6, 1, 8), 1, 4096).astype(int).tolist(), reverse=True)
+        over.append(packed_cost(sizes)[0] / least_cost(sizes))
+    assert min(over) >= 1 - 1e-9 and max(over) < 1.35 and np.mean(over) < 1.1
+
+
 def test_packed_token_files(spark, sf_dir):
     """Ids that the tokenizer wrote to files, packed and put together again."""
     import public_tokenizers
