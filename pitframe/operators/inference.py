@@ -41,6 +41,11 @@ def block_length(n: int, horizon: int) -> int:
     return max(1, min(horizon, n // 8))
 
 
+def block_length_of(n: Column, horizon: Column) -> Column:
+    """:func:`block_length` for columns."""
+    return F.greatest(F.lit(1), F.least(horizon, F.floor(n / 8)))
+
+
 def stationary_indices(n: int, mean_block: int, rng: np.random.Generator) -> np.ndarray:
     """A circular resample in blocks of geometric length (Politis and Romano, 1994)."""
     fresh = rng.random(n) < 1 / mean_block

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitframe.operators.windows import Series
@@ -31,17 +31,27 @@ def targets(prices: DataFrame, entity: str, gold: str, peer: str, horizon: int,
     return joined.select(at, "forward_return", beats("_g").alias("outperform_gold"), beats("_p").alias("beat_peer"))
 
 
-def folds(spark, n: int, walk: Walk) -> DataFrame:
-    """Row bounds, upper ones open, of each fold: training ends an embargo before its test begins."""
-    last = n - walk.test
-    rows = spark.range(walk.train + walk.embargo, last + 1, walk.step) if last >= walk.train + walk.embargo else spark.range(0)
-    start = F.col("id")
+def series_folds(sizes: DataFrame, walk: Walk, n: str = "n") -> DataFrame:
+    """Row bounds, upper ones open, of each fold of series of ``n`` rows: training ends an embargo before its test begins.
+
+    One row of ``sizes`` per series; one that is too short, or has a null
+    length, has no folds.
+    """
+    first, last = F.lit(walk.train + walk.embargo), F.col(n) - walk.test
+    start = F.col("_start")
+    starts = F.when(last >= first, F.sequence(first.cast("long"), F.greatest(first, last).cast("long"), F.lit(walk.step).cast("long")))
+    rows = sizes.withColumn("_start", F.explode(starts))
     return rows.select(
-        ((start - walk.train - walk.embargo) / walk.step).cast("int").alias("fold"), (start - walk.embargo - walk.train).alias("train_lo"), (start - walk.embargo).alias("train_hi"),
+        *[c for c in sizes.columns if c != n], ((start - walk.train - walk.embargo) / walk.step).cast("int").alias("fold"), (start - walk.embargo - walk.train).alias("train_lo"), (start - walk.embargo).alias("train_hi"),
         start.alias("test_lo"), (start + walk.test).alias("test_hi"),
     )
 
 
+def folds(spark, n: int, walk: Walk) -> DataFrame:
+    """The folds of one series of ``n`` rows."""
+    return series_folds(spark.range(1).select(F.lit(n).alias("n")), walk)
+
+
 def fitted_walk(n: int, horizon: int) -> Walk | None:
     """Lengths scaled to the rows there are; None where no test fits."""
     if n < 80:
@@ -52,6 +62,16 @@ def fitted_walk(n: int, horizon: int) -> Walk | None:
     return Walk(train, test, step, horizon) if train + horizon + test <= n else None
 
 
+def fitted_lengths(n: Column, horizon: Column) -> Column:
+    """:func:`fitted_walk` for columns: a struct of ``train``, ``test`` and ``step``, null where no test fits."""
+    within = lambda low, share, high: F.least(F.lit(high), F.greatest(F.lit(low), F.floor(n * share)))
+    train, test, step = within(40, 0.55, 252), within(10, 0.12, 42), within(5, 0.08, 21)
+    fits = lambda x: x["train"] + horizon + x["test"] <= n
+    shorter = F.transform(F.sequence(F.lit(0), F.lit(23)), lambda k: F.struct((train - 10 * k).alias("train"), F.greatest(F.lit(8), test - 2 * k).alias("test"), step.alias("step")))
+    first = F.get(F.filter(shorter, lambda x: (x["train"] <= 30) | fits(x)), F.lit(0))
+    return F.when((n >= 80) & fits(first), first)
+
+
 def walk_rows(rows: DataFrame, walk: Walk, by: Sequence[str], at: str = "date") -> DataFrame:
     """``rows`` once for each ``fold`` of their series that holds them, with ``rn`` and ``part`` (train or test).
 

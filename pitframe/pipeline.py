@@ -8,6 +8,9 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 #: Stages in order, with their share of a full run.
 WEIGHTS = {"etl": 10, "features": 12, "regime": 4, "train": 58, "predict": 6, "history": 6, "portfolio": 2, "paper": 2}
 HORIZONS = (5, 10, 20, 63, 126)
@@ -46,6 +49,19 @@ def resolve(preset: str | None = None, **override) -> Run:
     return Run(stages, horizons, tuple(entities) if entities else base.entities, flag("walk_forward"), flag("liquid_only"))
 
 
+def resolve_rows(requests: DataFrame) -> DataFrame:
+    """:func:`resolve` for a table of requests: ``preset``, ``stages`` and ``horizons``, each of which may be null."""
+    bases = {name: Run(**options) for name, options in PRESETS.items()}
+
+    def chosen(part: str, known: Sequence):
+        values = lambda xs: F.array(*map(F.lit, xs))
+        base = F.coalesce(*[F.when(F.col("preset") == name, values(getattr(run, part))) for name, run in bases.items()], values(getattr(bases["full"], part)))
+        own = F.filter(values(known), lambda x: F.coalesce(F.array_contains(part, x), F.lit(False)))
+        return F.when(F.size(own) > 0, own).otherwise(base)
+
+    return requests.withColumns({"stages": chosen("stages", tuple(WEIGHTS)), "horizons": chosen("horizons", HORIZONS)})
+
+
 @dataclass
 class Tracker:
     """The state of the one run that may be on; safe to read from other threads."""

@@ -356,11 +356,19 @@ def explain(spark, d):
     return got.unionByName(part("nodes", seeds.graph_nodes(spark))).unionByName(part("core edges", seeds.graph_edges(spark).where("core").limit(8)))
 
 
-@query("c1_c2_runs", "select * from (values ('refresh_prices', 3, 5), ('rescore_signals', 2, 5), ('train_short', 2, 3), ('rebuild_paper', 2, 3), ('full', 8, 5)) x(preset, stages, horizons)")
+@query("c1_c2_runs", """with r as (select ['refresh_prices', 'rescore_signals', 'train_short', 'rebuild_paper', 'full', 'unknown', null][event_id % 7 + 1] as preset, event_id % 4 = 0 as own_stages, user_id % 3 = 0 as own_horizons, user_id % 2 = 0 as even from events)
+  select preset, cast(case when own_stages then 1 when preset = 'refresh_prices' then 3 when preset in ('rescore_signals', 'train_short', 'rebuild_paper') then 2 else 8 end as integer) as stages,
+    cast(case when own_horizons then case when even then 2 else 1 end when preset in ('train_short', 'rebuild_paper') then 3 else 5 end as integer) as horizons, count(*) as requests from r group by 1, 2, 3""")
 def runs(spark, d):
-    from pitframe.pipeline import PRESETS, resolve
-
-    return spark.createDataFrame([(p, len(resolve(p).stages), len(resolve(p).horizons)) for p in PRESETS], "preset string, stages int, horizons int")
+    """What runs are asked for by events: a preset that may be unknown, with stages and horizons of which some are."""
+    from pitframe.pipeline import PRESETS, resolve_rows
+
+    e = v.table(spark, d, "events").select("event_id", "user_id", "event_type")
+    preset = F.element_at(F.array(*map(F.lit, [*PRESETS, "unknown", None])), (F.col("event_id") % 7 + 1).cast("int"))
+    stages = F.when(F.col("event_id") % 4 == 0, F.array("event_type", F.lit("train")))
+    horizons = F.when(F.col("user_id") % 3 == 0, F.array(F.lit(5), F.lit(7), (F.lit(20) + F.col("user_id") % 2).cast("int")))
+    got = resolve_rows(e.select(preset.alias("preset"), stages.alias("stages"), horizons.alias("horizons")))
+    return got.select("preset", F.size("stages").alias("stages"), F.size("horizons").alias("horizons")).groupBy("preset", "stages", "horizons").agg(F.count("*").alias("requests"))
 
 
 @query("c5_study_rows", with_views("prices") + f""", p as (select symbol, date, close / nullif(lag(close, 20) {_W}, 0) - 1 as m, lead(close, 10) {_W} / nullif(close, 0) - 1 as f from prices)

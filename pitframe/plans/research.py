@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitframe.operators import graph, inference, labels, paper, portfolio, stats
@@ -26,18 +28,30 @@ def targets(spark, d):
     return labels.targets(v.prices(spark, d), v.BENCHMARK, v.GOLD, PEER, 10).withColumn("forward_return", F.round("forward_return", 6))
 
 
+_SIZES = "z as (select symbol, year(date) as year, count(*) as n from prices group by 1, 2)"
+
+
+def _sizes(spark, d):
+    """Rows of each series and year, at each horizon."""
+    n = v.prices(spark, d).groupBy("symbol", F.year("date").cast("long").alias("year")).agg(F.count("*").alias("n"))
+    return n.withColumn("horizon_days", F.explode(F.array(*map(F.lit, v.HORIZONS))))
+
+
 _FOLDS = "select cast((s - 50) / 10 as int) as fold, s - 50 as train_lo, s - 10 as train_hi, s as test_lo, s + 1 as test_hi from (select unnest(range(50, 120, 10)) as s)"
 
 
-@query("m1_walk_forward", _FOLDS)
+@query("m1_walk_forward", PX + """select symbol, cast((s - 50) / 10 as int) as fold, s - 50 as train_lo, s - 10 as train_hi, s as test_lo, s + 1 as test_hi from (select symbol, unnest(range(50, n, 10)) as s from (select symbol, count(*) as n from prices group by 1))""")
 def walk_forward(spark, d):
-    return labels.folds(spark, 120, labels.Walk(40, 1, 10, 10))
+    return labels.series_folds(v.prices(spark, d).groupBy("symbol").agg(F.count("*").alias("n")), labels.Walk(40, 1, 10, 10))
 
 
-@query("m2_fitted_walk", "select * from (values (79, null, null, null), (80, 44, 10, 6), (150, 82, 18, 12), (600, 252, 42, 21)) x(n, train, test, step)")
+@query("m2_fitted_walk", PX + f""", {_SIZES}, h as (select *, unnest({list(v.HORIZONS)}) as horizon_days from z),
+  c as (select *, unnest(range(24)) as k, least(252, greatest(40, floor(n * 0.55))) as a, least(42, greatest(10, floor(n * 0.12))) as b, least(21, greatest(5, floor(n * 0.08))) as step from h),
+  f as (select symbol, year, n, horizon_days, a - 10 * k as train, greatest(8, b - 2 * k) as test, step, k, a - 10 * k + horizon_days + greatest(8, b - 2 * k) <= n as fits from c)
+  select symbol, cast(year as bigint) as year, n, horizon_days, cast(case when n >= 80 and fits then train end as bigint) as train, cast(case when n >= 80 and fits then test end as bigint) as test, cast(case when n >= 80 and fits then step end as bigint) as step
+  from f where fits or train <= 30 qualify row_number() over (partition by symbol, year, horizon_days order by k) = 1""")
 def fitted_walk(spark, d):
-    rows = [(n, w.train, w.test, w.step) if (w := labels.fitted_walk(n, 10)) else (n, None, None, None) for n in (79, 80, 150, 600)]
-    return spark.createDataFrame(rows, "n int, train int, test int, step int")
+    return _sizes(spark, d).withColumn("w", labels.fitted_lengths(F.col("n"), F.col("horizon_days"))).select("symbol", "year", "n", "horizon_days", "w.*")
 
 
 @query("m1_fold_rows", PX + f""", {_TARGETS}, r as (select *, row_number() over (order by date) - 1 as rn from t), b as ({_FOLDS.replace("120", "(select count(*) from t)")})
@@ -117,15 +131,17 @@ def dm_statistic(spark, d):
     return got.select("symbol", F.col("n_obs").cast("long").alias("n"), F.round("mean_loss_diff", 8).alias("mean_loss_diff"), F.round("statistic", 6).alias("statistic"))
 
 
-@query("i3_block_length", "select n, h, greatest(1, least(h, n // 8)) as block from (values (3, 10), (41, 10), (80, 5), (200, 20)) x(n, h)")
+@query("i3_block_length", PX + f", {_SIZES} select symbol, cast(year as bigint) as year, n, h as horizon_days, greatest(1, least(h, n // 8)) as block from (select *, unnest({list(v.HORIZONS)}) as h from z)")
 def block(spark, d):
-    return spark.createDataFrame([(n, h, inference.block_length(n, h)) for n, h in ((3, 10), (41, 10), (80, 5), (200, 20))], "n int, h int, block int")
+    return _sizes(spark, d).withColumn("block", inference.block_length_of(F.col("n"), F.col("horizon_days")))
 
 
-@query("i7_holm", "with p as (select ps_k as k, p from (values (0, 0.01), (1, 0.04), (2, 0.03), (3, 0.005), (4, 0.04)) x(ps_k, p)), r as (select *, row_number() over (order by p, k) as rank, count(*) over () as n from p) select k, rank, round(max(least(1.0, p * (n - rank + 1))) over (order by rank), 6) as p_adjusted from r")
+@query("i7_holm", with_views("predictions") + """, r as (select id, date, entity, prob as p, row_number() over (partition by date, entity order by prob, id) as rank, count(*) over (partition by date, entity) as n from predictions)
+  select id, rank, round(max(least(1.0, p * (n - rank + 1))) over (partition by date, entity order by rank), 6) as p_adjusted from r""")
 def holm(spark, d):
-    df = spark.createDataFrame([(0, 0.01), (1, 0.04), (2, 0.03), (3, 0.005), (4, 0.04)], "k int, p double")
-    return stats.holm(df, [], "k", "p").select("k", "rank", F.round("p_adjusted", 6).alias("p_adjusted"))
+    """The probabilities of a day and entity as a family of p-values."""
+    p = v.predictions(spark, d).select("id", "date", "entity", "prob")
+    return stats.holm(p, ["date", "entity"], "id", "prob").select("id", "rank", F.round("p_adjusted", 6).alias("p_adjusted"))
 
 
 @query("i8_losses", with_views("scores") + "select id, round((y - p) * (y - p), 8) as squared, round(-(y - p), 8) as economic from scores")
@@ -222,14 +238,32 @@ def _edge_values() -> str:
     return "(values " + ", ".join(f"({i}, '{e[0]}', '{e[1]}', '{e[2]}', {str(i < 5).lower()})" for i, e in enumerate(seeds.EDGES)) + ") x(edge_id, source, target, direction, core)"
 
 
-@query("g1_edges", f"select source, target, direction from (select *, row_number() over (partition by source, target order by edge_id desc) as k from {_edge_values()}) where k = 1")
+def _node_values() -> str:
+    return "(values " + ", ".join(f"('{n[0]}')" for n in seeds.NODES) + ") x(name)"
+
+
+_GRAPH = f"""with g as (select edge_id, source, target, direction, core from {_edge_values()}
+  union all select 1000 + o_orderkey, n_name, o_orderpriority, o_orderstatus, false from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey)"""
+
+
+def _graph(spark, d):
+    """The seed's edges, and one for each order from its customer's country to its priority."""
+    o = v.table(spark, d, "orders").select((F.col("o_orderkey") + 1000).alias("edge_id"), F.col("o_custkey").alias("c_custkey"), F.col("o_orderpriority").alias("target"), F.col("o_orderstatus").alias("direction"))
+    c = v.table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("n_nationkey")).join(v.table(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("source")), "n_nationkey")
+    orders = o.join(c, "c_custkey").withColumn("core", F.lit(False))
+    kept = ("edge_id", "source", "target", "direction", "core")
+    return seeds.graph_edges(spark).select(*kept).unionByName(orders.select(*kept))
+
+
+@query("g1_edges", _GRAPH + "select source, target, direction from g qualify row_number() over (partition by source, target order by edge_id desc) = 1")
 def edges(spark, d):
-    return graph.latest_edges(seeds.graph_edges(spark), "edge_id").select("source", "target", "direction")
+    return graph.latest_edges(_graph(spark, d), "edge_id").select("source", "target", "direction")
 
 
-@query("g2_causes", f"select edge_id, source from {_edge_values()} where target = 'Gold'")
+@query("g2_causes", _GRAPH + "select edge_id, source from g where target in ('Gold', '1-URGENT')")
 def causes(spark, d):
-    return graph.causes_of(seeds.graph_edges(spark), "Gold").select("edge_id", "source")
+    g = _graph(spark, d)
+    return graph.causes_of(g, "Gold").unionByName(graph.causes_of(g, "1-URGENT")).select("edge_id", "source")
 
 
 _PATHS = """with recursive e as (select distinct source, target from {edges}), p as (select source as start, target as last, [source, target] as path from e where source <> target {first}
@@ -237,10 +271,15 @@ _PATHS = """with recursive e as (select distinct source, target from {edges}), p
   select start, last as "end", array_to_string(path, ' > ') as path, len(path) - 1 as edges from p where {final}"""
 
 
-@query("g3_transmission", _PATHS.format(edges=_edge_values(), first="and source = 'Fed Policy'", final="last = 'Mining Stocks'"))
+@query("g3_transmission", _PATHS.format(edges="a", first="and source = 'Fed Policy'", final="last in ('Mining Stocks', (select max(s_name) from supplier))").replace("with recursive e", "with recursive " + with_views("edges").removeprefix("with ").rstrip() + f", a as (select * from edges union all select 'Gold', r_name from region union all select source, target from {_edge_values()}), e"))
 def transmission(spark, d):
+    """All ways from policy to mining stocks, and through gold and its regions to the last supplier."""
+    gold = v.table(spark, d, "region").select(F.lit("Gold").alias("source"), F.col("r_name").alias("target"))
+    e = v.edges(spark, d).unionByName(gold).unionByName(seeds.graph_edges(spark).select("source", "target"))
     starts = spark.createDataFrame([("Fed Policy",)], "start string")
-    return graph.simple_paths(seeds.graph_edges(spark), starts, "Mining Stocks").withColumn("path", F.array_join("path", " > "))
+    last = v.table(spark, d, "supplier").agg(F.max("s_name")).first()[0]
+    ways = [graph.simple_paths(e, starts, end) for end in ("Mining Stocks", last) if end is not None]
+    return reduce(DataFrame.unionByName, ways).withColumn("path", F.array_join("path", " > "))
 
 
 @query("j22_all_paths", _PATHS.format(edges="edges", first="", final="true").replace("with recursive e", "with recursive " + with_views("edges").removeprefix("with ").rstrip() + ", e"))
@@ -260,15 +299,18 @@ def paths_to_supplier(spark, d):
     return graph.simple_paths(e, spark.createDataFrame([(_HUB,)], "start string"), end).withColumn("path", F.array_join("path", " > "))
 
 
-@query("g4_graph_counts", f"select 21 as nodes, count(*) as edges, count(*) filter (core) as core from {_edge_values()}")
+@query("g4_graph_counts", _GRAPH + f", n as (select source as name from g union select target from g union select name from {_node_values()}) select (select count(*) from n) as nodes, count(*) as edges, count(*) filter (core) as core from g")
 def graph_counts(spark, d):
-    e = seeds.graph_edges(spark).agg(F.count("*").alias("edges"), F.count_if("core").alias("core"))
-    return seeds.graph_nodes(spark).agg(F.count("*").alias("nodes")).join(F.broadcast(e))
+    g = _graph(spark, d)
+    ends = g.select(F.explode(F.array("source", "target")).alias("name")).unionByName(seeds.graph_nodes(spark).select("name")).distinct()
+    counted = lambda df, nodes, edges, core: df.select(F.lit(nodes).alias("nodes"), F.lit(edges).alias("edges"), core.cast("int").alias("core"))
+    parts = counted(ends, 1, 0, F.lit(0)).unionByName(counted(g, 0, 1, F.col("core")))
+    return parts.agg(*[F.sum(c).alias(c) for c in ("nodes", "edges", "core")])
 
 
-@query("g5_top_hypotheses", f"select target, source, k from (select target, source, row_number() over (partition by target order by edge_id) as k from {_edge_values()} where target in ('Gold', 'Mining Stocks', 'Senior Gold Miners', 'GDX')) where k <= 3")
+@query("g5_top_hypotheses", _GRAPH + "select target, source, k from (select target, source, row_number() over (partition by target order by edge_id) as k from g where target in ('Gold', 'Mining Stocks', 'Senior Gold Miners', 'GDX', '1-URGENT', '2-HIGH')) where k <= 3")
 def top_hypotheses(spark, d):
-    e = seeds.graph_edges(spark).where(F.col("target").isin("Gold", "Mining Stocks", "Senior Gold Miners", "GDX"))
+    e = _graph(spark, d).where(F.col("target").isin("Gold", "Mining Stocks", "Senior Gold Miners", "GDX", "1-URGENT", "2-HIGH"))
     return e.withColumn("k", F.row_number().over(Window.partitionBy("target").orderBy("edge_id"))).where("k <= 3").select("target", "source", "k")
 
 
@@ -375,10 +417,11 @@ def nav_stats(spark, d):
     return got.select("horizon_days", "as_of", "nav", "total_return", "max_drawdown")
 
 
-@query("b9_missing_books", "select * from (values (20), (63), (126)) x(horizon_days)")
+@query("b9_missing_books", "select distinct o_custkey as horizon_days from orders where o_custkey not in (select o_custkey from orders where o_orderstatus = 'P')")
 def missing_books(spark, d):
-    h = spark.createDataFrame([(x,) for x in v.HORIZONS], "horizon_days int")
-    return paper.missing_books(h, h.where("horizon_days <= 10"))
+    """Each customer's orders as a book; one with a pending order is there already."""
+    o = v.table(spark, d, "orders").select(F.col("o_custkey").alias("horizon_days"), "o_orderstatus")
+    return paper.missing_books(o.select("horizon_days").distinct(), o.where("o_orderstatus = 'P'").select("horizon_days").distinct())
 
 
 @query("b10_recent_orders", "select horizon_days, date, seq from (select o_custkey % 5 as horizon_days, cast(o_orderdate as date) as date, o_orderkey as seq, row_number() over (partition by o_custkey % 5 order by cast(o_orderdate as date) desc, o_orderkey desc) as k from orders) where k <= 40")

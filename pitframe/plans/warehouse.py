@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import functions as F
 
 from pitframe.functions.text import RISK_WORDS
@@ -50,19 +48,34 @@ def preference(spark, d):
     return have.unionByName(none)
 
 
-@query("s6_seed_purchases", "select cast(m as date) as month, c as country, cast(t as double) as purchase_tonnes from " + _values([(f"2024-0{i + 1}-01", c, t) for c, ts in seeds.PURCHASES_2024.items() for i, t in enumerate(ts)]) + " x(m, c, t)")
+_PURCHASES = _values([(f"2024-0{i + 1}-01", c, t) for c, ts in seeds.PURCHASES_2024.items() for i, t in enumerate(ts)])
+
+
+@query("s6_seed_purchases", with_views("monthly") + f""", o as (select cast(month + interval 26 year as date) as month, country, round(purchase, 2) as purchase_tonnes from monthly)
+  select * from o union all select cast(m as date), upper(c), cast(t as double) from {_PURCHASES} x(m, c, t) where not exists (select 1 from o where o.month = cast(m as date) and o.country = upper(c))""")
 def seed_purchases(spark, d):
-    return seeds.purchases(spark)
+    """The tables' monthly purchases, 26 years on, with the seed rows of months and countries that they lack."""
+    have = v.monthly(spark, d).select(F.add_months("month", 12 * 26).alias("month"), "country", F.round("purchase", 2).alias("purchase_tonnes"))
+    return w.insert_absent(have, seeds.purchases(spark).withColumn("country", F.upper("country")), ["month", "country"])
 
 
-@query("s7_seed_quarterly", "select t as ticker, cast(p as double) as production_oz, cast(a as double) as aisc_per_oz from " + _values([r[:3] for r in seeds.QUARTERLY]) + " x(t, p, a)")
+@query("s7_seed_quarterly", "with o as (select p_brand as ticker, sum(l_quantity) as production_oz, round(avg(l_extendedprice / l_quantity), 4) as aisc_per_oz from lineitem join part on l_partkey = p_partkey group by 1) select * from o union all select t, cast(p as double), cast(a as double) from " + _values([r[:3] for r in seeds.QUARTERLY]) + " x(t, p, a) where t not in (select ticker from o)")
 def seed_quarterly(spark, d):
-    return seeds.quarterly(spark).select("ticker", "production_oz", "aisc_per_oz")
+    """Output and unit cost by brand, with the seed rows of companies that the tables lack."""
+    li = v.table(spark, d, "lineitem").select(F.col("l_partkey").alias("p_partkey"), "l_quantity", "l_extendedprice").join(v.table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("ticker")), "p_partkey")
+    have = li.groupBy("ticker").agg(F.sum("l_quantity").alias("production_oz"), F.round(F.avg(F.col("l_extendedprice") / F.col("l_quantity")), 4).alias("aisc_per_oz"))
+    return w.insert_absent(have, seeds.quarterly(spark).select("ticker", "production_oz", "aisc_per_oz"), ["ticker"])
 
 
-@query("s8_universe", "select tier, count(*) as n, count(*) filter (scored) as scored from " + _values(seeds.INSTRUMENTS) + " x(symbol, name, metal, instrument, tier, priced, scored) where priced group by 1")
+@query("s8_universe", "with u as (select tier, scored, priced from " + _values(seeds.INSTRUMENTS) + " x(symbol, name, metal, instrument, tier, priced, scored) union all select p_brand, p_size > 25, p_retailprice > 0 from part) select tier, count(*) as n, count(*) filter (scored) as scored from u where priced group by 1")
 def universe(spark, d):
-    return seeds.instruments(spark).where("priced").groupBy("tier").agg(F.count("*").alias("n"), F.count_if("scored").alias("scored"))
+    """Instruments by tier: the seed's, and the parts as further ones."""
+    text = lambda name: F.lit(name).cast("string")
+    parts = v.table(spark, d, "part").select(
+        F.concat(F.lit("part "), F.col("p_partkey").cast("string")).alias("symbol"), F.col("p_name").alias("name"), text(None).alias("metal"), text("part").alias("instrument"), F.col("p_brand").alias("tier"),
+        (F.col("p_retailprice") > 0).alias("priced"), (F.col("p_size") > 25).alias("scored"),
+    )
+    return w.insert_absent(parts, seeds.instruments(spark), ["symbol"]).where("priced").groupBy("tier").agg(F.count("*").alias("n"), F.count_if("scored").alias("scored"))
 
 
 @query("s9_latest_prices", PX + "select symbol, max(date) as date, round(arg_max(close, date), 6) as close from prices group by 1")
@@ -75,18 +88,23 @@ def scan(spark, d):
     return v.table(spark, d, "part").select("p_partkey", "p_name", "p_size")
 
 
-_EVIDENCE = {"generated": "2026-01-02", "studies": [{"name": "a", "entity": "X", "benchmark": "Y", "n_oos": 41, "auc": 0.568, "accuracy": 0.537, "books": {"boosted": {"final_wealth": 1.26, "total_return": 0.26, "max_drawdown": -0.15, "hit_rate": 0.53}, "always": {"final_wealth": 1.5, "total_return": 0.5, "max_drawdown": -0.2, "hit_rate": None}}}]}
-
-
-@query("s12_evidence", "select 'a' as study, b as book, cast(t as double) as total_return from (values ('boosted', 0.26), ('always', 0.5)) x(b, t)")
+@query("s12_evidence", """with s as (select o_custkey, cast(count(*) as integer) as n, round(sum(o_totalprice) / 1e6, 6) as total from orders group by 1)
+  select 'customer ' || o_custkey as study, b as book, n as n_oos, case when b = 'boosted' then total else total / 2 end as total_return from s, (values ('boosted'), ('always')) x(b)""")
 def evidence(spark, d):
-    _, books = feeds.evidence(spark.createDataFrame([(json.dumps(_EVIDENCE),)], "value string"))
-    return books.select("study", "book", "total_return")
+    """Results of research as JSON texts, one for each customer, read back as studies and books."""
+    o = v.table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").cast("int").alias("n"), F.round(F.sum("o_totalprice") / 1e6, 6).alias("total"))
+    book = lambda x: F.struct((x + 1).alias("final_wealth"), x.alias("total_return"))
+    study = F.struct(F.concat(F.lit("customer "), F.col("o_custkey").cast("string")).alias("name"), F.lit("X").alias("entity"), F.col("n").alias("n_oos"), F.create_map(F.lit("boosted"), book(F.col("total")), F.lit("always"), book(F.col("total") / 2)).alias("books"))
+    studies, books = feeds.evidence(o.select(F.to_json(F.struct(F.lit("2026-01-02").alias("generated"), F.array(study).alias("studies"))).alias("value")))
+    return studies.select(F.col("name").alias("study"), "n_oos").join(books, "study").select("study", "book", "n_oos", "total_return")
 
 
-@query("s13_graph_tables", "select category, count(*) as n from " + _values(seeds.NODES) + " x(name, category, description, source) group by 1")
+@query("s13_graph_tables", "select category, count(*) as n from (select category from " + _values(seeds.NODES) + " x(name, category, description, source) union all select 'region' from region union all select 'country' from nation union all select 'supplier' from supplier) group by 1")
 def graph_tables(spark, d):
-    return seeds.graph_nodes(spark).groupBy("category").agg(F.count("*").alias("n"))
+    """Nodes of the causal graph by category: the seed's, and the tables' places and suppliers."""
+    named = lambda t, name, category: v.table(spark, d, t).select(F.col(name).alias("name"), F.lit(category).alias("category"))
+    places = named("region", "r_name", "region").unionByName(named("nation", "n_name", "country")).unionByName(named("supplier", "s_name", "supplier"))
+    return w.insert_absent(seeds.graph_nodes(spark).select("name", "category"), places, ["name"]).groupBy("category").agg(F.count("*").alias("n"))
 
 
 _NEW = "n as (select s_suppkey as c_custkey, s_name as c_name, s_nationkey as c_nationkey, s_acctbal as c_acctbal, 'NEW' as c_mktsegment from supplier where s_suppkey % 2 = 0 union all select 1000000 + s_suppkey, s_name, s_nationkey, s_acctbal, 'NEW' from supplier where s_suppkey % 3 = 0)"
@@ -123,10 +141,12 @@ def risk_record(spark, d):
     return w.risk_record(scored, _PARTS).select("date", F.round("gpr_index", 6).alias("gpr_index"))
 
 
-@query("k9_insert_absent", "select ticker, exchange from " + _values([(s, "NYSE" if s in seeds.NYSE else "TSX") for s, _, _, kind, _, priced, _ in seeds.INSTRUMENTS if priced and kind in seeds.EQUITY_KINDS]) + " x(ticker, exchange)")
+@query("k9_insert_absent", "select ticker, exchange from " + _values([(s, "NYSE" if s in seeds.NYSE else "TSX") for s, _, _, kind, _, priced, _ in seeds.INSTRUMENTS if priced and kind in seeds.EQUITY_KINDS]) + " x(ticker, exchange) union all select s_name, case when s_suppkey % 2 = 0 then 'OLD' else 'NEW' end from supplier")
 def insert_absent(spark, d):
-    c = seeds.companies(spark)
-    return w.insert_absent(c.where("exchange = 'NYSE'"), c, ["ticker"]).select("ticker", "exchange")
+    """Every second supplier and some companies are there; all come in, and those there stay as they are."""
+    s, c = v.table(spark, d, "supplier"), seeds.companies(spark).select("ticker", "exchange")
+    suppliers = lambda rows, exchange: rows.select(F.col("s_name").alias("ticker"), F.lit(exchange).alias("exchange"))
+    return w.insert_absent(c.where("exchange = 'NYSE'").unionByName(suppliers(s.where("s_suppkey % 2 = 0"), "OLD")), c.unionByName(suppliers(s, "NEW")), ["ticker"])
 
 
 @query("k10_melt", PX + f"""select date, split_part(name, '__', 1) as entity, split_part(name, '__', 2) as feature_name, round(x, 6) as feature_value from (select date, symbol || '__close' as name, close as x from prices where symbol in ('{v.GOLD}', '{v.BENCHMARK}'))""")
