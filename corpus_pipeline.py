@@ -22,25 +22,46 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hierarchical empirical Bayes finds good."""
+    """Documents that hierarchical empirical Bayes finds good.
+
+    A null or empty text goes; null ids have no label and are judged by text
+    and site; repeated rows are judged alike and all stay or go.  Whole texts
+    are read, however long.  Columns other than those of ``documents`` go; an
+    empty table, or one without labels, is judged as :func:`quality` says.
+    """
     labels = table(spark, sf_dir, "labels")
     return keep_quality(docs.select(*COLUMNS), labels, F.col("source"), F.concat_ws("/", "source", "lang"))
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents within reach of a learned language."""
+    """Documents within reach of a learned language.
+
+    A text that is null or has no letter goes; null ids are judged, and teach,
+    like others; repeated rows stay or go together, and of equally near
+    languages the first by name counts.  Where no row has a language, all go.
+    """
     docs = docs.select(*COLUMNS)
     model = fit_language(docs.where(~held_out(F.col("doc_id"))))
     return predict_language(docs, model).where("not rejected").select(*COLUMNS)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates: that with the smallest doc_id.
+
+    Rows with a null doc_id stay, and so do texts without words, which are
+    nobody's copies; a row that comes again stays once.  An empty table stays
+    empty.
+    """
     return keep_one(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' byte tokens packed into sequences of permitted lengths."""
+    """The documents' byte tokens packed into sequences of permitted lengths.
+
+    A null text is an empty one, whose end mark is packed; long texts are cut
+    into pieces; repeated rows and null ids are packed as often as they come.
+    An empty table gives no bins.
+    """
     return pack(byte_tokens(docs.select(*COLUMNS)))
 
 
