@@ -176,7 +176,7 @@ def quality(docs: DataFrame, labels: DataFrame, host: Column, path: Column, fit_
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, host: Column, path: Column, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """The rows of ``docs`` that :func:`quality` keeps, with their columns.
+    """The rows of ``docs`` that :func:`quality` keeps, with their columns; nulls, ties, repeats and empty tables as there.
 
     Texts are not shuffled: the features are taken again in the pass that
     filters, which costs less than moving whole texts to a join.
