@@ -31,6 +31,10 @@ def width_of(vocab: int) -> int:
 
 def pack_bits(ids: np.ndarray, width: int) -> np.ndarray:
     """Ids of ``width`` bits each, least bit first; eight ids fill ``width`` bytes."""
+    if width in (8, 16, 32):  # whole bytes
+        padded = np.zeros(-(-len(ids) // 8) * 8, f"<u{width // 8}")
+        padded[: len(ids)] = ids
+        return padded.view(np.uint8)
     groups = np.zeros((-(-len(ids) // 8), 8), np.uint64)
     groups.reshape(-1)[: len(ids)] = ids
     out = np.zeros((len(groups), width), np.uint8)
@@ -43,6 +47,8 @@ def pack_bits(ids: np.ndarray, width: int) -> np.ndarray:
 
 
 def unpack_bits(data: np.ndarray, width: int, n: int) -> np.ndarray:
+    if width in (8, 16, 32):
+        return np.frombuffer(data[: n * width // 8].tobytes(), f"<u{width // 8}").astype(np.uint32)
     groups = data[: -(-n // 8) * width].reshape(-1, width)
     out = np.empty((len(groups), 8), np.uint32)
     for j in range(8):
@@ -110,22 +116,23 @@ def _encoder(path: str, most: int = MOST_CHUNKS, keep: int = 0) -> ChunkEncoder:
 
     def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Parts that begin with a blank and hold no other go to the library joined, as a text would be."""
-        joined = len(texts) > 1 and all(not t or t[0] == " " and t.rfind(" ") == 0 and not t[1:2].isspace() for t in texts)
-        if not joined:
-            ids = alone(texts)
-            return np.array([len(x) for x in ids], np.int64), np.concatenate([np.empty(0, np.int32), *ids])
         counts, out = np.zeros(len(texts), np.int64), []
-        full = np.array([i for i, t in enumerate(texts) if t])
+        full = [i for i, t in enumerate(texts) if t]
         groups = [full[i : i + 1000] for i in range(0, len(full), 1000)]
-        for group, ids in zip(groups, alone(["".join(texts[i] for i in g) for g in groups])):
-            starts = np.flatnonzero(blank[ids])
-            if len(starts) == len(group):
-                counts[group] = np.diff(np.append(starts, len(ids)))
-                out.append(ids)
-            else:  # some part does not begin with a token that has the blank
-                own = alone([texts[i] for i in group])
-                counts[group] = [len(x) for x in own]
-                out += own
+        joined = ["".join(texts[i] for i in g) for g in groups]
+        led = [t.count(" ") == len(g) > 1 and all(texts[i][0] == " " and not texts[i][1:2].isspace() for i in g) for g, t in zip(groups, joined)]
+        found = iter(alone([t for t, ok in zip(joined, led) if ok]))
+        for group, ok in zip(groups, led):
+            if ok:
+                ids = next(found)
+                starts = np.flatnonzero(blank[ids])
+                if len(starts) == len(group):
+                    counts[group] = np.diff(np.append(starts, len(ids)))
+                    out.append(ids)
+                    continue
+            own = alone([texts[i] for i in group])  # also where some part does not begin with a token that has the blank
+            counts[group] = [len(x) for x in own]
+            out += own
         return counts, np.concatenate([np.empty(0, np.int32), *out])
 
     return ChunkEncoder(encode, most, keep)

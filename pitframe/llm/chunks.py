@@ -7,6 +7,8 @@ from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Distinct parts that a worker remembers, at most; then it starts anew.
 MOST_CHUNKS = 700_000
@@ -67,35 +69,49 @@ class ChunkEncoder:
         """Id counts per text, and all ids."""
         if len(self.codes) + len(self.first) > self.most:
             self._reset()
-        heads, tails = [], []
-        for text in texts:
-            parts = text.split(" ")
-            heads.append(self.first[parts[0]])
-            tails.append(np.fromiter(map(self.codes.__getitem__, parts[1:]), np.int64, len(parts) - 1))
+        h, t, n = self._numbered(texts)
         head, tail = self.tables
-        new_first, new_codes = head.take(self.first, ""), tail.take(self.codes, " ")
-        if new_first or new_codes:
-            lens, flat = self.encode(new_first + new_codes)
-            at = int(lens[: len(new_first)].sum())
-            head.extend(lens[: len(new_first)], flat[:at])
-            tail.extend(lens[len(new_first) :], flat[at:])
-        counts = np.zeros(len(texts), np.int64)
-        out, whole = [], []
-        for i, (h, t) in enumerate(zip(heads, tails)):
-            n = len(t)
-            if n and not (head.clean[h] and tail.clean[t].all()):
-                whole.append(i)
-                out.append(None)
-            else:
-                ids = np.append(head.flat[head.starts[h] : head.starts[h] + head.lens[h]], gather(t, tail.starts, tail.lens, tail.flat))
-                counts[i] = len(ids)
-                out.append(ids)
-        if whole:
-            n, ids = self.encode([texts[i] for i in whole])
-            counts[whole] = n
-            for i, own in zip(whole, np.split(ids, np.cumsum(n)[:-1])):
-                out[i] = own
-        return counts, np.concatenate([np.empty(0, np.int64), *out])
+        for table, codes, lead in ((head, self.first, ""), (tail, self.codes, " ")):
+            if new := table.take(codes, lead):
+                table.extend(*self.encode(new))
+        ends = np.cumsum(n)
+        unclean = np.append(0, np.cumsum(~tail.clean[t]))
+        apart = (n > 0) & (~head.clean[h] | (unclean[ends] > unclean[ends - n]))
+        whole = np.flatnonzero(apart)
+        if len(whole):
+            h, t = np.where(apart, 0, h), t[~np.repeat(apart, n)]
+        # A text is the ids of its first part and those of the others, or its own, encoded whole.
+        sizes = np.zeros((len(texts), 3), np.int64)
+        sizes[:, 0] = np.where(apart, 0, head.lens[h])
+        per = np.append(0, np.cumsum(tail.lens[t]))
+        ends = np.cumsum(np.where(apart, 0, n))
+        sizes[:, 1] = per[ends] - per[ends - np.where(apart, 0, n)]
+        found = [gather(h[~apart], head.starts, head.lens, head.flat), gather(t, tail.starts, tail.lens, tail.flat)]
+        if len(whole):
+            sizes[whole, 2], ids = self.encode([texts[i] for i in whole])
+            found.append(ids)
+        source = np.repeat(np.tile(np.arange(3, dtype=np.int8), len(texts)), sizes.ravel())
+        out = np.empty(len(source), np.int64)
+        for k, ids in enumerate(found):
+            out[source == k] = ids
+        return sizes.sum(1), out
+
+    def _numbered(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers of the texts' first parts, of all others, and how many others each text has; each distinct part of ``texts`` is looked up once."""
+        parts = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        offsets = parts.offsets.to_numpy()
+        distinct = parts.flatten().dictionary_encode()
+        names, at = distinct.dictionary.to_numpy(zero_copy_only=False).tolist(), distinct.indices.to_numpy()
+        other = np.ones(len(at), bool)
+        other[offsets[:-1]] = False
+        h = np.array([self.first[names[i]] for i in at[~other]], np.int64)
+        at = at[other]
+        met = np.zeros(len(names), bool)
+        met[at] = True
+        met = np.flatnonzero(met)
+        number = np.zeros(len(names), np.int64)
+        number[met] = np.fromiter(map(self.codes.__getitem__, map(names.__getitem__, met.tolist())), np.int64, len(met))
+        return h, number[at], np.diff(offsets).astype(np.int64) - 1
 
 
 class _Table:
@@ -116,7 +132,7 @@ class _Table:
         new = list(codes)[self.n :] if n - self.n > n // 4 else _tail(codes, n - self.n)
         self.starts, self.lens, self.clean = self._room(self.starts, n), self._room(self.lens, n), self._room(self.clean, n)
         # A text's first part is encoded as it stands; a blank that leads a part may touch no other white space.
-        ok = [bool(c) and not c[-1].isspace() and not (lead and c[0].isspace()) for c in new]
+        ok = [bool(c) and (c.strip() if lead else c.rstrip()) == c for c in new]
         self.clean[self.n : n] = ok
         return [lead + c if k or not lead else "" for c, k in zip(new, ok)]
 
