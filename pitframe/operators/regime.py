@@ -11,10 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pitframe.operators.windows import Series
+from pitframe.sources.artifacts import stored
 
 LEAST_ROWS = 100
 #: The least variance of a state, and the gain in likelihood below which fitting ends.
 LEAST_VAR, CLOSE = 1e-3, 1e-4
+#: Markets that go through a round's steps together.
+TOGETHER = 32
 #: Regime ids of the rules' names.
 CRISIS, TIGHTENING, RECESSION, EASING = 3, 1, 4, 2
 
@@ -101,6 +104,43 @@ class Hidden:
         post, moves, like = self.forward_backward(x)
         return np.concatenate([like, post[0].ravel(), moves.ravel(), post.sum(0).ravel(), np.einsum("tsk,td->skd", post, x).ravel(), np.einsum("tsk,td->skd", post, x * x).ravel()])
 
+    def statistics_of_all(self, found: Sequence[np.ndarray]) -> np.ndarray:
+        """The sum of :meth:`statistics` over sequences, which take each step of time together.
+
+        The longest come first, so those that a step still concerns are the
+        first ``live[t]``.
+        """
+        found = sorted(found, key=len, reverse=True)
+        n = np.array([len(x) for x in found])
+        steps, m = n[0], len(found)
+        (s, k, d), live = self.mean.shape, (n[:, None] > np.arange(n[0])).sum(0).tolist()
+        inside = np.arange(steps)[:, None] < n  # steps, sequences
+        x = np.zeros((steps, m, d))
+        for i, own in enumerate(found):
+            x[: len(own), i] = own
+        log = self.emissions(x.reshape(-1, d)).reshape(steps, m, s, k)
+        top = log.max(3, keepdims=True)
+        b = np.exp(log - top)
+        alpha, beta, scale = np.zeros_like(b), np.ones_like(b), np.ones((steps, m, s, 1))
+        a = self.start * b[0]
+        for t in range(steps):
+            h = live[t]
+            if t:
+                a = (alpha[t - 1, :h, :, None, :] @ self.move)[..., 0, :] * b[t, :h]
+            c = np.maximum(a.sum(2, keepdims=True), 1e-300)
+            scale[t, :h] = c
+            alpha[t, :h] = a / c
+        for t in range(steps - 2, -1, -1):
+            h = live[t + 1]
+            beta[t, :h] = (self.move @ (b[t + 1, :h] * beta[t + 1, :h])[..., None])[..., 0] / scale[t + 1, :h]
+        post = alpha * beta
+        post = np.divide(post, post.sum(3, keepdims=True), out=np.zeros_like(post), where=inside[:, :, None, None])
+        after = np.where(inside[1:, :, None, None], b[1:] * beta[1:] / scale[1:], 0.0)
+        moves = (alpha[:-1].reshape(-1, s, k).transpose(1, 2, 0) @ after.reshape(-1, s, k).transpose(1, 0, 2)) * self.move
+        like = (np.log(scale[..., 0]) + np.where(inside[:, :, None], top[..., 0], 0.0)).sum((0, 1))
+        weights, flat = post.reshape(-1, s * k).T, x.reshape(-1, d)
+        return np.concatenate([like, post[0].sum(0).ravel(), moves.ravel(), weights.sum(1), (weights @ flat).ravel(), (weights @ (flat * flat)).ravel()])
+
     def updated(self, total: np.ndarray) -> tuple[Hidden, np.ndarray]:
         """The model that the summed statistics make most likely, and the likelihoods under this one."""
         s, k, d = self.mean.shape
@@ -173,9 +213,11 @@ def detect_pooled(rows: DataFrame, names: Sequence[str], market: str = "market",
     """As :func:`detect`, by one model of all markets together, so that a state means the same in each.
 
     Expectation and maximisation over the cluster: in each round tasks run
-    forward and backward through the markets that they hold and add up
-    statistics of a fixed size; the driver gathers these sums, one row of
-    them, and sends the next model out.  Means start from a sample of
+    forward and backward through the markets that they hold, ``TOGETHER`` at
+    a time, and add up statistics of a fixed size; the driver gathers these
+    sums, one row of them, and sends the next model out.  ``rows`` are read
+    once; their complete series are kept in the folder of
+    ``spark.checkpoint.dir`` for the states.  Means start from a sample of
     ``drawn`` rows; every market counts in every round.  Markets are
     standardised each by itself; those with fewer than 100 complete rows have
     no states.
@@ -196,8 +238,8 @@ def detect_pooled(rows: DataFrame, names: Sequence[str], market: str = "market",
         def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             total = None
             for part in parts:
-                for x in part["x"]:
-                    own = model.statistics(as_matrix(x))
+                for lo in range(0, len(part), TOGETHER):
+                    own = model.statistics_of_all([as_matrix(x) for x in part["x"][lo : lo + TOGETHER]])
                     total = own if total is None else total + own
             if total is not None:
                 yield pd.DataFrame({"i": np.arange(len(total)), "v": total})
@@ -205,12 +247,16 @@ def detect_pooled(rows: DataFrame, names: Sequence[str], market: str = "market",
         return run
 
     try:
+        kept = stored(each, "series")  # from the memory that the rounds read
         sample = each.select("x").mapInPandas(scaled, "r array<double>").orderBy(F.rand(seed)).limit(drawn).toPandas()
         if sample.empty:
             return rows.select(F.col(market).cast("string").alias(market), "date", F.lit(None).cast("int").alias("state"), F.lit(None).cast("double").alias("confidence")).limit(0)
+        # As many tasks as there are lots of markets: a round's tasks cost more than its sums.
+        each.unpersist()
+        each = kept.select("x").repartition(-(-kept.count() // TOGETHER)).persist()
         model, old = Hidden.begun(np.vstack(sample["r"]), states, starts, seed), None
         for _ in range(rounds):
-            sums = each.select("x").mapInPandas(summed(model), "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").toPandas()["v"].to_numpy()
+            sums = each.mapInPandas(summed(model), "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toPandas().sort_values("i")["v"].to_numpy()
             before, (model, like) = model, model.updated(sums)
             if old is not None and (like - old < CLOSE).all():
                 break
@@ -224,7 +270,7 @@ def detect_pooled(rows: DataFrame, names: Sequence[str], market: str = "market",
             for name, dates, x in zip(part[market], part["dates"], part["x"]):
                 yield _states(pd.DataFrame({market: name, "date": list(dates)}), model, as_matrix(x))
 
-    return each.mapInPandas(run, f"{market} string, date date, state int, confidence double")
+    return kept.mapInPandas(run, f"{market} string, date date, state int, confidence double")
 
 
 def label(profiles: DataFrame) -> DataFrame:

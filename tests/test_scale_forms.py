@@ -288,3 +288,26 @@ def test_vendor_feed(spark, tmp_path):
     assert second.where("symbol = 'US10Y'").count() == 3  # each release once
     assert {tuple(r) for r in second.distinct().collect()} == {tuple(r) for r in read().distinct().collect()} and known == set()
     assert read(symbols="CPI").select("symbol").distinct().collect() == [Row(symbol="CPI")]
+
+
+def test_pooled_statistics_are_those_of_each_market():
+    rng = np.random.default_rng(8)
+    found = [rng.normal(i % 2, 1, (n, 3)) for i, n in enumerate((120, 1, 2, 300, 120))]
+    model = regime.Hidden.begun(np.vstack(found), 4, 3, 42)
+    for _ in range(4):
+        total = model.statistics_of_all(found)
+        assert np.allclose(total, sum(model.statistics(x) for x in found), rtol=1e-9, atol=1e-9)
+        model, _ = model.updated(total)
+
+
+def test_pooled_states_read_their_rows_once(spark):
+    rng, met = np.random.default_rng(9), spark.sparkContext.accumulator(0)
+    df = spark.createDataFrame([(f"m{m}", d(i), float(rng.normal(i // 60 % 2 * 4, 1))) for m in range(2) for i in range(120)], "market string, date date, a double")
+
+    def counted(parts):
+        for part in parts:
+            met.add(len(part))
+            yield part
+
+    got = regime.detect_pooled(df.mapInPandas(counted, df.schema), ["a"], states=2, rounds=5, starts=2).collect()
+    assert len(got) == met.value == 240
