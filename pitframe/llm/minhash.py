@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pitframe.llm.blocks import Group, local_roots, map_groups, pair_blocks, sides
+from pitframe.llm.blocks import Group, local_roots, map_groups, own_blocks, pair_blocks, sides
 from pitframe.llm.common import cut, without_ids
 from pitframe.llm.components import components
 
@@ -159,8 +159,13 @@ def shortened(histogram: dict[int, dict[int, int]], threshold: float, recall: fl
     return out
 
 
-def _linked_signatures(threshold: float):
-    """Of a node of a tree: edges of pairs whose signatures agree as often as pairs at the threshold may, and how often they agree."""
+def _linked_signatures(threshold: float, counted: bool):
+    """Of a node of a tree: edges of pairs whose signatures agree as often as pairs at the threshold may, and how often they agree.
+
+    Edges are a spanning forest of the roots that the block connects, so what
+    is known to be connected gives none.  Agreements are ``counted`` of all
+    pairs of classes.
+    """
     least = max(0.0, threshold - 4.5 * (threshold * (1 - threshold) / OTHERS) ** 0.5) * OTHERS
 
     def run(group: Group) -> tuple | None:
@@ -173,7 +178,8 @@ def _linked_signatures(threshold: float):
         size, root = group["size"], group["root"]
         sa, sb = size[a][:, None], size[b][None, :]
         near = np.minimum(sa, sb) >= threshold * np.maximum(sa, sb) - 1e-9
-        near &= root[a][:, None] != root[b][None, :]
+        name = group["cls"] if counted else root
+        near &= name[a][:, None] != name[b][None, :]
         if not near.any():
             return None
         if len(a) * len(b) <= 4096:
@@ -183,19 +189,23 @@ def _linked_signatures(threshold: float):
             for x, y in zip(sig[a].T, sig[b].T):
                 same += x[:, None] == y[None, :]
         near &= same >= least
-        ra, rb = local_roots(group["cls"][a], group["cls"][b], near)
-        u, v = np.append(group["cls"][a], group["cls"][b]), np.append(ra, rb)
-        moved = u != v
-        if not moved.any():
+        i, j = np.nonzero(near)
+        if not len(i):
             return None
-        level = np.broadcast_to(np.minimum(group["level"][a][:, None], group["level"][b][None, :]), near.shape)[near].astype(np.int64)
-        kinds, n = np.unique(level * 256 + same[near], return_counts=True)
-        if a is b:
-            n = n // 2  # each pair stands twice
-        return (
-            np.append(u[moved], np.zeros(len(n), np.int64)), np.append(v[moved], np.zeros(len(n), np.int64)),
-            np.append(np.full(int(moved.sum()), -1), kinds), np.append(np.zeros(int(moved.sum()), np.int64), n),
-        )
+        roots, place = np.unique(root, return_inverse=True)
+        linked = np.eye(len(roots), dtype=bool)
+        linked[place[a[i]], place[b[j]]] = True
+        low, _ = local_roots(roots, roots, linked | linked.T)
+        moved = low != roots
+        u, v = roots[moved], low[moved]
+        kinds = n = np.empty(0, np.int64)
+        if counted:
+            level = np.minimum(group["level"][a[i]], group["level"][b[j]]).astype(np.int64)
+            kinds, n = np.unique(level * 256 + same[i, j], return_counts=True)
+            if a is b:
+                n = n // 2  # each pair stands twice
+        none, edge = np.zeros(len(kinds), np.int64), np.zeros(len(u), np.int64)
+        return np.append(u, none), np.append(v, none), np.append(edge - 1, kinds), np.append(edge, n)
 
     return run
 
@@ -287,31 +297,53 @@ def _nodes(classes: DataFrame, depths: Column) -> DataFrame:
     return spread.select("cls", "root", "size", "level", "tree", F.xxhash64("tree", "depth", F.substring("sig", F.col("tree") * (2 * DEPTH) + 1, 2 * F.col("depth"))).alias("node"))
 
 
-def _matched(classes: DataFrame, depths: Column, threshold: float) -> DataFrame:
-    """``u, v, kind, n``: edges (kind -1) and counts of agreements of the pairs that nodes bring together."""
-    nodes = _nodes(classes, depths)
+def _met(nodes: DataFrame) -> DataFrame:
+    """The rows of nodes in which several roots meet."""
     full = nodes.groupBy("node").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a <> _b").select("node")
-    met = pair_blocks(nodes.join(full, "node"), "node", F.col("level"), BUCKET_BLOCK).drop("node")
-    met = met.join(classes.select("cls", "sig"), "cls")
-    return cut(map_groups(met.select("block", "side", "cls", "root", "size", "level", "tree", "sig"), "block", _linked_signatures(threshold), "u long, v long, kind long, n long"))
+    return nodes.join(full, "node")
+
+
+def _matched(blocks: DataFrame, classes: DataFrame, threshold: float, counted: bool = False) -> DataFrame:
+    """``u, v, kind, n``: edges between roots (kind -1) and counts of agreements of the pairs that blocks of nodes bring together."""
+    met = blocks.drop("node").join(classes.select("cls", "sig"), "cls").select("block", "side", "cls", "root", "size", "level", "tree", "sig")
+    add = lambda x: x.groupby(["u", "v", "kind"], as_index=False)["n"].sum()
+    return cut(map_groups(met, "block", _linked_signatures(threshold, counted), "u long, v long, kind long, n long", add))
+
+
+def _with_roots(classes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``classes`` with a ``root`` that ``edges`` lead to, three steps far: who shares it is connected."""
+    low = edges.groupBy(F.col("u").alias("cls")).agg(F.min("v").alias("root"))
+    further = low.select(F.col("cls").alias("root"), F.col("root").alias("_next"))
+    for _ in range(2):
+        low = low.join(further, "root", "left").select("cls", F.coalesce("_next", "root").alias("root"))
+    return classes.join(low, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
 
 
 def _candidates(classes: DataFrame, threshold: float, recall: float) -> DataFrame:
-    """``node, root``: classes connected by pairs that the forest brings together."""
-    edges = _matched(classes.withColumn("root", F.col("cls")), F.array(F.lit(DEPTH)), threshold)
+    """``node, root``: classes connected by pairs that the forest brings together.
+
+    The parts of a node meet themselves first, which gives an edge at most for
+    each class and tree; where parts then meet each other, or shorter prefixes
+    are matched, only what is not yet known to be connected gives edges.  So
+    edges grow with the classes, though a large group's blocks grow with its
+    square.
+    """
+    nodes = cut(_met(_nodes(classes.withColumn("root", F.col("cls")), F.array(F.lit(DEPTH)))))
+    matched = _matched(own_blocks(nodes, "node", F.col("level"), BUCKET_BLOCK), classes, threshold, True)
+    nodes = _with_roots(nodes.drop("root"), matched.where("kind < 0"))
+    matched = matched.unionByName(_matched(pair_blocks(nodes, "node", F.col("level"), BUCKET_BLOCK, own=False), classes, threshold, True))
+    edges = matched.where("kind < 0").select("u", "v")
     histogram: dict[int, dict[int, int]] = {}
-    for r in edges.where("kind >= 0").groupBy("kind").agg(F.sum("n").alias("n")).collect():  # levels of size by shares: some thousands at most
+    for r in matched.where("kind >= 0").groupBy("kind").agg(F.sum("n").alias("n")).collect():  # levels of size by shares: some thousands at most
         histogram.setdefault(r["kind"] // 256, {})[r["kind"] % 256] = r["n"]
     chosen, least = shortened(histogram, threshold, recall), prefix_depth(threshold, recall)
-    edges = edges.where("kind < 0").select("u", "v")
     if any(chosen.get(level, least) < DEPTH for level in [*chosen, None]):
         of_level = F.create_map(*[F.lit(x) for pair in chosen.items() for x in pair]) if chosen else F.create_map().cast("map<int,int>")
         depth = lambda level: F.coalesce(F.try_element_at(of_level, level.cast("int")), F.lit(least))
         # A pair meets at the lesser of its two depths, so a document is at its neighbours' depths too.
         depths = F.array(depth(F.col("level") - 1), depth(F.col("level")), depth(F.col("level") + 1))
-        named = edges.groupBy(F.col("u").alias("cls")).agg(F.min("v").alias("root"))  # who shares it is connected
-        joined = cut(classes.join(named, "cls", "left").withColumn("root", F.coalesce("root", "cls")))
-        edges = edges.unionByName(_matched(joined, depths, threshold).where("kind < 0").select("u", "v"))
+        nodes = _met(_nodes(cut(_with_roots(classes, edges)), depths))
+        edges = edges.unionByName(_matched(pair_blocks(nodes, "node", F.col("level"), BUCKET_BLOCK), classes, threshold).select("u", "v"))
     return components(edges)
 
 
