@@ -2,12 +2,32 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows and bytes that Spark hands to Python at once, at most (a row is handed over whole).
+BATCH_ROWS = 1_000
+BATCH_BYTES = 8_000_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session hands whole texts to Python in batches of ``BATCH_ROWS`` and ``BATCH_BYTES``.
+
+    By default a batch has 10,000 rows or 64 MB, which an executor holds
+    several times over for each core: as rows that wait for their results, as
+    Arrow buffers and as Python strings, and neither allocator gives all of it
+    back.  Results do not depend on it.  Smaller limits of the session stay.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        number, unit = re.match(r"(-?\d+)([kmgt]?)", spark.conf.get(key).lower()).groups()
+        now = int(number) << 10 * " kmgt".index(unit or " ")
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

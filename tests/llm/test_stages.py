@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections import Counter
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from pitframe.llm import common
 from tests.llm.test_edges import clashing, docs, labels, language, quality  # noqa: F401
 
 STAGES = dict(corpus_pipeline.STAGES)
@@ -71,3 +73,31 @@ def test_packing_stage_loses_no_token(spark, docs, sf):  # noqa: F811
     want = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1)).first()[0]
     assert got.agg(F.sum("n_tokens")).first()[0] == want
     assert got.where("n_tokens > capacity").count() == 0
+
+
+@pytest.mark.parametrize("name", STAGES)
+def test_python_gets_bounded_batches(spark, docs, sf, name):  # noqa: F811
+    """However many rows and bytes a task has, a batch has few (before: all 3,000 rows, and 30 MB)."""
+    keys = [f"spark.sql.execution.arrow.max{x}PerBatch" for x in ("Records", "Bytes")]
+    before = [spark.conf.get(key) for key in keys]
+    for key in keys:
+        spark.conf.unset(key)
+
+    def sizes(parts):
+        for part in parts:
+            yield pd.DataFrame({"n": [len(part)], "size": [int(part["text"].str.len().sum())]})
+
+    seen = lambda rows: rows.mapInPandas(sizes, "n long, size long").agg(F.max("n"), F.max("size"), F.sum("n")).first()
+    try:
+        STAGES[name](spark, docs.limit(0), sf)
+        short = seen(spark.range(0, 3_000, 1, 1).select(F.lit("x").alias("text")))
+        assert short[0] <= common.BATCH_ROWS and short[2] == 3_000
+        long = seen(spark.range(0, 300, 1, 1).select(F.repeat(F.lit("x"), 100_000).alias("text")))
+        assert long[1] <= common.BATCH_BYTES + 200_000 and long[2] == 300
+        spark.conf.set(keys[0], "10")
+        spark.conf.set(keys[1], "1m")
+        STAGES[name](spark, docs.limit(0), sf)
+        assert [spark.conf.get(key) for key in keys] == ["10", "1m"]  # smaller limits of the session stay
+    finally:
+        for key, value in zip(keys, before):
+            spark.conf.set(key, value)
